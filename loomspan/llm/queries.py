@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import exact_dedup, mixing, sharding
+from loomspan.llm import exact_dedup, mixing, near_dedup, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"), 16)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_mixing, op5_sharding)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_mixing, op5_sharding, op6_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
