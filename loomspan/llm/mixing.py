@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import WORD, running
+from loomspan.llm.common import WORD, running, written
 
 #: Buckets of the rank order in each source; a bucket is what one window sorts.
 BUCKETS = 1024
@@ -73,6 +73,8 @@ def mix(
     per = per.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     per = per.withColumn("certain", F.floor(F.col("ratio") + F.lit(1e-12))).withColumn("rest", F.greatest(F.col("ratio") - F.col("certain"), F.lit(0.0)))
     per = per.withColumn("wanted", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)))
+    # one row for each source; as a table of known size Spark broadcasts it where it is small, and splits a large source where not
+    per = written(per)
     joined = rows.alias("r").join(per.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", F.struct("source_size", "target", "rest", "certain", "wanted", "mean", "mean_liking").alias("s"))
     # inclusion probability: the source's rest, tilted by liking and length
     tilt = F.col("liking") / F.col("s.mean_liking") * F.lit(2.0) / (F.lit(1.0) + F.col("size") / F.greatest(F.col("s.mean"), F.lit(1.0))) if liking is None else F.col("liking") / F.col("s.mean_liking")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import exact_dedup, mixing, near_dedup, sharding
+from loomspan.llm import exact_dedup, mixing, near_dedup, packing, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,20 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), str(tokenizer_path), 1024)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_mixing, op5_sharding, op6_near_dedup)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_mixing, op5_sharding, op6_near_dedup, op8_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
