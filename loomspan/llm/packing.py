@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +15,20 @@ from loomspan.llm.common import running, written
 
 #: Hash buckets of documents within which sequences are numbered by one window.
 BUCKETS = 1024
-#: Distinct words whose ids a task remembers; beyond it, it starts anew.
-REMEMBERED = 400_000
+#: Distinct words whose ids a worker remembers; beyond it, it starts anew.
+REMEMBERED = 1_000_000
+#: Texts are encoded together up to so many characters.
+TOGETHER = 6 << 20
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of ``tokenizers``, with the ids of words remembered.
 
-    Such a tokenizer never joins a blank to what precedes it, and before a blank that another kind of
-    character follows and precedes it always begins a new word; so a text without two blanks in a row is cut before
-    each blank, equal pieces are encoded once, and the ids are joined. Other texts are encoded whole.
-    Special tokens in a text are ordinary text.
+    Such a tokenizer starts a new word at every blank that stands alone, and a word's ids depend on nothing
+    else. So a text without two blanks in a row is cut before each blank, and of the pieces only those
+    not seen before are encoded, all in one string: as no other id begins with a blank, the ids that
+    do tell the words apart again. Any other text is encoded whole. The names of special tokens in a text are
+    ordinary text.
     """
 
     def __init__(self, path: str) -> None:
@@ -32,32 +36,97 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def learn(self, words: list[str]) -> None:
-        new = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        for word, e in zip(words, new, strict=True):
-            self.known[word] = len(self.ids)
-            self.ids.append(np.array(e.ids, np.uint32))
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if "  " in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        head, *rest = text.split(" ")
-        words = [head] * bool(head) + [" " + w for w in rest]
-        if missing := set(words).difference(self.known):
-            if len(self.known) + len(missing) > REMEMBERED:
-                self.clear()
-                missing = set(words)
-            self.learn(list(missing))
-        known, ids = self.known, self.ids
-        return np.concatenate([ids[known[w]] for w in words])
+        self.words: dict[str, int] = {}  # behind a blank
+        self.heads: dict[str, int] = {}  # at the start of a text
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.begin = np.zeros(1 << 14, np.int64)  # where each remembered piece begins in flat, and the last ends
+        self.count = 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def keep(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        """Remember consecutive pieces; their numbers."""
+        first, end = self.count, int(self.begin[self.count])
+        while end + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(lengths) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.flat[end : end + len(ids)] = ids
+        self.begin[first + 1 : first + len(lengths) + 1] = end + np.cumsum(lengths)
+        self.count += len(lengths)
+        return range(first, self.count)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.words]
+        if new:
+            ids = self.whole(" " + " ".join(new))
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(new):
+                raise ValueError("the tokenizer does not begin a word at each blank")
+            self.words.update(zip(new, self.keep(ids, np.diff(np.append(starts, len(ids)))), strict=True))
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
+    def together(self, texts: list[str]) -> list[np.ndarray]:
+        if self.count > REMEMBERED:
+            self.clear()
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        index = coded.indices.to_numpy()
+        inner = np.ones(len(index), bool)
+        inner[first] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[index[inner]] = True
+        spots = np.flatnonzero(used)
+        table = np.zeros(len(used), np.int64)
+        table[spots] = self.numbers(coded.dictionary.take(pa.array(spots)).to_numpy(zero_copy_only=False).tolist())
+        number = table[index]
+        for at, text in zip(first.tolist(), texts, strict=True):
+            head = text.partition(" ")[0]
+            if (known := self.heads.get(head)) is None:
+                ids = self.whole(head) if head else np.zeros(0, np.uint32)
+                known = self.heads[head] = self.keep(ids, np.array([len(ids)]))[0]
+            number[at] = known
+        start = self.begin[number]
+        length = self.begin[number + 1] - start
+        end = np.cumsum(length)
+        ids = self.flat[np.repeat(start - (end - length), length) + np.arange(end[-1])]
+        return np.split(ids, end[np.append(first[1:], len(number)) - 1][:-1])
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            if "  " in text:
+                if some:
+                    yield from self.together(some)
+                yield self.whole(text)
+                some, size = [], 0
+                continue
+            some.append(text)
+            size += len(text)
+            if size > TOGETHER:
+                yield from self.together(some)
+                some, size = [], 0
+        if some:
+            yield from self.together(some)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder: tasks that follow each other share what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(n: int, longest: int) -> list[tuple[int, int]]:
@@ -73,12 +142,13 @@ def pieces(n: int, longest: int) -> list[tuple[int, int]]:
 
 def _cut(path: str, longest: int, end_id: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            texts = (t.as_py() or "" for t in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
                 raw = ids.tobytes()
                 for start, length in pieces(len(ids), longest):
                     part = raw[4 * start : 4 * (start + length)]
