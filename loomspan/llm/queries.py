@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import exact_dedup, mixing, near_dedup, packing, sharding, warc
+from loomspan.llm import exact_dedup, mixing, near_dedup, packing, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +35,16 @@ def op8_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return packing.pack(_table(spark, sf_dir, "documents"), str(tokenizer_path), 1024)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_mixing, op5_sharding, op6_near_dedup, op8_packing, op10_warc)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_mixing, op5_sharding, op6_near_dedup, op8_packing, op9_quality, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -41,9 +41,12 @@ def _powers(base: np.uint64, name: str, n: int) -> np.ndarray:
     return _POWERS[name][:n]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the words in a byte array (A-Z folded): where each starts, and a 64-bit hash of its bytes."""
-    gap = _SPACE[data]
+def word_hashes(data: np.ndarray, gap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words in a byte array (A-Z folded): where each starts, and a 64-bit hash of its bytes.
+
+    ``gap`` marks the bytes between words, white space by default.
+    """
+    gap = _SPACE[data] if gap is None else gap
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     total = np.zeros(len(data) + 1, np.uint64)
