@@ -67,6 +67,7 @@ def mix(
     never part of the sample's rest. Repeated rows are documents of their own; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (F.lit(1.0) if liking is None else liking.cast("double")).alias("liking"))
+    rows = written(rows)  # texts are read once
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean"), F.avg("liking").alias("mean_liking"))
     aims = targets(per.select("source", "source_size"), weights, share, float(most)).alias("a")
     per = per.alias("p").join(aims, F.col("p.source").eqNullSafe(F.col("a.source"))).select("p.source", "p.source_size", "mean", "mean_liking", "target")
