@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.llm import ann, chat, exact_dedup, license_scan, mixing, near_dedup, packing, quality, sharding, warc
+from loomspan.llm.oracles import oracle_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +61,4 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
