@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     member = regions.join(nodes.select("node", "least_id", "n", "sketch"), "node")
     sized = member.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    member = written(member.join(sized, "component"))
+    # written, so its size is known: Spark broadcasts it where it is small, and splits large regions where it is not
+    member = written(member.join(written(sized), "component"))
     # one row of documents for each node that has candidates, found by id and then by its digest
     wanted = member.select("node", F.col("least_id").alias("id")).alias("w")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d")
@@ -178,7 +179,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     named = found.join(nodes.select("node", "least_id"), "node")
     names = named.groupBy("component").agg(F.min("least_id").alias("name"))
-    joined = written(named.join(names, "component").select("node", "name"))
+    joined = written(named.join(written(names), "component").select("node", "name"))
     rest = nodes.select("node", "least_id").join(joined, "node", "left").select("node", F.coalesce("name", "least_id").alias("name"))
     out = table.select("doc_id", "n_shingles", "node").join(rest, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id"))
