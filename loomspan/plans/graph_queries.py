@@ -31,9 +31,9 @@ def _(spark, d):
     return corpus.overlap_distribution(tb.table(spark, d, "lineitem"), "l_partkey", "l_returnflag")
 
 
-@query("src13_work_rows", "SELECT CASE WHEN coalesce(url, '') = '' THEN 'missing_title' WHEN length(html) < 400 THEN 'missing_abstract' WHEN page_id % 7 = 0 THEN 'low_relevance' ELSE 'kept' END AS reason, count(*) AS n FROM pages GROUP BY 1")
+@query("src13_work_rows", "SELECT CASE WHEN coalesce(url, '') = '' THEN 'missing_title' WHEN length(html) < 400 THEN 'missing_abstract' WHEN NOT contains(lower(html), '<p>') THEN 'low_relevance' ELSE 'kept' END AS reason, count(*) AS n FROM pages GROUP BY 1")
 def _(spark, d):
-    reason = F.when(F.coalesce("url", F.lit("")) == "", "missing_title").when(F.char_length("html") < 400, "missing_abstract").when(F.col("page_id") % 7 == 0, "low_relevance").otherwise("kept")
+    reason = F.when(F.coalesce("url", F.lit("")) == "", "missing_title").when(F.char_length("html") < 400, "missing_abstract").when(~F.contains(F.lower("html"), F.lit("<p>")), "low_relevance").otherwise("kept")
     return tb.table(spark, d, "pages").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
