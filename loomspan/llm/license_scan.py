@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,8 +95,8 @@ def _hashes(band: int) -> Column:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every template of which a window of a document holds 75 % or more of the distinct five-word shingles.
 
-    Words are runs of a-z and 0-9 after lower-casing. For each template, windows of its own length and stride cover the
-    whole text; a window is retrieved if one of ``BANDS`` MinHash values equals the template's, and its shingles
+    Words are runs of a-z and 0-9 after lower-casing. For each template, overlapping windows of its own length and stride cover the
+    whole text, those without a shingle of any template being skipped; a window is retrieved if one of ``BANDS`` MinHash values equals the template's, and its shingles
     are then compared with the template's as strings. Texts without any anchor word, or without any
     shingle of a template, can't hold one and are put aside first; this loses nothing. All is done inside
     a row by built-in functions: nothing is shuffled, and a text of any length is treated whole.
@@ -118,18 +117,25 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
 
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), F.lit(" "))
-    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("t"))
-    rows = rows.where(reduce(lambda a, b: a | b, (F.col("t").contains(f" {w} ") for w in anchors(shingles))))
-    rows = rows.select("doc_id", F.split(F.trim("t"), " ").alias("w"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("t")).where(F.col("t").rlike(f" (?:{'|'.join(anchors(shingles))}) "))
+    # explode(array(x)) keeps x from being written out, and so computed, wherever it is used
+    rows = rows.select("doc_id", F.explode(F.array(F.split(F.trim("t"), " "))).alias("w"))
     last = F.greatest(F.size("w") - K, F.lit(0))
-    rows = rows.select("doc_id", F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i + 1, K), " ")).alias("s"))
+    rows = rows.select("doc_id", F.explode(F.array(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i + 1, K), " ")))).alias("s"))
     rows = rows.where(F.arrays_overlap("s", _literals(values)))
-    rows = rows.select("doc_id", "s", *(_hashes(b).alias(f"h{b}") for b in range(BANDS)))
+    rows = rows.select("doc_id", "s", F.explode(F.array(F.array(*(_hashes(b) for b in range(BANDS))))).alias("h"))
+    # a window without any template's shingle shares no MinHash value; windows are formed around the others only
+    known = _literals(sorted(r["b0"] for r in hashed))
+    places = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.array_contains(known, F.col("h")[0][i]))
+    rows = rows.select("doc_id", "s", "h", F.explode(F.array(places)).alias("places"))
+    bands = F.sequence(F.lit(0), F.lit(BANDS - 1))
 
     def best(name: str, own: list[str]) -> Column:
         length, stride = window(len(own))
-        starts = F.sequence(F.lit(0), F.floor((F.size("s") - 1) / stride).cast("int"))
-        retrieved = F.filter(starts, lambda k: reduce(lambda a, b: a | b, (F.array_min(F.slice(f"h{b}", k * stride + 1, length)) == F.lit(minima[name][b]) for b in range(BANDS))))
+        first = lambda i: F.greatest(F.lit(0), F.ceil((i - (length - 1)) / stride)).cast("int")
+        starts = F.array_distinct(F.flatten(F.transform("places", lambda i: F.sequence(first(i), F.floor(i / stride).cast("int")))))
+        least = _literals(minima[name])
+        retrieved = F.filter(starts, lambda k: F.exists(bands, lambda b: F.array_min(F.slice(F.col("h")[b], k * stride + 1, length)) == least[b]))
         held = F.transform(retrieved, lambda k: F.struct((F.size(F.array_intersect(F.slice("s", k * stride + 1, length), _literals(own))) / len(own)).alias("containment"), (-k * stride).alias("at")))
         good = F.filter(held, lambda x: x["containment"] >= CONTAINED)
         return F.struct(F.lit(name).alias("license"), F.array_max(good).alias("best"), F.size(good).alias("windows"))
