@@ -16,7 +16,7 @@ def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> Non
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, nested values as JSON (SRC16)."""
     nested = (ty.StructType, ty.ArrayType, ty.MapType)
-    df.select(*(F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema)).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*(F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_artifacts(tables: dict[str, DataFrame], root: str) -> DataFrame:
