@@ -16,9 +16,11 @@ from loomspan.llm.common import running, written
 #: Hash buckets of documents within which sequences are numbered by one window.
 BUCKETS = 1024
 #: Distinct words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+#: Words that are encoded in one string.
+LEARNT = 20_000
 #: Texts are encoded together up to so many characters.
-TOGETHER = 6 << 20
+TOGETHER = 2 << 20
 
 
 class Encoder:
@@ -49,7 +51,8 @@ class Encoder:
         self.count = 0
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        # the batch call that leaves out offsets; the ids are those of encode()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def keep(self, ids: np.ndarray, lengths: np.ndarray) -> range:
         """Remember consecutive pieces; their numbers."""
@@ -64,8 +67,9 @@ class Encoder:
         return range(first, self.count)
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.words]
-        if new:
+        missing = [w for w in words if w not in self.words]
+        for lo in range(0, len(missing), LEARNT):
+            new = missing[lo : lo + LEARNT]
             ids = self.whole(" " + " ".join(new))
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(new):

@@ -12,7 +12,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Texts are hashed together up to so many bytes; a longer one goes alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
