@@ -15,7 +15,7 @@ from loomspan.llm.common import running, written
 
 #: Hash buckets of documents within which sequences are numbered by one window.
 BUCKETS = 1024
-#: Distinct words whose ids a worker remembers; beyond it, it starts anew.
+#: Distinct words whose ids a worker remembers; beyond it, it keeps those of the texts at hand.
 REMEMBERED = 400_000
 #: Words that are encoded in one string.
 LEARNT = 20_000
@@ -66,8 +66,20 @@ class Encoder:
         self.count += len(lengths)
         return range(first, self.count)
 
+    def forget(self, kept: set[str]) -> None:
+        """Remember ``kept`` only: the words of the texts at hand, among which the common ones are."""
+        words = list(kept)
+        old = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        begin, flat = self.begin, self.flat
+        length = begin[old + 1] - begin[old]
+        at = np.repeat(begin[old] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        self.clear()
+        self.words.update(zip(words, self.keep(flat[at], length)))
+
     def numbers(self, words: list[str]) -> np.ndarray:
         missing = [w for w in words if w not in self.words]
+        if self.count + len(missing) > REMEMBERED:
+            self.forget(set(words).difference(missing))
         for lo in range(0, len(missing), LEARNT):
             new = missing[lo : lo + LEARNT]
             ids = self.whole(" " + " ".join(new))
@@ -78,8 +90,6 @@ class Encoder:
         return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
 
     def together(self, texts: list[str]) -> list[np.ndarray]:
-        if self.count > REMEMBERED:
-            self.clear()
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
