@@ -82,9 +82,12 @@ def mix(
     p = F.least(F.greatest(F.col("s.rest") * (F.lit(0.9) + F.lit(0.1) * tilt), F.lit(1e-9)), F.lit(1 - 1e-9))
     u = unit(F.col("doc_id"), seed)
     odds = (u / (1 - u)) / (p / (1 - p))
+    # near u, and in the order of the odds within a source: so its buckets are near equal
+    usual = F.least(F.greatest(F.col("s.rest"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    even = odds * (usual / (1 - usual))
     ranked = joined.select(
         "doc_id", "source", "size", "s", odds.alias("odds"), F.coalesce(F.col("source"), F.lit("")).alias("__group"), F.isnull("source").alias("__none"),
-        F.least(F.floor(odds / (odds + 1) * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("__bucket"),
+        F.least(F.floor(even / (even + 1) * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("__bucket"),
     )
     summed = running(ranked, ["__group", "__none"], "__bucket", ["odds", "doc_id", "size"], {"before": "size"})
     # taken if more than half of it fits into what is wanted: the cut that comes nearest
