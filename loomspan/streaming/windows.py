@@ -34,7 +34,7 @@ def streaming_windows(events: DataFrame, least: dict[str, int] | None = None, sh
         state.update((own.index, -(10**9) if own.start is None else int(own.start), *(int(own.counts[k]) for k in KINDS)))
         yield pd.DataFrame({"scope": key[0], "event_id": batch["event_id"].to_numpy(), "window_index": [n for n, _ in found], "closed_by": [r for _, r in found]})
 
-    rows = events.withWatermark("ts", late).select("scope", "event_id", "kind", F.datediff(F.to_date("ts"), F.lit("1970-01-01")).alias("n"), "ts")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select("scope", "event_id", "kind", F.datediff(F.to_date("ts"), F.lit("1970-01-01")).alias("n"), "ts")
     return rows.groupBy("scope").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
