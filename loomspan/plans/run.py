@@ -58,15 +58,17 @@ def run(spark: SparkSession, config: loaders.RunConfig, root: str | None = None)
 
     Without a taxonomy one is induced from the texts (GRF07); without assignments documents are assigned by phrase (JOI02).
     """
+    # what later steps read again is kept, and made anew where an executor that held a part is lost
     docs, reasons = loaders.load_documents(loaders.read_records(spark, config.corpus_path), config.corpus)
+    docs = docs.persist()
     nodes = loaders.load_nodes(spark, config.taxonomy_path) if config.taxonomy_path else evidence.induce_taxonomy(docs, "topic").select("node_id", F.lit("topic").alias("dimension"), "label", "parent_id", F.lit("").alias("definition"), F.array().cast("array<string>").alias("aliases"))
     given = loaders.load_assignments(loaders.read_records(spark, config.assignments_path)) if config.assignments_path else None
     phrase = corpus.assign_by_phrase(docs, aliases_of(nodes))
-    assigned = (given.join(docs.select("doc_id"), "doc_id", "left_semi") if given is not None else phrase).distinct()
-    mentions = configured_mentions(docs, assigned, config.entity_patterns)
-    entities = corpus.entity_quality(corpus.build_entities(mentions))
+    assigned = (given.join(docs.select("doc_id"), "doc_id", "left_semi") if given is not None else phrase).distinct().persist()
+    mentions = configured_mentions(docs, assigned, config.entity_patterns).persist()
+    entities = corpus.entity_quality(corpus.build_entities(mentions)).persist()
     kept = entities.where("status = 'kept'")
-    edges = build_edges(kept, mentions.join(kept.select("entity_id"), "entity_id", "left_semi"), docs, config.cues or None, config.grounding)
+    edges = build_edges(kept, mentions.join(kept.select("entity_id"), "entity_id", "left_semi"), docs, config.cues or None, config.grounding).persist()
     tier = graph.first_tier(edges)
     weights = tier.groupBy("source", "target").agg(F.max("score").alias("weight"))
     numbered = lambda df, scope, day, kind, *ids: df.select(F.concat(*scope).alias("scope"), F.abs(F.xxhash64(*ids)).alias("event_id"), F.col(day).alias("day"), F.lit(kind).alias("kind"))
