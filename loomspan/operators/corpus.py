@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,28 +183,68 @@ def canonical_links(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return named.join(canon, ["entity_type", "norm"]).select("entity_id", "canonical_id")
 
 
-def merge_similar(entities: DataFrame, least: float = 0.86) -> DataFrame:
-    """Greedy near-duplicate linking within a type in order of names (JOI11, STR18).
+def overlapping_pairs(sets: DataFrame, share: float) -> DataFrame:
+    """(entity_type, a, b), a before b: of ``entity_type, norm, items`` (distinct) the pairs of a type with at least ``share`` of the larger set in common.
 
-    Only names that share a folded token are compared: blocks are (type, token), each entity is compared in
-    the block of its rarest token; within a block the first of similar names is the target.
+    No such pair is lost: in one order of the items (rare ones first) two sets of n items that have share * n in common
+    meet in the first n - share * n + 1. Only these meet in an equi-join; sizes and common items are then compared.
     """
-    import difflib
+    size, slack = F.size("items"), F.lit(1e-9)
+    one = sets.select("entity_type", "norm", F.explode("items").alias("item"))
+    counts = one.groupBy("entity_type", "item").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("entity_type", "norm").orderBy("n", "item"))
+    sized = sets.select("entity_type", "norm", size.alias("size"))
+    first = one.join(counts, ["entity_type", "item"]).withColumn("rank", rank).join(sized, ["entity_type", "norm"])
+    keys = first.where(F.col("rank") <= F.col("size") - F.ceil(share * F.col("size") - slack) + 1).select("entity_type", "item", "norm", "size")
+    a, b = keys.alias("a"), keys.alias("b")
+    larger, smaller = F.greatest("a.size", "b.size"), F.least("a.size", "b.size")
+    met = a.join(b, ["entity_type", "item"]).where((F.col("a.norm") < F.col("b.norm")) & (smaller >= share * larger - slack))
+    pairs = met.select("entity_type", F.col("a.norm").alias("a"), F.col("b.norm").alias("b")).distinct()
+    s = pairs.join(sets.select("entity_type", F.col("norm").alias("a"), F.col("items").alias("x")), ["entity_type", "a"]).join(sets.select("entity_type", F.col("norm").alias("b"), F.col("items").alias("y")), ["entity_type", "b"])
+    return s.where(F.size(F.array_intersect("x", "y")) >= share * F.greatest(F.size("x"), F.size("y")) - slack).select("entity_type", "a", "b")
+
 
-    import pandas as pd
+def merge_similar(entities: DataFrame, least: float = 0.86) -> DataFrame:
+    """Greedy near-duplicate linking within a type in order of names (JOI11, STR18): the first target that is similar.
 
-    tokens = entities.select("entity_type", "entity_id", F.lower("canonical_name").alias("name"), F.explode(F.array_distinct(F.split(T.alias_norm(F.col("canonical_name")), " "))).alias("token"))
-    counts = tokens.groupBy("entity_type", "token").agg(F.count("*").alias("n"))
-    rare = tokens.join(counts, ["entity_type", "token"]).groupBy("entity_type", "entity_id", "name").agg(F.min(F.struct("n", "token")).alias("t"))
+    Folded names are similar if they are equal, share ``least`` (above 0) of all their tokens, or have that difflib ratio.
+    The ratio is at most twice the common characters over all, so similar names have least / (2 - least) of the longer's
+    characters in common; ``overlapping_pairs`` loses none of them. Names without a token are linked if they are equal.
+    The greedy pass over a type holds its similar pairs only.
+    """
+    keyed = entities.select("entity_type", "entity_id", F.lower("canonical_name").alias("name"), T.alias_norm(F.col("canonical_name")).alias("norm"))
+    # equal folded names always have the same target; those without a token are told apart by the name itself
+    keyed = keyed.withColumn("norm", F.when(F.col("norm") == "", F.concat(F.lit("\u0001"), "name")).otherwise(F.col("norm")))
+    heads = keyed.groupBy("entity_type", "norm").agg(F.min(F.struct("name", "entity_id")).alias("head"))
+    named = heads.where(~F.col("norm").startswith("\u0001")).select("entity_type", "norm")
+    chars = F.split("norm", "")
+    numbered = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    by_chars = overlapping_pairs(named.withColumn("items", numbered), least / (2 - least))
+    by_tokens = overlapping_pairs(named.withColumn("items", F.array_distinct(F.split("norm", " "))), least)
+
+    @F.pandas_udf("boolean")
+    def similar(first: pd.Series, second: pd.Series) -> pd.Series:
+        def test(a: str, b: str) -> bool:
+            s, t = set(a.split()), set(b.split())
+            return len(s & t) / len(s | t) >= least or difflib.SequenceMatcher(None, a, b).ratio() >= least
+
+        return pd.Series([test(a, b) for a, b in zip(first, second)], dtype=bool)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        targets: list[tuple[str, str]] = []
-        rows = []
-        for name, own in sorted(zip(pdf["name"], pdf["entity_id"])):
-            hit = next((t for n, t in targets if difflib.SequenceMatcher(None, n, name).ratio() >= least), None)
-            if hit is None:
-                targets.append((name, own))
-            rows.append((own, hit or own))
-        return pd.DataFrame(rows, columns=["entity_id", "target_id"])
-
-    return rare.select("entity_type", F.col("t.token").alias("token"), "entity_id", "name").groupBy("entity_type", "token").applyInPandas(link, "entity_id string, target_id string")
+        near: dict[tuple[str, str], list[tuple[str, str]]] = {}
+        for a, i, b, j in zip(pdf["n1"], pdf["i1"], pdf["n2"], pdf["i2"]):
+            near.setdefault((b, j), []).append((a, i))
+        linked: dict[tuple[str, str], tuple[str, str]] = {}
+        for own in sorted(near):
+            target = min((x for x in near[own] if x not in linked), default=None)
+            if target is not None:
+                linked[own] = target
+        return pd.DataFrame([(own[1], target[1]) for own, target in linked.items()], columns=["head_id", "target_id"])
+
+    order = by_chars.unionByName(by_tokens).distinct().join(heads.select("entity_type", F.col("norm").alias("a"), F.col("head").alias("ha")), ["entity_type", "a"]).join(heads.select("entity_type", F.col("norm").alias("b"), F.col("head").alias("hb")), ["entity_type", "b"])
+    turned = F.col("ha") > F.col("hb")  # the ratio depends on the order: the earlier name comes first
+    pairs = order.where(similar(F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b")))).select("entity_type", F.least("ha", "hb").alias("p"), F.greatest("ha", "hb").alias("q"))
+    ends = pairs.select("entity_type", F.col("p.name").alias("n1"), F.col("p.entity_id").alias("i1"), F.col("q.name").alias("n2"), F.col("q.entity_id").alias("i2"))
+    links = ends.groupBy("entity_type").applyInPandas(lambda key, pdf: link(pdf).assign(entity_type=key[0]), "head_id string, target_id string, entity_type string")
+    own = keyed.join(heads, ["entity_type", "norm"]).select("entity_type", "entity_id", F.col("head.entity_id").alias("head_id"))
+    return own.join(links, ["entity_type", "head_id"], "left").select("entity_id", F.coalesce("target_id", "head_id").alias("target_id"))

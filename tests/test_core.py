@@ -105,6 +105,39 @@ def test_similar_names_are_linked(spark):
     assert got == {"m__a": "m__a", "m__b": "m__a", "m__c": "m__c", "d__a": "d__a"}
 
 
+def test_similar_names_equal_a_greedy_pass_over_all_names(spark):
+    import difflib
+    import random
+
+    rng, names = random.Random(5), ["transformer", "transfomer", "tokenizer", "tokeniser", "large language model", "lage language model", "deep river graph", "graph river deep", "AI", "ai", "ML", "x of"]
+    words = "graph network river model language tokenizer transformer attention sparse deep policies".split()
+    for _ in range(140):
+        name = list(" ".join(rng.sample(words, rng.randint(1, 3))))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(name))
+            name[k : k + 1] = rng.choice(["", rng.choice("aestz"), name[k] + rng.choice("aest")])
+        names.append("".join(name))
+    rows = [(f"{t}__{k}", n, t) for k, n in enumerate(names) for t in ("m", "d")]
+    df = spark.createDataFrame(rows, "entity_id string, canonical_name string, entity_type string")
+    norms = {r.entity_id: r.norm for r in df.select("entity_id", T.alias_norm(F.col("canonical_name")).alias("norm")).collect()}
+
+    def near(a, b, low_a, low_b):
+        if not a or not b:
+            return a == b and low_a == low_b
+        s, t = set(a.split()), set(b.split())
+        return len(s & t) / len(s | t) >= 0.86 or difflib.SequenceMatcher(None, a, b).ratio() >= 0.86
+
+    want, targets = {}, {"m": [], "d": []}
+    for low, own, kind in sorted((n.lower(), i, k) for i, n, k in rows):
+        hit = next((i for n, i, text in targets[kind] if near(n, norms[own], text, low)), None)
+        if hit is None:
+            targets[kind].append((norms[own], own, low))
+        want[own] = hit or own
+    assert dict(map(tuple, corpus.merge_similar(df).collect())) == want
+    for k in (0, 2, 4, 6, 8):
+        assert want[f"m__{k}"] == want[f"m__{k + 1}"]
+
+
 def test_upper_median(spark):
     rows = spark.createDataFrame([("a", v) for v in (5, 1, 3, 4)] + [("b", 2)], "g string, v int")
     assert {(r.g, r.median) for r in graph.upper_median(rows, "g", "v").collect()} == {("a", 4), ("b", 2)}
