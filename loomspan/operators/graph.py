@@ -126,6 +126,30 @@ def beam_paths(edges: DataFrame, depth: int = 4, beam: int = 6, fan_out: int = 6
     return reduce(DataFrame.unionByName, found)
 
 
+def successor_paths(edges: DataFrame, depth: int = 4, fan_out: int = 4) -> DataFrame:
+    """Strict successor paths (GRF04), unique by their edges: ``edge_path, path, score`` (mean confidence), ``depth``.
+
+    ``edges`` (edge_id, source, target, confidence, time_delta_days); parallel edges are paths of their own. Every edge is a
+    path of one step. Longer ones start where no edge ends, or everywhere if there is no such entity; only for these each
+    entity goes on by its first ``fan_out`` edges, and to none that the path holds.
+    """
+    e = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "source", "target", "confidence", F.coalesce("time_delta_days", F.lit(0)).alias("days"))
+    filled = reduce(lambda a, b: a & b, (F.coalesce(F.col(c), F.lit("")) != "" for c in ("edge_id", "source", "target")))
+    row = [F.col("source").alias("start"), F.array("edge_id").alias("edges"), F.array("source", "target").alias("path"), F.col("target").alias("tip"), F.col("confidence").alias("total")]
+    out = top_per_group(e, ["source"], [F.desc("confidence"), "days", "target", "edge_id"], fan_out).where(filled).select("edge_id", "source", "target", "confidence")
+    ends = e.select(F.col("target").alias("source")).distinct().withColumn("ended", F.lit(True))
+    sources = e.select("source").distinct().join(ends, "source", "left").select("source", F.col("ended").isNull().alias("free"))
+    any_free = sources.agg(F.max("free").alias("any"))  # one row
+    starts = sources.join(F.broadcast(any_free), F.col("free") == F.col("any")).select("source")
+    level = out.where("source <> target").join(starts, "source", "left_semi").select(*row)
+    levels = [e.where(filled).select(*row)]
+    for _ in range(1, depth):
+        level = level.join(out, level["tip"] == out["source"]).where(~F.array_contains("path", F.col("target"))).select("start", F.concat("edges", F.array("edge_id")).alias("edges"), F.concat("path", F.array("target")).alias("path"), F.col("target").alias("tip"), (F.col("total") + F.col("confidence")).alias("total"))
+        levels.append(level)
+    steps = F.size("edges")
+    return reduce(DataFrame.unionByName, levels).select(F.array_join("edges", ">").alias("edge_path"), F.array_join("path", ">").alias("path"), F.round(F.col("total") / steps, 6).alias("score"), steps.alias("depth"))
+
+
 def year_series(facts: dict[str, DataFrame]) -> DataFrame:
     """A row for each year from the first to the last of any table (column ``year``), with counts, gaps 0 (JOI23)."""
     parts = [df.groupBy("year").agg(F.count("*").alias(n)).select("year", *(F.col(n) if n == m else F.lit(0).cast("long").alias(m) for m in facts)) for n, df in facts.items()]

@@ -313,6 +313,16 @@ def _(spark, d):
     return graph.beam_paths(e, 3, 10**6, 4).select("path", "depth")
 
 
+@query("grf04_successor_edge_paths", f"""WITH RECURSIVE {tb.EDGES}, e AS (SELECT edge_id, source, target, confidence, time_delta_days AS days FROM edge WHERE verified AND source_type = target_type AND source < target),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, days, target, edge_id::VARCHAR) AS r FROM e) WHERE r <= 4), free AS (SELECT DISTINCT source FROM e WHERE source NOT IN (SELECT target FROM e)),
+p AS (SELECT [edge_id] AS edges, [source, target] AS path, target AS tip, confidence AS total FROM o WHERE source IN (FROM free) OR NOT EXISTS (FROM free)
+ UNION ALL SELECT list_append(edges, o.edge_id), list_append(path, o.target), o.target, total + o.confidence FROM p JOIN o ON p.tip = o.source WHERE len(edges) < 4 AND NOT list_contains(path, o.target))
+SELECT array_to_string(edges, '>') AS edge_path, array_to_string(path, '>') AS path, round(total / len(edges), 6)::DOUBLE AS score, len(edges)::INTEGER AS depth
+FROM (SELECT [edge_id] AS edges, [source, target] AS path, confidence AS total FROM e UNION ALL SELECT edges, path, total FROM p WHERE len(edges) > 1)""")
+def _(spark, d):
+    return graph.successor_paths(tb.edges(spark, d).where("verified and source_type = target_type and source < target"), 4, 4)
+
+
 @query("win01_adaptive_windows")
 def _(spark, d):
     return windows.adaptive_windows(tb.events(spark, d), {"document": 100, "mention": 120, "edge": 90}, 1, 5).select("scope", "event_id", "window_index", "closed_by")

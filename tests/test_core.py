@@ -89,6 +89,39 @@ def test_beam(spark):
     assert ("a>b", 0.9) in got and ("a>b>c", 0.85) in got and not any(p.startswith("a>b>c>a") for p, _ in got)
 
 
+def test_successor_paths_hold_every_edge_and_four_steps(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"e{k}", "hub", f"t{k % 6}", round(0.9 - 0.01 * k, 2), k) for k in range(8)]
+    rows += [(f"f{k}", f"t{k}", f"t{k + 1}", 0.5, 1) for k in range(5)] + [("back", "t3", "t1", 0.9, 1), ("self", "t5", "t5", 0.9, 1)]
+    rows += [(f"r{k}", f"n{rng.randrange(9)}", f"n{rng.randrange(2, 9)}", rng.randrange(4) / 4, rng.randrange(3)) for k in range(60)]
+    for part in (rows, [r for r in rows if r[0] in ("back", "f1", "f2")]):
+        out, want = {}, {(r[0],): (r[1], r[2]) for r in part}
+        for r in sorted(part, key=lambda r: (-r[3], r[4], r[2], r[0])):
+            out.setdefault(r[1], []).append(r)
+
+        def extend(path, edges):
+            for r in out.get(path[-1], [])[:4] if len(edges) < 4 else []:
+                if r[2] not in path:
+                    want[(*edges, r[0])] = (*path, r[2])
+                    extend((*path, r[2]), (*edges, r[0]))
+
+        for start in {r[1] for r in part} - {r[2] for r in part} or {r[1] for r in part}:
+            extend((start,), ())
+        got = graph.successor_paths(spark.createDataFrame(part, "edge_id string, source string, target string, confidence double, time_delta_days int")).collect()
+        assert sorted((r.edge_path, r.path, r.depth) for r in got) == sorted((">".join(e), ">".join(p), len(e)) for e, p in want.items())
+        assert len(part) < 9 or max(r.depth for r in got) == 4
+
+
+NEW_QUERIES = ["grf04_successor_edge_paths"]
+
+
+@pytest.mark.parametrize("name", NEW_QUERIES)
+def test_whole_queries_equal_their_sql(spark, name):
+    test_queries_equal_their_sql(spark, name)
+
+
 def test_windows_close_and_stay_open(spark):
     rows = [("s", k, f"2020-01-{k + 1:02d}", "document") for k in range(9)] + [("t", 50, "2020-01-01", "edge"), ("t", 51, None, "edge"), (None, 52, "2020-01-01", "edge")]
     events = spark.createDataFrame(rows, "scope string, event_id long, day string, kind string").withColumn("day", F.to_date("day"))
