@@ -118,13 +118,20 @@ def relevance(text: Column, exact: list[str], groups: list[list[str]]) -> Column
 def fuzzy_assign(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
     """Known pairs and those whose child node's label matches the text by phrase or tokens (JOI03, STR09).
 
-    A match needs at least one shared token, so documents meet labels by an equi-join on tokens.
+    A label inside a text may share no token with it (``AI``, or a part of a longer word), so the configured labels are
+    broadcast and looked for in each text; a match by tokens has a shared one, so documents meet labels by an equi-join.
     """
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
-    labels = nodes.where("parent_id is not null").select("node_id", "label", F.explode(F.array_distinct(T.tokenize(F.col("label")))).alias("token"))
-    near = words.join(labels, "token").groupBy("doc_id", "node_id").agg(F.first("text").alias("text"), F.first("label").alias("label"))
-    hit = near.where(T.phrase_match(F.col("text"), F.col("label"))).select("doc_id", "node_id")
-    return known.select("doc_id", "node_id").unionByName(hit).distinct()
+    children = nodes.where("parent_id is not null").select("node_id", "label")
+    low = lambda c: F.lower(T.normalize_space(F.col(c)))
+    held = docs.select("doc_id", low("text").alias("low")).join(F.broadcast(children.select("node_id", low("label").alias("phrase"))), F.contains("low", "phrase")).select("doc_id", "node_id")
+    # the row tells apart rows that repeat an id; the text itself isn't moved
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    words = numbered.select("doc_id", "row", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
+    own = F.array_distinct(T.tokenize(F.col("label")))
+    labels = children.select("node_id", "label", F.size(own).alias("tokens"), F.explode(own).alias("token"))
+    near = words.join(F.broadcast(labels), "token").groupBy("row", "doc_id", "node_id", "label", "tokens").agg(F.count_distinct("token").alias("common"))
+    hit = near.where(F.col("common") >= 0.67 * F.col("tokens")).select("doc_id", "node_id")
+    return known.select("doc_id", "node_id").unionByName(held).unionByName(hit).distinct()
 
 
 def successor_candidates(entities: DataFrame, scope: str, per_target: int = 6) -> tuple[DataFrame, DataFrame]:

@@ -114,7 +114,14 @@ def test_successor_paths_hold_every_edge_and_four_steps(spark):
         assert len(part) < 9 or max(r.depth for r in got) == 4
 
 
-NEW_QUERIES = ["grf04_successor_edge_paths"]
+def test_labels_inside_texts_are_assigned_without_a_shared_token(spark):
+    docs = spark.createDataFrame([(1, "We use AI here"), (2, "about metaheuristics"), (3, "river  Deep things"), (4, "none")], "doc_id long, text string")
+    nodes = spark.createDataFrame([("ai", "p", "AI"), ("heur", "p", "heuristic"), ("deep", "p", "deep river"), ("root", None, "none")], "node_id string, parent_id string, label string")
+    known = spark.createDataFrame([(4, "k")], "doc_id long, node_id string")
+    assert {tuple(r) for r in evidence.fuzzy_assign(docs, nodes, known).collect()} == {(1, "ai"), (2, "heur"), (3, "deep"), (4, "k")}
+
+
+NEW_QUERIES = ["joi03_fuzzy_assignment", "grf04_successor_edge_paths"]
 
 
 @pytest.mark.parametrize("name", NEW_QUERIES)
