@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.operators import corpus, evidence, graph
+from loomspan.plans import registry
 from loomspan.plans import tables as tb
 from loomspan.plans.graph_queries import _weights
 from loomspan.plans.registry import query
@@ -115,6 +116,12 @@ def _(spark, d):
     return hooks.where("kind <> 'chain'")
 
 
+@query("grf06_agg32_all_hooks", f"SELECT kind, key, weight FROM ({registry.SQL['grf06_agg32_hooks']}) UNION ALL SELECT 'chain', path, score FROM ({registry.SQL['grf01_chains']})")
+def _(spark, d):
+    e = tb.edges(spark, d)
+    return evidence.forecast_hooks(graph.beam_paths(_weights(spark, d), 4, 5, 5), graph.branch_points(e), e.where("not verified and edge_type = 'background'"))
+
+
 @query("grf07_induction", f"""WITH t AS (SELECT {tok('text')} AS t FROM documents), g AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS phrase FROM t), c AS (SELECT phrase, count(*) AS n FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6)
 SELECT 'topic' AS node_id, NULL::VARCHAR AS parent_id, 'topic' AS label, (SELECT count(*) FROM documents) AS support UNION ALL SELECT 'topic__' || coalesce(nullif(trim(regexp_replace(lower(phrase), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown'), 'topic', phrase, n FROM c WHERE n >= 2""")
 def _(spark, d):

@@ -121,7 +121,7 @@ def test_labels_inside_texts_are_assigned_without_a_shared_token(spark):
     assert {tuple(r) for r in evidence.fuzzy_assign(docs, nodes, known).collect()} == {(1, "ai"), (2, "heur"), (3, "deep"), (4, "k")}
 
 
-NEW_QUERIES = ["joi03_fuzzy_assignment", "grf04_successor_edge_paths"]
+NEW_QUERIES = ["grf06_agg32_all_hooks", "joi03_fuzzy_assignment", "grf04_successor_edge_paths"]
 
 
 @pytest.mark.parametrize("name", NEW_QUERIES)
@@ -129,6 +129,11 @@ def test_whole_queries_equal_their_sql(spark, name):
     test_queries_equal_their_sql(spark, name)
 
 
+def test_hooks_have_every_family(spark):
+    kinds = {r.kind: r.n for r in registry.QUERIES["grf06_agg32_all_hooks"](spark, DATA).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"chain", "branch", "bottleneck"} and kinds["chain"] == registry.QUERIES["grf01_chains"](spark, DATA).count()
+
+
 def test_windows_close_and_stay_open(spark):
     rows = [("s", k, f"2020-01-{k + 1:02d}", "document") for k in range(9)] + [("t", 50, "2020-01-01", "edge"), ("t", 51, None, "edge"), (None, 52, "2020-01-01", "edge")]
     events = spark.createDataFrame(rows, "scope string, event_id long, day string, kind string").withColumn("day", F.to_date("day"))
