@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.operators import corpus, graph, insight, windows
+from loomspan.plans import registry
 from loomspan.plans import tables as tb
 from loomspan.plans.registry import query
 from loomspan.plans.text_queries import tok
@@ -305,6 +306,11 @@ def _(spark, d):
     return graph.beam_paths(_weights(spark, d), 3, 6, 6)
 
 
+@query("grf02_trajectories_of_4", _beam_sql(4, 6, 6), tb.EDGES)
+def _(spark, d):
+    return graph.beam_paths(_weights(spark, d), 4, 6, 6)
+
+
 @query("grf04_successor_paths", """WITH w AS (SELECT source, target, max(confidence) AS weight FROM edge WHERE verified AND source_type = target_type AND source < target GROUP BY 1, 2), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS r FROM w) WHERE r <= 4),
 p2 AS (SELECT a.source AS s, a.target AS m, b.target AS t FROM o a JOIN o b ON a.target = b.source WHERE b.target <> a.source)
 SELECT source || '>' || target AS path, 1 AS depth FROM o UNION ALL SELECT s || '>' || m || '>' || t, 2 FROM p2 UNION ALL SELECT s || '>' || m || '>' || p2.t || '>' || o.target, 3 FROM p2 JOIN o ON p2.t = o.source WHERE o.target NOT IN (s, m)""", tb.EDGES)
@@ -487,7 +493,7 @@ def _(spark, d):
 
 @query("agg23_trajectory_metrics", None)
 def _(spark, d):
-    paths = graph.beam_paths(_weights(spark, d), 3, 6, 6)
+    paths = graph.beam_paths(_weights(spark, d), 4, 6, 6)
     one = paths.agg(F.count("*").cast("double").alias("trajectories"), F.round(F.avg("score"), 6).alias("mean_score"), F.avg("depth").alias("mean_depth"), F.count_distinct("start").cast("double").alias("starts"))
     return one.select(F.expr("stack(4, 'trajectories', trajectories, 'mean_score', mean_score, 'mean_depth', mean_depth, 'starts', starts) AS (metric, value)"))
 
@@ -527,6 +533,12 @@ def _(spark, d):
     return insight.older_sources(e, "entity_type", 18, 6)
 
 
+@query("joi13_sco04_top_120", registry.SQL["joi13_sco04_older_sources"].replace("rank <= 6", "rank <= 120"))
+def _(spark, d):
+    e = corpus.build_entities(tb.mentions(spark, d)).withColumn("tokens", F.array_distinct(T.tokenize(F.col("canonical_name"))))
+    return insight.older_sources(e, "entity_type", 18, 120)
+
+
 @query("joi15_screened_corpus", """WITH x AS (SELECT doc_id, arg_max(quality, toxic) AS quality FROM labels GROUP BY 1) SELECT CASE quality WHEN 1 THEN 'core' WHEN 0 THEN 'support' ELSE 'skipped' END AS role, count(*) AS n FROM documents LEFT JOIN x ON documents.doc_id = x.doc_id GROUP BY 1""")
 def _(spark, d):
     x = corpus.last_wins(tb.table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "toxic")

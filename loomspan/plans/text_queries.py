@@ -95,6 +95,15 @@ def _(spark, d):
     return tb.table(spark, d, "documents").select("doc_id", T.entity_name(F.substring("text", 1, 40)).alias("name"))
 
 
+@query("str10_whole_names", rf"""WITH n AS (SELECT 'part' AS kind, p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name FROM customer UNION ALL SELECT 'text', doc_id, text FROM documents),
+s AS (SELECT kind, id, regexp_replace({norm('name')}, '^[ .,:;()\[\]{{}}]+|[ .,:;()\[\]{{}}]+$', '', 'g') AS b FROM n)
+SELECT kind, id, CASE WHEN len(string_split(b, ' ')) > 6 OR lower(b) IN ('the', 'this', 'that', 'these', 'those', 'our', 'we') THEN '' ELSE b END AS name FROM s""")
+def _(spark, d):
+    whole = lambda kind, table, key, name: tb.table(spark, d, table).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), T.entity_name(F.col(name)).alias("name"))
+    names = whole("part", "part", "p_partkey", "p_name").unionByName(whole("supplier", "supplier", "s_suppkey", "s_name")).unionByName(whole("customer", "customer", "c_custkey", "c_name"))
+    return names.unionByName(whole("text", "documents", "doc_id", "text"))
+
+
 _SING = "CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN regexp_replace(t, 'ies$', 'y') WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 3 THEN regexp_replace(t, 's$', '') ELSE t END"
 
 

@@ -121,7 +121,7 @@ def test_labels_inside_texts_are_assigned_without_a_shared_token(spark):
     assert {tuple(r) for r in evidence.fuzzy_assign(docs, nodes, known).collect()} == {(1, "ai"), (2, "heur"), (3, "deep"), (4, "k")}
 
 
-NEW_QUERIES = ["grf06_agg32_all_hooks", "joi03_fuzzy_assignment", "grf04_successor_edge_paths"]
+NEW_QUERIES = ["grf02_trajectories_of_4", "joi13_sco04_top_120", "str10_whole_names", "grf06_agg32_all_hooks", "joi03_fuzzy_assignment", "grf04_successor_edge_paths"]
 
 
 @pytest.mark.parametrize("name", NEW_QUERIES)
@@ -134,6 +134,13 @@ def test_hooks_have_every_family(spark):
     assert set(kinds) == {"chain", "branch", "bottleneck"} and kinds["chain"] == registry.QUERIES["grf01_chains"](spark, DATA).count()
 
 
+def test_registered_parameters_are_whole(spark):
+    paths = registry.QUERIES["grf02_trajectories_of_4"](spark, DATA)
+    metrics = dict(map(tuple, registry.QUERIES["agg23_trajectory_metrics"](spark, DATA).collect()))
+    assert paths.agg(F.max("depth")).first()[0] == 4 and metrics["trajectories"] == paths.count()
+    assert registry.QUERIES["joi13_sco04_top_120"](spark, DATA).agg(F.max("rank")).first()[0] > 6
+
+
 def test_windows_close_and_stay_open(spark):
     rows = [("s", k, f"2020-01-{k + 1:02d}", "document") for k in range(9)] + [("t", 50, "2020-01-01", "edge"), ("t", 51, None, "edge"), (None, 52, "2020-01-01", "edge")]
     events = spark.createDataFrame(rows, "scope string, event_id long, day string, kind string").withColumn("day", F.to_date("day"))
