@@ -110,9 +110,9 @@ NODE = ty.StructType([ty.StructField(n, ty.StringType()) for n in ("node_id", "d
 
 
 def load_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Taxonomy nodes from a flat list, JSON lines, nested ``children``, or an object keyed by dimension (SRC05, SRC06, SRC08).
+    """Taxonomy nodes from a flat list, JSON lines, nested ``children``, or an object dimension -> root node or list of nodes (SRC05, SRC06, SRC08).
 
-    A taxonomy is a small file that a person maintains; it is read on the driver through Spark. Nodes without a label go; an id
+    A taxonomy is a small file that a person maintains; it is read on the driver through Spark. A node without a label goes, its children stay; an id
     that occurs again gets a numbered suffix.
     """
     text = "\n".join(r.value for r in spark.read.text(path).collect())
@@ -123,21 +123,26 @@ def load_nodes(spark: SparkSession, path: str) -> DataFrame:
     rows: list[tuple] = []
     seen: dict[str, int] = {}
 
-    def add(node: dict, parent: str | None, dimension: str) -> None:
+    def add(node: Any, parent: str | None, dimension: str) -> None:
+        if not isinstance(node, dict):
+            return
+        dim = str(node.get("dimension") or dimension)
         label = str(node.get("canonical_label") or node.get("label") or node.get("name") or "").strip()
         if not label:
+            # only this row goes
+            for child in node.get("children") or []:
+                add(child, str(node.get("node_id") or node.get("id") or "") or None, dim)
             return
         own = str(node.get("node_id") or node.get("id") or label.lower().replace(" ", "_"))
         seen[own] = seen.get(own, 0) + 1
         own = own if seen[own] == 1 else f"{own}_{seen[own]:04d}"
-        dim = str(node.get("dimension") or dimension)
         rows.append((own, dim, label, node.get("parent_id") or parent, node.get("definition") or "", [str(a) for a in node.get("aliases") or []]))
         for child in node.get("children") or []:
             add(child, own, dim)
 
-    if isinstance(data, dict) and "nodes" not in data and all(isinstance(x, list) for x in data.values()):
+    if isinstance(data, dict) and not isinstance(data.get("nodes"), list) and all(isinstance(x, (list, dict)) for x in data.values()):
         for dim, nodes in data.items():
-            for node in nodes:
+            for node in nodes if isinstance(nodes, list) else [nodes]:
                 add(node, None, dim)
     else:
         for node in data.get("nodes", [data]) if isinstance(data, dict) else data:

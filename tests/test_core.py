@@ -233,6 +233,13 @@ def test_taxonomies(spark, tmp_path):
     assert {tuple(r) for r in loaders.load_assignments(loaders.read_lines(spark, str(tmp_path / "a.jsonl"))).collect()} == {("d", "a"), ("d", "b"), ("e", "a"), ("e", "c")}
 
 
+def test_taxonomies_by_dimension_and_under_nodes_without_a_label(spark, tmp_path):
+    data = {"theme": {"node_id": "t", "label": "Theme", "children": [{"node_id": "x", "children": [{"label": "Deep", "children": [{"label": "Deeper"}]}]}, "no node"]}, "method": {"children": [{"node_id": "m", "label": "M"}]}, "list": [{"label": "L"}]}
+    (tmp_path / "t.json").write_text(json.dumps(data))
+    got = {(r.node_id, r.dimension, r.parent_id) for r in loaders.load_nodes(spark, str(tmp_path / "t.json")).collect()}
+    assert got == {("t", "theme", None), ("deep", "theme", "x"), ("deeper", "theme", "deep"), ("m", "method", None), ("l", "list", None)}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, ["a"]), (1, ["b", "c"])], "k int, v array<string>")
     sinks.write_jsonl(df, str(tmp_path / "j"), ["k"])
