@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ class ArcRecord:
 
 def _clean(value: str | None, other: str = "-") -> str:
     """A header field: ARC separates fields by blanks, so others are escaped."""
-    text = "".join(c if c > " " and c != "\x7f" else "%{:02X}".format(ord(c)) for c in (value or "")[:2083])
+    text = "".join(c if c > " " and c != "\x7f" else "%{:02X}".format(ord(c)) for c in value or "")
     return text or other
 
 
@@ -153,7 +154,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
     for batch in batches:
         for packed in batch.column(0):
-            data = zlib.decompressobj(47).decompress(packed.as_py())
+            data = gzip.GzipFile(fileobj=io.BytesIO(packed.as_py())).read()  # all members
             rows = []
             for head, block in parse_warc(data):
                 digest, kind = head["warc-payload-digest"].removeprefix("sha256:"), head["warc-type"]

@@ -402,6 +402,17 @@ def test_archives(spark):
     assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.date) for r in got) and len({r.record_id for r in got}) == 62
 
 
+def test_long_urls_and_gzip_members(spark, tmp_path):
+    import gzip
+
+    urls = ["http://h/" + "a" * 3000 + end for end in "xy"]
+    got = warc.round_trip(spark.createDataFrame([(k, u, "<p>") for k, u in enumerate(urls)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.url for r in got} == dict(enumerate(urls))
+    records = [warc.warc_record(r, k, None) + warc.TAIL.encode() for k, r in enumerate(warc.parse_arc(warc.arc_header(1) + b"".join(warc.arc_record(1, u, b"body") for u in urls)))]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    assert {r.page_id: r.url for r in warc.read_archives(spark, str(tmp_path)).collect()} == dict(enumerate(urls))
+
+
 def test_empty_tables(spark, none):
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     labels = spark.createDataFrame([], "doc_id long, quality int")
