@@ -14,9 +14,12 @@ from loomspan.llm.components import components
 from loomspan.llm.setsketch import REGISTERS, likelier, sketches
 from loomspan.llm.shingles import in_batches
 
-#: 32 bands of 4 registers: a pair at similarity 0.75 shares none with a probability of 5e-6, and less above.
+#: 32 bands of 4 registers: a pair at similarity 0.75 shares none with a probability of 5e-6, and less above. That holds for
+#: independent registers; those of tiny sets aren't (of pairs of 4 and 3 shingles 15 of 60,000 shared none), so
+#: a pair with a set of at most ``TINY`` shingles meets by its shingles and is always verified.
 ROWS = 4
 BANDS = REGISTERS // ROWS
+TINY = 8
 #: Documents that are compared in one task: two blocks of about so many, or of so many shingles.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 22
 #: Pairs whose estimate lies under the threshold by this much (over 5 standard errors) are not verified.
@@ -31,7 +34,19 @@ def _key(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_shingles(own: np.ndarray, percent: int) -> list[int]:
+    """Shingles of which two similar sets share one, if either has at most ``TINY``; none of larger sets, or where only equal sets are similar.
+
+    Similar sets of n shingles have ``need`` in common at least, so they meet in the least n - need + 1.
+    """
+    n = len(own)
+    need = -(-percent * n // 100)
+    if percent * n > 100 * TINY or (need == n and percent * (n + 1) > 100 * n):
+        return []
+    return np.sort(own)[: n - need + 1].view(np.int64).tolist()
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], percent: int = 75) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         sets: list[np.ndarray] = []
@@ -46,17 +61,18 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_key(s) for s in sets], pa.binary()),
                         pa.array([row.astype("<u2").tobytes() for row in table], pa.binary()),
+                        pa.array([_first_shingles(s, percent) for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "node", "sketch"],
+                    ["doc_id", "n_shingles", "node", "sketch", "first"],
                 )
                 at += len(sets)
                 sets = []
 
 
-def sketch_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch) of each row; equal shingle sets have the same ``node``, a 128-bit digest."""
-    schema = "doc_id long, n_shingles long, node binary, sketch binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketched, schema)
+def sketch_table(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, node, sketch, first) of each row; equal shingle sets have the same ``node``, a 128-bit digest."""
+    schema = "doc_id long, n_shingles long, node binary, sketch binary, first array<bigint>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _sketched(batches, percent), schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +89,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(sets: list[np.ndarray], tables: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs share a band, have a sufficient estimate and reach the similarity on the full sets."""
+    """Which pairs share a band and have a sufficient estimate, or have a tiny set, and reach the similarity on the full sets."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     a, b = np.triu_indices(n, 1)
@@ -82,10 +98,12 @@ def _linked(sets: list[np.ndarray], tables: np.ndarray, percent: int) -> np.ndar
         i, j = a[lo : lo + (1 << 15)], b[lo : lo + (1 << 15)]
         x, y = tables[i], tables[j]
         equal = x == y
-        band = equal.reshape(len(i), -1, ROWS).all(2).any(1)
-        i, j, x, y, equal = i[band], j[band], x[band], y[band], equal[band]
+        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        tiny = (small <= TINY) & (percent * large <= 100 * small)
+        band = tiny | equal.reshape(len(i), -1, ROWS).all(2).any(1)
+        i, j, x, y, equal, tiny = i[band], j[band], x[band], y[band], equal[band], tiny[band]
         if len(i):
-            good = likelier((x > y).sum(1), (x < y).sum(1), equal.sum(1), size[i], size[j], percent / 100 - SLACK)
+            good = tiny | likelier((x > y).sum(1), (x < y).sum(1), equal.sum(1), size[i], size[j], percent / 100 - SLACK)
             out[i[good], j[good]] = True
     rows = np.flatnonzero(out.any(0) | out.any(1))
     if not len(rows):
@@ -137,12 +155,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Components of documents that are linked by 100 * common >= ``percent`` * united distinct 5-word shingles.
 
     1. One pass gives every document a SetSketch of its shingle set; equal sets become one node.
-    2. Nodes that share a band of registers are candidates: each is tied to the least node of its bucket
+    2. Nodes that share a band of registers, or one of the first shingles of small sets, are candidates: each is tied to the least node of its bucket
        (pre-aggregated minima, then a join that Spark can split), and the components of these ties
        are the regions inside which all links lie. Band parameters: see ``ROWS``.
     3. A region is dealt, by hash, into blocks of about ``BLOCK`` documents, and each pair of blocks is a
        task of its own: pairs that share a band and whose jointly estimated similarity is near
-       the threshold are verified exactly, by a matrix product that counts common shingles. All candidate pairs
+       the threshold, and all with a tiny set, are verified exactly, by a matrix product that counts common shingles. All candidate pairs
        of a region are treated, none leaves the task: it returns a spanning forest.
     4. The components of the verified links; each is named by its least doc_id.
 
@@ -152,11 +170,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     never a component's name unless all its documents have none. Rows that repeat an id get their own
     row each. Shingles are compared by 64-bit hashes, nodes by 128-bit ones.
     """
-    table = written(sketch_table(docs))
-    nodes = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+    table = written(sketch_table(docs, percent))
+    nodes = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.first("first").alias("first"))
     nodes = written(nodes)
     band = F.explode(F.array(*(F.struct(F.lit(b).cast("byte").alias("no"), F.xxhash64(F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS)).alias("value")) for b in range(BANDS))))
     bands = nodes.select("node", band.alias("band")).select("node", F.xxhash64("band.no", "band.value").alias("band"))
+    bands = bands.unionByName(nodes.select("node", F.explode("first").alias("band")))
     buckets = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("band", "hub")
     ties = bands.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     regions = written(components(ties))

@@ -402,6 +402,23 @@ def test_archives(spark):
     assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.date) for r in got) and len({r.record_id for r in got}) == 62
 
 
+def test_tiny_sets_that_share_no_band_are_linked(spark):
+    from loomspan.llm.shingles import in_batches as shingled
+
+    found = ["659297 936330 275050 634473 906150 54012 542934 846298", "48568 252069 396206 48480 688854 399269 35560 268818", "862541 823150 301554 103569 883232 936511 900893 89972", "524378 832358 67065 38412 63951 289400 623128 632537"]
+    longer = [" ".join(f"w{w}" for w in x.split()) for x in found]
+    texts = [*longer, *(x.rpartition(" ")[0] for x in longer)]
+    tables = sketches(list(shingled(iter(texts))))
+    assert not (tables[:4] == tables[4:]).reshape(4, -1, 4).all(2).any()
+    rng = random.Random(4)
+    for n in range(3, 13):  # a random set of words, without its last or first
+        words = [f"v{rng.randrange(10**6)}" for _ in range(n + 4)]
+        texts += [" ".join(words), " ".join(words[:-1]), " ".join(words[1:])]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k + 4] for k in range(4)] == [0, 1, 2, 3]
+    assert all(got[k] == got[k + 1] == got[k + 2] for k in range(11, len(texts), 3)) and len({got[8], got[9], got[10]}) == 3
+
+
 def test_long_urls_and_gzip_members(spark, tmp_path):
     import gzip
 
