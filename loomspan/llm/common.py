@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,34 +16,62 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders of the tables that :func:`written` made inside a :func:`scratch`, innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("_OPEN", default=())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the checkpoint folder that all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where neither it nor a checkpoint folder is
-    set (local tests) a folder of this machine is taken.
+    ``spark.checkpoint.dir`` names it on a cluster; where it is missing there, this raises. Only a local
+    master, whose executors share this machine's disk, gets a temporary folder of its own.
     """
     context = spark.sparkContext
     root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        context.setCheckpointDir("/tmp/checkpoints")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/loomspan-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, **options: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, keep: bool = False, **options: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    Inside a :func:`scratch` it is deleted at its end, unless ``keep`` is set.
+    """
     path = shared_folder(df.sparkSession)
+    if _OPEN.get() and not keep:
+        _OPEN.get()[-1].append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; what is still read after it must be written with ``keep``."""
+    own: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), own))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in own:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that nothing reads any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    """Delete the files of a table made by :func:`written` that nothing reads any more; another table is left alone."""
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if path.getName().startswith("loomspan-"):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        folder = file.rpartition("/")[0]
+        if folder.rpartition("/")[2].startswith("loomspan-"):
+            _delete(df.sparkSession, folder)
 
 
 def whole_text(name: str = "text") -> Column:
