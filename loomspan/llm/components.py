@@ -7,32 +7,48 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import drop_written, written
 
+#: A node with more than one in so many of all edges is heavy: there are at most twice as many heavy nodes.
+HEAVY = 1000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` with the value ``m`` of their ``a`` in ``least`` (a, m, n), where n counts the edges of a.
+
+    The few heavy nodes are broadcast, so the edges of one node need no task of their own; the rest is joined by hash.
+    """
+    heavy = F.col("n") * HEAVY > total
+    big = F.broadcast(least.where(heavy).select("a", "m"))
+    small = least.where(~heavy).select("a", "m")
+    return edges.join(big, "a").select("a", "b", "m").unionByName(edges.join(big, "a", "left_anti").join(small, "a").select("a", "b", "m"))
+
+
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node has one lesser neighbour, which has none itself; an edge leads from the greater to the lesser node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty()
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (columns ``a`` and ``b``); a component is its least node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until every edge leads to the
-    least node of its component. Each step is a pre-aggregated minimum for each node and a join that
-    Spark can split where a node has very many edges; no step gathers a component anywhere. Each round
-    is written to the shared folder. Self loops are
-    left out.
+    least node of its component. Each step is a pre-aggregated minimum for each node and a join back, with
+    the heavy nodes broadcast; no step gathers a component anywhere. Each round
+    is written to the shared folder. Self loops and null ends are left out.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    last = None  # count and sum of hashes of the edges: equal if a round changes none
-    while True:
+    while not _is_star(now):
+        total = now.count()
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         # large star: greater neighbours go to the least neighbour
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = _with_least(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: lesser neighbours, and the node itself, go to the least one
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        new = written(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        new = written(small.where("a <> b").distinct())
         drop_written(now)
-        now, same, last = new, mark == last, mark
-        if same:
-            break
+        now = new
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.unionByName(roots)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import written
@@ -16,12 +18,16 @@ from loomspan.llm.shingles import in_batches
 
 #: 32 bands of 4 registers: a pair at similarity 0.75 shares none with a probability of 5e-6, and less above. That holds for
 #: independent registers; those of tiny sets aren't (of pairs of 4 and 3 shingles 15 of 60,000 shared none), so
-#: a pair with a set of at most ``TINY`` shingles meets by its shingles and is always verified.
+#: a pair with a set of at most ``TINY`` shingles meets by its common part, exactly.
 ROWS = 4
 BANDS = REGISTERS // ROWS
 TINY = 8
-#: Documents that are compared in one task: two blocks of about so many, or of so many shingles.
-BLOCK, BLOCK_SHINGLES = 128, 1 << 22
+#: Passes, at most, in which each bucket's members are held against one of them; what is then still open is compared by blocks.
+PASSES = 4
+#: Members that are held against a hub in one task, and shingles: a hub with more is copied.
+MEMBERS, SHINGLES = 2048, 1 << 20
+#: Documents of a block; two blocks are compared in a task.
+BLOCK = 512
 #: Pairs whose estimate lies under the threshold by this much (over 5 standard errors) are not verified.
 SLACK = 0.2
 #: Columns of the matrices whose product counts common shingles.
@@ -29,193 +35,339 @@ WIDTH = 8192
 
 
 def _key(own: np.ndarray) -> bytes:
-    import hashlib
-
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _first_shingles(own: np.ndarray, percent: int) -> list[int]:
-    """Shingles of which two similar sets share one, if either has at most ``TINY``; none of larger sets, or where only equal sets are similar.
+def _parts(own: np.ndarray, percent: int) -> list[dict]:
+    """Of a set that may be similar to a tiny one, the digests of the parts that the two could have in common, and how many shingles are left out.
 
-    Similar sets of n shingles have ``need`` in common at least, so they meet in the least n - need + 1.
+    A set of n and one of m shingles with c in common are similar if 100 * c >= percent * (n + m - c); so c >= percent * n / 100.
     """
     n = len(own)
-    need = -(-percent * n // 100)
-    if percent * n > 100 * TINY or (need == n and percent * (n + 1) > 100 * n):
+    least = -(-percent * n // 100)
+    if not 0 < percent * n <= 100 * TINY:
         return []
-    return np.sort(own)[: n - need + 1].view(np.int64).tolist()
+    return [{"part": _key(own[list(held)]), "extra": n - size} for size in range(least, n + 1) for held in combinations(range(n), size)]
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], percent: int = 75) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("part", pa.binary()), ("extra", pa.int32())]))
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
         sets: list[np.ndarray] = []
         at = 0
-        for own in in_batches(t.as_py() for t in texts):
+        for own in in_batches(t.as_py() for t in batch.column(2)):
             sets.append(own)
-            if len(sets) == 512 or at + len(sets) == len(texts) or sum(map(len, sets[-8:])) > BLOCK_SHINGLES:
+            if len(sets) == 512 or at + len(sets) == len(batch) or sum(map(len, sets[-8:])) > 1 << 22:
                 table = sketches(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(at, len(sets)),
+                        *(batch.column(k).slice(at, len(sets)) for k in (0, 1)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_key(s) for s in sets], pa.binary()),
                         pa.array([row.astype("<u2").tobytes() for row in table], pa.binary()),
-                        pa.array([_first_shingles(s, percent) for s in sets], pa.list_(pa.int64())),
+                        pa.array([_parts(s, percent) for s in sets], kind),
                     ],
-                    ["doc_id", "n_shingles", "node", "sketch", "first"],
+                    ["doc_id", "text_key", "n_shingles", "node", "sketch", "parts"],
                 )
                 at += len(sets)
                 sets = []
 
 
 def sketch_table(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch, first) of each row; equal shingle sets have the same ``node``, a 128-bit digest."""
-    schema = "doc_id long, n_shingles long, node binary, sketch binary, first array<bigint>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _sketched(batches, percent), schema)
+    """(doc_id, text_key, n_shingles, node, sketch, parts) of each row; equal shingle sets have the same ``node``, a 128-bit digest."""
+    schema = "doc_id long, text_key string, n_shingles long, node binary, sketch binary, parts array<struct<part: binary, extra: int>>"
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    return own.mapInArrow(lambda batches: _sketched(batches, percent), schema)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the texts whose digest is the wanted node; another text under the same id is left out."""
     for batch in batches:
-        node, texts = batch.column(0), batch.column(1)
-        done = 0
-        own: list[bytes] = []
-        for s in in_batches(t.as_py() for t in texts):
-            own.append(s.tobytes())
-            if len(own) == 256 or done + len(own) == len(texts):
-                yield pa.RecordBatch.from_arrays([node.slice(done, len(own)), pa.array(own, pa.large_binary()).cast(pa.binary())], ["node", "shingles"])
-                done += len(own)
-                own = []
-
-
-def _linked(sets: list[np.ndarray], tables: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs share a band and have a sufficient estimate, or have a tiny set, and reach the similarity on the full sets."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    a, b = np.triu_indices(n, 1)
-    out = np.zeros((n, n), bool)
-    for lo in range(0, len(a), 1 << 15):
-        i, j = a[lo : lo + (1 << 15)], b[lo : lo + (1 << 15)]
-        x, y = tables[i], tables[j]
-        equal = x == y
-        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        tiny = (small <= TINY) & (percent * large <= 100 * small)
-        band = tiny | equal.reshape(len(i), -1, ROWS).all(2).any(1)
-        i, j, x, y, equal, tiny = i[band], j[band], x[band], y[band], equal[band], tiny[band]
-        if len(i):
-            good = tiny | likelier((x > y).sum(1), (x < y).sum(1), equal.sum(1), size[i], size[j], percent / 100 - SLACK)
-            out[i[good], j[good]] = True
-    rows = np.flatnonzero(out.any(0) | out.any(1))
-    if not len(rows):
-        return out
-    flat = np.concatenate([sets[r] for r in rows])
-    where = np.repeat(np.arange(len(rows)), size[rows])
-    order = np.argsort(flat, kind="stable")
-    flat, where = flat[order], where[order]
-    new = np.concatenate(([True], flat[1:] != flat[:-1]))
-    column = np.cumsum(new) - 1
-    column = np.where(np.bincount(column)[column] > 1, column, -1)
-    where, column = where[column >= 0], column[column >= 0]
-    if not len(column):
-        return np.zeros_like(out)
-    column = np.cumsum(np.concatenate(([0], (column[1:] != column[:-1]).astype(np.int64))))
-    common = np.zeros((len(rows), len(rows)), np.int64)
-    for lo in range(0, int(column[-1]) + 1, WIDTH):
-        left, right = np.searchsorted(column, [lo, lo + WIDTH])
-        part = np.zeros((len(rows), WIDTH), np.float32)
-        part[where[left:right], column[left:right] - lo] = 1
-        common += (part @ part.T).astype(np.int64)
-    total = size[rows][:, None] + size[rows][None, :] - common
-    exact = np.zeros_like(out)
-    exact[np.ix_(rows, rows)] = 100 * common >= percent * total
-    return out & exact
-
-
-def _compare(percent: int):
+        nodes = batch.column(0).to_pylist()
+        found: list[tuple[bytes, bytes]] = []
+        size = 0
+        for k, s in enumerate(in_batches(t.as_py() for t in batch.column(1))):
+            if _key(s) == nodes[k]:
+                found.append((nodes[k], s.tobytes()))
+                size += len(found[-1][1])
+            if found and (size > 4 << 20 or k + 1 == len(nodes)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["node", "shingles"])
+                found, size = [], 0
+
+
+def _arrays(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(nodes, registers, sizes) of rows."""
+    registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    return table.column("node").to_pylist(), registers, table.column("n").to_numpy()
+
+
+def _estimated(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches have an estimated similarity that isn't far under the threshold."""
+    return likelier((x > y).sum(1), (x < y).sum(1), (x == y).sum(1), n_x, n_y, percent / 100 - SLACK)
+
+
+def _near_hub(percent: int):
+    """Of each group's rows (hub, node, sketch, n) those whose estimate is near enough to the hub's, which is among them."""
+
+    def near(table: pa.Table) -> pa.Table:
+        node, registers, n = _arrays(table)
+        hub = table.column("hub")[0].as_py()
+        own = node.index(hub)
+        good = _estimated(registers, registers[own : own + 1], n, n[own : own + 1], percent)
+        good[own] = False
+        hit = np.flatnonzero(good)
+        return pa.table({"hub": pa.array([hub] * len(hit), pa.binary()), "node": pa.array([node[k] for k in hit], pa.binary()), "n": pa.array(n[hit], pa.int64())})
+
+    return near
+
+
+def _linked_to_hub(percent: int):
+    """Links of the members of a group to its hub, by their full sets."""
+
+    def linked(table: pa.Table) -> pa.Table:
+        node, hub = table.column("node").to_pylist(), table.column("hub")[0].as_py()
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles")]
+        out = []
+        if hub in node:
+            own = sets[node.index(hub)]
+            for name, other in zip(node, sets, strict=True):
+                common = np.intersect1d(own, other, assume_unique=True).size
+                if name != hub and 100 * common >= percent * (len(own) + len(other) - common):
+                    out.append(name)
+        return pa.table({"a": pa.array(out, pa.binary()), "b": pa.array([hub] * len(out), pa.binary())})
+
+    return linked
+
+
+def _with_hub(pairs: DataFrame, nodes: DataFrame, columns: list[str], weight: str) -> DataFrame:
+    """Rows of the members of each ``hub`` and, beside them, of the hub itself, by groups ``hub, salt`` of bounded size.
+
+    A hub with many members, or with many shingles among them, is copied to as many groups as needed.
+    """
+    sized = pairs.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(weight) / SHINGLES), F.lit(1)).cast("int").alias("salts"))
+    hubs = nodes.join(sized.withColumnRenamed("hub", "node"), "node").select(F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *columns)
+    # the salts of heavy hubs only: each has more than MEMBERS rows or SHINGLES shingles, so Spark sees a small table
+    heavy = sized.where("salts > 1").withColumnRenamed("hub", "__hub")
+    members = pairs.select("hub", "node").join(nodes.select(*columns), "node").alias("m").join(heavy, F.col("m.hub") == F.col("__hub"), "left")
+    members = members.select("hub", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), *columns)
+    return members.unionByName(hubs)
+
+
+def _cross(percent: int):
+    """Nodes of two blocks of a bucket that have a partner of another component whose estimate is near enough.
+
+    Pairs inside one component are known; a pair that shares an earlier band belongs to that band's bucket.
+    """
+
+    def cross(table: pa.Table) -> pa.Table:
+        i, j, no = (table.column(c)[0].as_py() for c in ("i", "j", "no"))
+        first = table.slice(0, 1)
+        block, label = table.column("block").to_numpy(), np.array(table.column("label").to_pylist(), object)
+        node, registers, n = _arrays(table)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        keep = np.zeros(len(node), bool)
+        for p in left:
+            others = right[right > p] if i == j else right
+            others = others[label[others] != label[p]]
+            others = others[np.minimum(n[others], n[p]) * 100 >= percent * np.maximum(n[others], n[p])]
+            if len(others):
+                same = (registers[others] == registers[p]).reshape(len(others), BANDS, ROWS).all(2)
+                others = others[same.argmax(1) == no]
+            if len(others):
+                others = others[_estimated(registers[others], registers[p : p + 1], n[others], n[p : p + 1], percent)]
+                keep[others] = True
+                keep[p] |= len(others) > 0
+        hit = np.flatnonzero(keep)
+        same = {c: pa.array([first.column(c)[0].as_py()] * len(hit), first.column(c).type) for c in ("no", "band", "i", "j")}
+        return pa.table({**same, "block": pa.array(block[hit], pa.int32()), "label": pa.array(label[hit].tolist(), pa.binary()), "node": pa.array([node[k] for k in hit], pa.binary())})
+
+    return cross
+
+
+def _verified(percent: int):
+    """A spanning forest of the links between different components among the rows of two blocks."""
+
     def links(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, label = table.column("block").to_numpy(), np.array(table.column("label").to_pylist(), object)
         node = table.column("node").to_pylist()
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        tables = np.stack([np.frombuffer(s, "<u2") for s in table.column("sketch").to_pylist()])
-        pairs = _linked(sets, tables, percent)
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles")]
+        pairs = _similar(sets, percent) & (label[:, None] != label[None, :])
+        pairs &= (block[:, None] == i) & (block[None, :] == j)
         pairs |= pairs.T
-        label = np.arange(len(node))
+        root = np.arange(len(node))
         while True:  # the least index that each can reach, so as many links leave as join the parts, not all pairs
-            lower = np.minimum(label, np.where(pairs, label[None, :], len(node)).min(1))
+            lower = np.minimum(root, np.where(pairs, root[None, :], len(node)).min(1))
             lower = np.minimum(lower, lower[lower])
-            if (lower == label).all():
+            if (lower == root).all():
                 break
-            label = lower
-        hit = np.flatnonzero(label != np.arange(len(node)))
-        return pa.table({"a": pa.array([node[i] for i in hit], pa.binary()), "b": pa.array([node[label[i]] for i in hit], pa.binary())})
+            root = lower
+        hit = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": pa.array([node[k] for k in hit], pa.binary()), "b": pa.array([node[root[k]] for k in hit], pa.binary())})
 
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Components of documents that are linked by 100 * common >= ``percent`` * united distinct 5-word shingles.
+def _similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets reach the similarity: a product of matrices counts their common shingles."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, where = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, where = flat[order], where[order]
+    column = np.cumsum(np.concatenate(([True], flat[1:] != flat[:-1]))) - 1
+    shared = np.bincount(column)[column] > 1
+    where, column = where[shared], column[shared]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    if len(column):
+        column = np.cumsum(np.concatenate(([0], (column[1:] != column[:-1]).astype(np.int64))))
+        for lo in range(0, int(column[-1]) + 1, WIDTH):
+            left, right = np.searchsorted(column, [lo, lo + WIDTH])
+            part = np.zeros((len(sets), WIDTH), np.float32)
+            part[where[left:right], column[left:right] - lo] = 1
+            common += (part @ part.T).astype(np.int64)
+    return 100 * common >= percent * (size[:, None] + size[None, :] - common)
+
+
+def tiny_links(nodes: DataFrame, percent: int = 75) -> DataFrame:
+    """(a, b): links of all similar pairs with a tiny set, by equal digests of what they have in common.
+
+    If the common part is the smaller set itself, the two meet at its digest. If each has one shingle more, all sets
+    of one shingle more than the part are similar to each other, so they are linked to the least of them. No other
+    pair of at most ``TINY`` shingles is similar. Both are joins with one row a key; no pairs are formed.
+    """
+    parts = nodes.select("node", F.explode("parts").alias("p")).select("node", "p.part", "p.extra", F.col("node").alias("b"))
+    whole = parts.where("extra = 0").select("part", "b")
+    inside = parts.where("extra > 0").select(F.col("node").alias("a"), "part").join(whole, "part").select("a", "b")
+    # c common and one more each: 100 * c >= percent * (c + 2)
+    n = nodes.select("node", "n")
+    one = parts.where("extra = 1").join(n, "node").where(100 * (F.col("n") - 1) >= percent * (F.col("n") + 1)).select("node", "part")
+    least = one.groupBy("part").agg(F.min("node").alias("b"), F.max("node").alias("other")).where("b <> other").select("part", "b")
+    return inside.unionByName(one.join(least, "part").where("node <> b").select(F.col("node").alias("a"), "b"))
 
-    1. One pass gives every document a SetSketch of its shingle set; equal sets become one node.
-    2. Nodes that share a band of registers, or one of the first shingles of small sets, are candidates: each is tied to the least node of its bucket
-       (pre-aggregated minima, then a join that Spark can split), and the components of these ties
-       are the regions inside which all links lie. Band parameters: see ``ROWS``.
-    3. A region is dealt, by hash, into blocks of about ``BLOCK`` documents, and each pair of blocks is a
-       task of its own: pairs that share a band and whose jointly estimated similarity is near
-       the threshold, and all with a tiny set, are verified exactly, by a matrix product that counts common shingles. All candidate pairs
-       of a region are treated, none leaves the task: it returns a spanning forest.
-    4. The components of the verified links; each is named by its least doc_id.
-
-    Shingle sets are moved for documents with a candidate only. Returns one row per input row:
-    ``doc_id, n_shingles, component_id, kept``. Texts are lower-cased for A-Z; a text of fewer than five words is one
-    shingle; a text without words (or null) is a component of its own. A null doc_id is
-    never a component's name unless all its documents have none. Rows that repeat an id get their own
-    row each. Shingles are compared by 64-bit hashes, nodes by 128-bit ones.
+
+def _labelled(links: DataFrame) -> DataFrame:
+    """(node, label): nodes of the same label are connected by ``links``; those of one component may still have several.
+
+    The label is the least linked node, or the least one linked to that.
     """
+    parent = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("up")).groupBy("node").agg(F.min("up").alias("up"))
+    # the few parents that have a parent: Spark broadcasts them if they are as few as they should be
+    above = parent.select("up").distinct().join(parent.select(F.col("node").alias("up"), F.col("up").alias("top")), "up")
+    return written(parent.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("label")))
+
+
+def _nodes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(table of rows, (node, component) of every node with a link): see :func:`near_duplicates`."""
+    if percent < 75:
+        raise ValueError("the bands are made for similarities of 75 % or more")
     table = written(sketch_table(docs, percent))
-    nodes = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.first("first").alias("first"))
+    nodes = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts"))
     nodes = written(nodes)
-    band = F.explode(F.array(*(F.struct(F.lit(b).cast("byte").alias("no"), F.xxhash64(F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS)).alias("value")) for b in range(BANDS))))
-    bands = nodes.select("node", band.alias("band")).select("node", F.xxhash64("band.no", "band.value").alias("band"))
-    bands = bands.unionByName(nodes.select("node", F.explode("first").alias("band")))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("band", "hub")
-    ties = bands.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    regions = written(components(ties))
-
-    member = regions.join(nodes.select("node", "least_id", "n", "sketch"), "node")
-    sized = member.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    # written, so its size is known: Spark broadcasts it where it is small, and splits large regions where it is not
-    member = written(member.join(written(sized), "component"))
+    links = written(tiny_links(nodes, percent))
+    band = F.explode(F.array(*(F.struct(F.lit(b).alias("no"), F.xxhash64(F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS)).alias("band")) for b in range(BANDS))))
+    bands = nodes.select("node", band.alias("b")).select("b.no", "b.band", "node")
+    shared = bands.groupBy("no", "band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("no", "band")
+    members = written(bands.join(shared, ["no", "band"]).withColumn("covered", F.lit(0)))
+
     # one row of documents for each node that has candidates, found by id and then by its digest
-    wanted = member.select("node", F.col("least_id").alias("id")).alias("w")
+    wanted = members.select("node").distinct().join(nodes.select("node", "least_id"), "node").select("node", F.col("least_id").alias("id")).alias("w")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d")
     texts = own.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.id"))).select("node", "text")
     sets = texts.mapInArrow(_checked, "node binary, shingles binary")
     sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    placed = member.join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.select("component", "block", "node", "sketch", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "sketch", "shingles")
-    links = dealt.groupBy("component", "i", "j").applyInArrow(_compare(percent), "a binary, b binary")
-    found = components(links)
-
-    named = found.join(nodes.select("node", "least_id"), "node")
-    names = named.groupBy("component").agg(F.min("least_id").alias("name"))
-    joined = written(named.join(written(names), "component").select("node", "name"))
-    rest = nodes.select("node", "least_id").join(joined, "node", "left").select("node", F.coalesce("name", "least_id").alias("name"))
-    out = table.select("doc_id", "n_shingles", "node").join(rest, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
+    labels = _labelled(links)
+    rows = table.join(nodes.select("node", "least_id"), "node", "left")
+    sketched = nodes.select("node", "sketch", "n")
+    for _ in range(PASSES):
+        now = members.drop("label").join(labels, "node", "left").select("no", "band", "node", "covered", F.coalesce("label", "node").alias("label"))
+        first = F.min(F.struct("covered", "node", "label")).alias("first")
+        buckets = now.groupBy("no", "band").agg(first, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("no", "band", F.col("first.node").alias("hub"), F.col("first.label").alias("hub_label"))
+        # a bucket's hub leaves it: all its pairs are dealt with in this pass
+        pending = written(now.join(buckets, ["no", "band"]).where("node <> hub"))
+        pairs = pending.where("label <> hub_label").select("hub", "node").distinct()
+        near = _with_hub(pairs.withColumn("n", F.lit(0)), sketched, ["node", "sketch", "n"], "n")
+        near = written(near.groupBy("hub", "salt").applyInArrow(_near_hub(percent), "hub binary, node binary, n long"))
+        near = _with_hub(near, sets, ["node", "shingles"], "n")
+        links = written(links.unionByName(near.groupBy("hub", "salt").applyInArrow(_linked_to_hub(percent), "a binary, b binary")))
+        labels = _labelled(links)
+        hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("new_hub_label"))
+        pending = pending.drop("label").join(labels, "node", "left").join(hub, "hub", "left")
+        mine = F.coalesce("label", "node") == F.coalesce("new_hub_label", "hub")
+        members = written(pending.select("no", "band", "node", F.when(mine, 1).otherwise(F.col("covered")).alias("covered"), F.coalesce("label", "node").alias("label")))
+        open_ = _open_buckets(members)
+        widest = open_.agg(F.max("minors")).first()[0]
+        if widest is None:
+            return rows, written(components(links))
+        if widest <= 1:  # each task of the blocks then has one block of the smaller components
+            break
+    return rows, written(components(links.unionByName(_across(members, open_, sketched, sets, percent))))
+
+
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """Of each bucket with several labels the commonest one, and the number of blocks of its members and of the others."""
+    counted = members.groupBy("no", "band", "label").agg(F.count("*").alias("c"))
+    buckets = counted.groupBy("no", "band").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).where("all > top.c")
+    return written(buckets.select("no", "band", F.col("top.label").alias("major"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("minors")))
+
+
+def _across(members: DataFrame, buckets: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different labels inside the open buckets of ``members`` (no, band, node, label): each pair in blocks, none left out.
+
+    The members of a bucket's commonest label need not meet each other: they are dealt into blocks of their own,
+    and those of the others meet all. Sketches are moved first, full sets only for nodes with a near enough partner.
+    """
+    major = F.col("label") == F.col("major")
+    here = F.pmod(F.xxhash64("node"), F.when(major, F.col("majors")).otherwise(F.col("minors"))).cast("int")
+    # blocks of the others are numbered first, those of the largest component behind them
+    placed = members.join(buckets, ["no", "band"]).select("no", "band", "node", "label", "majors", "minors", major.alias("major"), (here + F.when(major, F.col("minors")).otherwise(0)).alias("block"))
+    met = F.when(F.col("major"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1))
+    dealt = placed.select("no", "band", "node", "label", "block", F.explode(met).alias("with"))
+    dealt = dealt.select("no", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "label", "node").join(sketched, "node")
+    key = ["no", "band", "i", "j"]
+    near = written(dealt.groupBy(*key).applyInArrow(_cross(percent), "no int, band long, i int, j int, block int, label binary, node binary"))
+    return near.join(sets, "node").groupBy(*key).applyInArrow(_verified(percent), "a binary, b binary")
 
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the texts whose digest is the wanted node; another text under the same id is left out."""
-    for batch in _sets(batches):
-        good = [_key(np.frombuffer(s.as_py(), np.uint64)) == n.as_py() for n, s in zip(batch.column(0), batch.column(1), strict=True)]
-        yield batch if all(good) else batch.filter(pa.array(good))
 
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """Components of documents that are linked by 100 * common >= ``percent`` (75 or more) * united distinct 5-word shingles.
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, with their own columns only."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("k")).distinct()
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k"))
-    return own.alias("o").join(kept.alias("d"), F.col("o.k").eqNullSafe(F.col("d.k"))).select("row.*")
+    1. One pass gives every document a SetSketch of its shingle set; equal sets become one node.
+    2. Pairs with a set of at most ``TINY`` shingles are linked by digests of their common part, exactly (:func:`tiny_links`).
+    3. Nodes that share a band of registers meet in a bucket. In a pass one member of a bucket is its hub, and
+       all others of another component are held against it: those whose jointly estimated similarity is near the threshold
+       are verified by their full sets. A large group of copies is so joined by about as many comparisons as it has members.
+       Passes go on, ``PASSES`` at most, while a bucket has more than ``BLOCK`` members outside its largest component.
+    4. Pairs of a bucket that aren't in one component by then, nor compared, are compared in blocks (:func:`_across`); a
+       pair that shares several bands only at the first of them.
+    5. The components of the verified links; each is named by its least doc_id.
+
+    Full shingle sets are moved for documents with a near enough candidate only. Returns one row per input row:
+    ``doc_id, n_shingles, component_id, kept``. Texts are lower-cased for A-Z; a text of fewer than five words is one
+    shingle; a text without words (or null) is a component of its own. A null doc_id is
+    never a component's name unless all its documents have none. Rows that repeat an id get their own
+    row each. An empty table gives no rows. Shingles are compared by 64-bit hashes, nodes by 128-bit ones.
+    """
+    table, found = _nodes(docs, percent)
+    named = found.join(table.where("n_shingles > 0").select("node", "least_id").distinct(), "node")
+    names = written(named.groupBy("component").agg(F.min("least_id").alias("name")))
+    joined = written(found.join(names, "component").select("node", "name"))
+    out = table.join(joined, "node", "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("name", "least_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of :func:`near_duplicates`, with its own columns only.
+
+    It is the row with the least doc_id; of rows that share it, the one with the least digest of its text, and of rows
+    that share both, the first that the join brings together. Each row without words stays, but for rows with the same id and text.
+    """
+    table, found = _nodes(docs, 75)
+    rows = table.join(found, "node", "left").select("doc_id", "text_key", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("label"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k")
+    kept = rows.where("label is not null").groupBy("label").agg(best).select("k.doc_id", "k.text_key").unionByName(rows.where("label is null").select("doc_id", "text_key")).distinct()
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("__id"), F.md5(F.coalesce("text", F.lit(""))).alias("__key")).alias("o")
+    hit = own.join(kept.alias("k"), F.col("o.__id").eqNullSafe(F.col("k.doc_id")) & (F.col("o.__key") == F.col("k.text_key"))).select("row", "__id", "__key")
+    first = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(1)))
+    return hit.withColumn("nth", first).where("nth = 1").select("row.*")
