@@ -63,10 +63,10 @@ def mix(
     over many tasks.
 
     Returns one row per input row: ``doc_id, size`` (words; null text: 0), ``source``, ``source_size``,
-    ``target``, ``copies`` (0 to ``most``), ``taken`` (``copies * size``). A document without words is
+    ``target``, ``copies`` (0 to ``most``), ``taken`` (``copies * size``), ``row_key`` (a hash of text and source). A document without words is
     never part of the sample's rest. Repeated rows are documents of their own; an empty table gives none.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (F.lit(1.0) if liking is None else liking.cast("double")).alias("liking"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (F.lit(1.0) if liking is None else liking.cast("double")).alias("liking"), F.xxhash64(text_col, source_col).alias("row_key"))
     rows = written(rows)  # texts are read once
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean"), F.avg("liking").alias("mean_liking"))
     aims = targets(per.select("source", "source_size"), weights, share, float(most)).alias("a")
@@ -86,22 +86,24 @@ def mix(
     usual = F.least(F.greatest(F.col("s.rest"), F.lit(1e-9)), F.lit(1 - 1e-9))
     even = odds * (usual / (1 - usual))
     ranked = joined.select(
-        "doc_id", "source", "size", "s", odds.alias("odds"), F.coalesce(F.col("source"), F.lit("")).alias("__group"), F.isnull("source").alias("__none"),
+        "doc_id", "source", "size", "row_key", "s", odds.alias("odds"), F.coalesce(F.col("source"), F.lit("")).alias("__group"), F.isnull("source").alias("__none"),
         F.least(F.floor(even / (even + 1) * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("__bucket"),
     )
-    summed = running(ranked, ["__group", "__none"], "__bucket", ["odds", "doc_id", "size"], {"before": "size"})
+    summed = running(ranked, ["__group", "__none"], "__bucket", ["odds", "doc_id", "size", "row_key"], {"before": "size"})
     # taken if more than half of it fits into what is wanted: the cut that comes nearest
     extra = F.when((F.col("size") > 0) & (F.col("s.wanted") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("s.wanted")), 1).otherwise(0)
     copies = F.least(F.col("s.certain") + extra, F.lit(most)).cast("int")
-    return summed.select("doc_id", "size", "source", F.col("s.source_size").alias("source_size"), F.col("s.target").alias("target"), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return summed.select("doc_id", "size", "source", F.col("s.source_size").alias("source_size"), F.col("s.target").alias("target"), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row_key")
 
 
 def mixed_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as ``decisions`` (doc_id, size, copies) says, with their own columns only.
+    """The rows of ``docs`` as often as ``decisions`` (doc_id, row_key, copies) says, with their own columns only.
 
-    Rows with the same id and word count share a decision; where the decisions of such rows differ, the larger holds.
+    Of rows with the same id, text and source each takes one of their decisions, so the words are those of the mix.
     """
-    d = decisions.where("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).alias("d")
-    r = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k"), word_count(F.col("text")).alias("n")).alias("r")
-    hit = r.join(d, F.col("r.k").eqNullSafe(F.col("d.doc_id")) & (F.col("r.n") == F.col("d.size")))
+    key = ["doc_id", "row_key"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))).alias("nth")
+    d = decisions.select(*key, "copies", F.row_number().over(Window.partitionBy(*key).orderBy("copies")).alias("nth")).where("copies > 0").alias("d")
+    r = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text", "source").alias("row_key")).select("*", nth).alias("r")
+    hit = r.join(d, F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.row_key") == F.col("d.row_key")) & (F.col("r.nth") == F.col("d.nth")))
     return hit.select(F.explode(F.array_repeat("r.row", F.col("d.copies"))).alias("row")).select("row.*")

@@ -88,7 +88,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     known = known.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = known.select(F.col("doc_id").cast("long"), F.col("label").cast("int")).toArrow()
     picked = docs.sparkSession.createDataFrame(rows) if len(rows) else known.limit(0)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").mapInArrow(_statistics, "doc_id long, label int, x array<double>").toArrow()
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").mapInArrow(_statistics, "doc_id long, label int, x array<double>")
+    found = found.groupBy("doc_id", "label").agg(F.max("x").alias("x")).toArrow()  # of rows that repeat an id one counts
     order = np.lexsort([np.array([np.sum(x) for x in found.column("x").to_pylist()]), found.column("doc_id").to_numpy()]) if len(found) else []
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(NAMES))[order]
     return fit(x, found.column("label").to_numpy().astype(float)[order])
