@@ -8,7 +8,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import written
@@ -20,7 +20,7 @@ ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assi
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, RELABEL, INSERT = 1, 2, 3
-#: Turn numbers of a segment: a long conversation is repaired in segments, by different tasks.
+#: Rows of a segment: a long conversation is repaired in segments, by different tasks.
 SEGMENT = 1024
 FAR = 10**9
 
@@ -197,10 +197,10 @@ def format_chats(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     and lower-cased, ``ALIASES`` hold, and an unknown or null role always costs a relabel. Turns are ordered by ``turn``
     (null last), then by a hash of role and text; null text is empty. Tags in texts are broken up.
 
-    A conversation is cut into segments of ``segment`` turn numbers (null turns: by hash). Where there are more than one,
+    A conversation of more than ``segment`` rows is dealt by range and cut into segments of so many rows, by prefix counts;
     each gives its matrix of least costs between states, these few numbers are joined to find the states at
-    the borders, and each segment is then repaired between its own; so no conversation needs one task.
-    Rows with a null conversation are conversations of one turn each. An empty table gives no rows.
+    the borders, and each segment is then repaired between its own; so no conversation needs one task, whatever
+    its turn numbers. Each row with a null conversation is a conversation of its own, of one turn. Rows that repeat are turns of their own. An empty table gives no rows.
 
     Returns a row for each segment: ``conv_id, part`` (from 0), ``turns_in, turns_out, merges, relabels, insertions,
     cost, text``; the texts of a conversation's parts in order are its rendering.
@@ -209,24 +209,31 @@ def format_chats(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     known = F.create_map(*(x for name, to in ({r: r for r in ROLES} | ALIASES).items() for x in (F.lit(name), F.lit(ROLES.index(to) + 1))))
     order = F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(known[F.coalesce(role, F.lit(""))], F.lit(0)).alias("seen"), "text", order.alias("h"))
-    lone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "h")).otherwise(F.lit(0).cast("long"))
-    where = F.coalesce(F.floor(F.col("turn") / segment).cast("long"), F.lit(1 << 60) + F.shiftright("h", 56))
-    rows = rows.select("conv_id", lone.alias("lone"), F.when(F.col("conv_id").isNull(), F.lit(0).cast("long")).otherwise(where).alias("segment"), F.col("turn").isNull().alias("late"), "turn", "h", "seen", "text")
+    rows = rows.withColumn("late", F.col("turn").isNull())
+    # a number of its own keeps each row without a conversation apart, and rows that are alike in a range of their own
+    rows = rows.withColumn("own", F.monotonically_increasing_id())
+    sort = ["late", "turn", "h"]
     key = ["conv_id", "lone", "segment"]
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def together(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
         return df.repartition(parts, *keys).sortWithinPartitions(*keys, *more)
 
-    long = rows.groupBy("conv_id").agg(F.min("segment").alias("lo"), F.max("segment").alias("hi")).where("lo <> hi and conv_id is not null").select("conv_id")
-    long = written(long)
-    costs = together(rows.join(long, "conv_id", "left_semi").select(*key, "late", "turn", "h", "seen"), key, "late", "turn", "h").mapInArrow(_transfers, "conv_id long, lone long, segment long, costs array<long>")
+    # a conversation above one segment: its rows are dealt by range, so no task has to hold it, and numbered by prefix counts
+    long = written(rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("conv_id").isNotNull() & (F.col("n") > segment)).select("conv_id"))
+    dealt = written(rows.join(long, "conv_id", "left_semi").repartitionByRange(parts, "conv_id", *sort, "own").withColumn("dealt", F.spark_partition_id()))
+    before = Window.partitionBy("conv_id").orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("conv_id", "dealt").agg(F.count("*").alias("n")).select("conv_id", "dealt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "dealt").orderBy(*sort, "own")) - 1
+    placed = dealt.withColumn("nth", nth).join(totals, ["conv_id", "dealt"]).withColumn("segment", F.floor((F.col("before") + F.col("nth")) / segment))
+    placed = written(placed.select("conv_id", F.lit(0).cast("long").alias("lone"), "segment", *sort, "seen", "text"))
+
+    costs = together(placed.select(*key, *sort, "seen"), key, *sort).mapInArrow(_transfers, "conv_id long, lone long, segment long, costs array<long>")
     borders = together(costs, ["conv_id", "lone"], "segment").mapInArrow(_borders, "conv_id long, lone long, segment long, part long, entry int, goal int, last boolean")
-    borders = written(borders)
-    placed = rows.alias("r").join(borders.alias("b"), (F.col("r.conv_id") == F.col("b.conv_id")) & (F.col("r.segment") == F.col("b.segment")), "left").select(
-        "r.*", F.coalesce("part", F.lit(0).cast("long")).alias("part"), F.coalesce("entry", F.lit(START)).alias("entry"), F.coalesce("goal", F.lit(-1)).alias("goal"), F.coalesce("last", F.lit(True)).alias("last")
+    large = placed.join(borders.drop("lone"), ["conv_id", "segment"]).select(*key, *sort, "seen", "text", "part", "entry", "goal", "last")
+    lone = F.when(F.col("conv_id").isNull(), F.col("own")).otherwise(F.lit(-1).cast("long"))
+    small = rows.alias("r").join(long.alias("l"), F.col("r.conv_id") == F.col("l.conv_id"), "left_anti").select(
+        "conv_id", lone.alias("lone"), F.lit(0).cast("long").alias("segment"), *sort, "seen", "text", F.lit(0).cast("long").alias("part"), F.lit(START).alias("entry"), F.lit(-1).alias("goal"), F.lit(True).alias("last")
     )
     schema = "conv_id long, part long, turns_in long, turns_out long, merges long, relabels long, insertions long, cost long, text string"
-    return together(placed, key, "late", "turn", "h").mapInArrow(_repaired, schema)
-
-
+    return together(small.unionByName(large), key, *sort).mapInArrow(_repaired, schema)
