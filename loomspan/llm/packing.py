@@ -29,15 +29,15 @@ class Encoder:
     Such a tokenizer starts a new word at every blank that stands alone, and a word's ids depend on nothing
     else. So a text without two blanks in a row is cut before each blank, and of the pieces only those
     not seen before are encoded, all in one string: as no other id begins with a blank, the ids that
-    do tell the words apart again. Any other text is encoded whole. The names of special tokens in a text are
-    ordinary text.
+    do tell the words apart again. Any other text is encoded whole, as is one that holds an added token of the
+    file (its name in a text is that token, as the tokenizer reads it).
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -118,7 +118,7 @@ class Encoder:
         some: list[str] = []
         size = 0
         for text in texts:
-            if "  " in text:
+            if "  " in text or any(name in text for name in self.added):
                 if some:
                     yield from self.together(some)
                 yield self.whole(text)
