@@ -106,6 +106,54 @@ def test_near_duplicates(docs):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     kept = near_dedup.without_near_copies(docs)
     assert kept.columns == docs.columns
+    words = {name for i, _, name in want}
+    assert sorted(r.doc_id for r in kept.collect() if WORD.findall(r.text or "")) == sorted((i for i in {name for i, n, name in want if n}), key=lambda i: i)
+    assert words
+
+
+def test_rows_that_share_an_id_keep_their_own_fate(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 60), prose(rng, 70)
+    rows = [(3, b, 1), (5, a, 2), (5, b, 3), (5, a, 4), (None, a, 5), (6, " ", 6), (6, " ", 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.without_near_copies(frame).collect())
+    assert kept == Counter([(3, b), (5, a), (6, " ")])
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert near_dedup.without_near_copies(empty).count() == 0
+
+
+def test_buckets_of_two_large_groups_and_strangers(spark, monkeypatch):
+    """Groups that share bands but aren't linked, over several blocks and passes; every link is found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 16)
+    rng = random.Random(21)
+    common = prose(rng, 60).split()
+    bases = [common + prose(rng, 18).split() + [f"b{k}"] for k in range(6)]
+    rows = []
+    for k in range(240):
+        words = list(bases[k % 6 if k % 3 else 0])
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(len(words))] = f"w{rng.random()}"
+        rows.append((k, " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == set(near_truth(rows))
+
+
+def test_recall_of_known_pairs_near_the_threshold():
+    """10,000 pairs at similarities from 0.75 to 0.8: all share a band, and the estimate puts none aside."""
+    rng = np.random.default_rng(17)
+    sets, pairs = [], 10_000
+    for _ in range(pairs):
+        n = int(rng.integers(12, 90))
+        c = -(-6 * n // 7)  # c / (2 n - c) is 0.75 or little more
+        x = rng.integers(0, 2**63, 2 * n - c, dtype=np.uint64)
+        sets += [np.unique(x[:n]), np.unique(np.concatenate([x[:c], x[n:]]))]
+    t = sketches(sets)
+    a, b = t[0::2], t[1::2]
+    n_a, n_b = (np.array([len(s) for s in sets[k::2]], float) for k in (0, 1))
+    met = (a == b).reshape(pairs, -1, near_dedup.ROWS).all(2).any(1)
+    good = near_dedup._estimated(a, b, n_a, n_b, 75)
+    assert (met & good).sum() >= pairs - 1
 
 
 def test_near_duplicates_of_a_large_group(spark):
@@ -147,7 +195,7 @@ def test_components(spark):
     assert all(got[k] == 0 for k in range(41)) and got[100] == got[101] == 100 and all(v == 200 for k, v in got.items() if k >= 200)
 
 
-def test_mixing(docs):
+def test_mixing(spark, docs):
     got = mixing.mix(docs).collect()
     rows = corpus()
     sizes = Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
@@ -176,29 +224,53 @@ def test_mixing(docs):
         assert abs(taken[r.source] - r.target) <= longest / 2 + 1
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
     out = mixing.mixed_rows(docs, mixing.mix(docs))
-    assert out.columns == docs.columns and out.count() >= sum(r.copies for r in got)
+    assert out.columns == docs.columns
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in got for _ in range(r.copies))
+    alike = spark.createDataFrame([(1, "one two three", "s")] * 40 + [(2, prose(random.Random(4), 90), "s"), (2, prose(random.Random(5), 90), "s"), (3, "z", None)], "doc_id long, text string, source string")
+    mix = mixing.mix(alike)
+    assert sum(len(r.text.split()) for r in mixing.mixed_rows(alike, mix).collect()) == sum(r.taken for r in mix.collect())
 
 
-def test_sharding(docs):
-    got = sorted(sharding.shards(docs, 16).collect(), key=lambda r: (r.shard, r.slot))
-    rows = corpus()
+def check_shards(got, rows, count=16, give=0.05):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
-    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
-    assert ids == sorted(ids)
-    total, at, slots = sum(r.size for r in got), 0, Counter()
-    for r in got:
-        assert r.shard == (2 * at + r.size) * 16 // (2 * total) and r.slot == slots[r.shard]
-        at += r.size
+    total, at, slots, border = sum(r.size for r in got), 0, Counter(), Counter()
+    copies = Counter((r.size, r.text_crc32) for r in got)
+    held = defaultdict(set)
+    for r in sorted(got, key=lambda r: (r.shard, r.slot)):
+        assert r.slot == slots[r.shard]
         slots[r.shard] += 1
-
-
-def test_packing(docs):
+        border[r.shard] += r.size
+        held[r.size, r.text_crc32].add(r.shard)
+    largest = max([n * size for (size, _), n in copies.items() if n * size * count <= give * total] + [max(r.size for r in got)])
+    ends = 0
+    for shard in range(count - 1):  # each cut is at most half a row or an uncut group from its target
+        ends += border[shard]
+        assert abs(ends - total * (shard + 1) / count) <= largest / 2 + 1
+    for (size, crc), n in copies.items():
+        if n * size * count <= give * total:
+            assert len(held[size, crc]) == 1
+
+
+def test_sharding(spark, docs):
+    check_shards(sharding.shards(docs, 16).collect(), corpus())
+    rng = random.Random(12)
+    base = [prose(rng, rng.randrange(2, 60)) for _ in range(2500)]
+    rows = [(k, base[k] if k < 2500 else base[rng.randrange(600)] if k < 4000 else base[7]) for k in range(6000)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 16).collect()
+    check_shards(got, rows)
+    assert len({r.shard for r in got}) == 16
+    assert sum(len({r.shard for r in got if r.text_crc32 == zlib.crc32(t.encode())}) > 1 for t in base[:60]) <= 1  # the large group only
+
+
+def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     own = Tokenizer.from_file(path)
     want = Counter()
-    for r in corpus():
+    odd = [(7000 + k, t) for k, t in enumerate(["<|endoftext|>", "a<|endoftext|>b c", "x <|endoftext|>  y", prose(random.Random(1), 30000)])]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    for r in [*corpus(), *odd]:
         ids = own.encode(r[1] or "", add_special_tokens=False).ids + [0]
         for start, length in packing.pieces(len(ids), 1024):
             want[r[0], start, length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()), len(ids)] += 1
@@ -212,9 +284,12 @@ def test_packing(docs):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\tab1'sé漢\u00a0\u0120.,|<endoftx>", max_size=40), max_size=6))
 def test_encoding_equals_the_tokenizers(texts):
-    own = packing.encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
-    for text, ids in zip(texts, own.encode(texts), strict=True):
-        assert ids.tolist() == own.whole(text).tolist()
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = Tokenizer.from_file(path)
+    for text, ids in zip(texts, packing.encoder(path).encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 @given(st.integers(0, 10**6))
@@ -236,6 +311,34 @@ def test_trees_split_and_generalise():
     assert (fit(x, np.ones(3000)).predict(x) > 0.99).all()
 
 
+def test_trees_against_a_walk_and_a_search():
+    """Predictions by a node-by-node walk; the first split by trying every threshold of every feature."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)).round(1)
+    y = ((x[:, 0] > 0.3) | (x[:, 2] < -1)).astype(float)
+    model = fit(x, y, trees=6, depth=3, bins=16)
+    for row, p in zip(x, model.predict(x)):
+        total = model.start
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        assert p == pytest.approx(1 / (1 + np.exp(-total)))
+    p = 1 / (1 + np.exp(-model.start))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(f, at):
+        left = x[:, f] <= at
+        if h[left].sum() < 4 or h[~left].sum() < 4:
+            return 0.0
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+        return part(left) + part(~left) - part(np.ones(len(y), bool))
+
+    best = max(gain(f, at) for f in range(3) for at in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1])))
+    assert gain(model.feature[0, 0], model.threshold[0, 0]) == pytest.approx(best)
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(4)
     rows = [(k, prose(rng, 80) if k % 3 else " ".join(w + "$$$" for w in prose(rng, 80).split()), "en", "s", 1, 1, 1) for k in range(900)]
@@ -280,6 +383,19 @@ def test_nearest(spark):
     assert got == want
 
 
+def test_equal_scores_stay_small():
+    """20,000 equal vectors: ties go to the smaller ids, and what a tile holds is bounded."""
+    import tracemalloc
+
+    x = np.ones((20_000, 32), np.float64)
+    tracemalloc.start()
+    q, c, s = ann.tile(np.arange(0, 20_000, 40), x[::40], np.arange(20_000)[::-1], x, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20
+    assert c[q == 40].tolist() == [0, 1, 2, 3, 4] and c[q == 0].tolist() == [1, 2, 3, 4, 5] and (s == 32).all()
+
+
 def test_tiles_keep_the_bound():
     rng = np.random.default_rng(8)
     q, x = rng.normal(size=(9, 40)) * np.exp(rng.normal(size=(9, 1)) * 4), rng.normal(size=(800, 40))
@@ -325,6 +441,20 @@ def test_repairs_are_legal_and_least(roles, cuts):
     assert min(whole[chat.START][s] + chat.end_cost(s) for s in range(4)) == done.cost
 
 
+def test_long_conversations_in_parts_are_those_in_one(spark):
+    rng = random.Random(16)
+    rows = [(c, t // 3 if c else 1, rng.choice(["user", "assistant", "system", "x"]), f"{c} {t}", 1) for c in range(3) for t in range(200)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment int").repartition(5)
+    whole = {r.conv_id: r for r in chat.format_chats(turns).collect()}
+    parts = defaultdict(list)
+    for r in chat.format_chats(turns, 16).orderBy("conv_id", "part").collect():
+        parts[r.conv_id].append(r)
+    for c in range(3):
+        assert [r.part for r in parts[c]] == list(range(13)) and sum(r.cost for r in parts[c]) == whole[c].cost
+        said = lambda x: re.findall(r"\d+ \d+", x)
+        assert said("".join(r.text for r in parts[c])) == said(whole[c].text)
+
+
 def test_chats(spark):
     rng = random.Random(6)
     rows = [(c, t, rng.choice(["user", "assistant", "system", "Human ", None, "tool"]), rng.choice(["x", None, "", "<|user|> y"])) for c in range(30) for t in range(rng.randrange(1, 9))]
@@ -344,6 +474,12 @@ def test_chats(spark):
         assert all(t == "end" for t in tags[1::2]) and roles[-1] == "assistant" and len(roles) == sum(r.turns_out for r in own)
         assert all(chat.ROLES.index(b) + 1 in chat.NEXT[chat.ROLES.index(a) + 1] for a, b in zip(roles, roles[1:]))
     assert chat.format_chats(turns).where("conv_id is null").count() == 2
+    lone = spark.createDataFrame([(None, 1, "user", "a")] * 3 + [(7, 1, "user", "b")] * 3 + [(8, 5, "user", f"t{k}") for k in range(50)] + [(9, None, "bot", str(k)) for k in range(40)], "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(lone, 4).collect()
+    assert Counter((r.conv_id, r.turns_in, r.relabels) for r in got if r.conv_id is None) == {(None, 1, 0): 3}
+    assert max(r.turns_in for r in got) == 4 and Counter({c: sum(r.turns_in for r in got if r.conv_id == c) for c in (None, 7, 8, 9)}) == {None: 3, 7: 3, 8: 50, 9: 40}
+    whole = {r.conv_id: r for r in chat.format_chats(lone.where("conv_id > 7")).collect()}
+    assert all(sum(r.cost for r in got if r.conv_id == c) == whole[c].cost for c in (8, 9))
 
 
 def test_licences(spark, docs):
@@ -367,7 +503,26 @@ def test_licences(spark, docs):
                 want[i, name] = (best[0], -best[1])
     assert {k: (r.containment, r.first_word) for k, r in got.items()} == want and len(want) >= len(license_scan.TEMPLATES)
     assert license_scan.scan(docs).count() == 0 and license_scan.scan(docs, {}).count() == 0
+    short = spark.createDataFrame([(1, "released under the mit license ok"), (2, "MIT License"), (3, "mit licensee"), (4, "x" * 300 + " mit " + "y" * 90), (2, "MIT License")], "doc_id long, text string")
+    got = license_scan.scan(short, {"MIT": "MIT License", "own": "the mit license ok"}).collect()
+    assert Counter((r.doc_id, r.license, r.first_word, r.windows) for r in got) == {(1, "MIT", 3, 1): 1, (1, "own", 2, 1): 1, (2, "MIT", 0, 1): 2}
+
 
+def test_licences_in_long_texts(spark, monkeypatch):
+    """Pieces much shorter than the text, words longer than any of a template: the same windows as in one piece."""
+    rng = random.Random(22)
+    notices = list(license_scan.TEMPLATES.values())
+    rows = []
+    for k in range(6):
+        words = []
+        for _ in range(12):
+            words += [rng.choice(["a", "lo" * 200, "the", "license"]) for _ in range(rng.randrange(400))] + notices[rng.randrange(len(notices))].split()
+        rows.append((k, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(license_scan, "PIECE", 1 << 30)
+    want = sorted(map(tuple, license_scan.scan(frame).collect()))
+    monkeypatch.setattr(license_scan, "PIECE", 64)
+    assert len(want) > 20 and sorted(map(tuple, license_scan.scan(frame).collect())) == want
 
 @settings(max_examples=100)
 @given(st.lists(st.tuples(st.text(max_size=20), st.binary(max_size=200)), max_size=5), st.sampled_from([1, 2]))
@@ -375,7 +530,7 @@ def test_arc_round_trip(pages, version):
     data = warc.arc_header(version) + b"".join(warc.arc_record(version, url, body) for url, body in pages)
     got = list(warc.parse_arc(data))
     assert [r.body for r in got] == [body for _, body in pages] and all(r.status == (200 if version == 2 else None) for r in got)
-    archive = b"".join(warc.warc_record(r, k, None) + warc.TAIL.encode() for k, r in enumerate(got))
+    archive = b"".join(warc.warc_record(r, k, None) + warc.TAIL for k, r in enumerate(got))
     assert [block for _, block in warc.parse_warc(archive)] == [body for _, body in pages]
 
 
@@ -425,11 +580,42 @@ def test_long_urls_and_gzip_members(spark, tmp_path):
     urls = ["http://h/" + "a" * 3000 + end for end in "xy"]
     got = warc.round_trip(spark.createDataFrame([(k, u, "<p>") for k, u in enumerate(urls)], "page_id long, url string, html string")).collect()
     assert {r.page_id: r.url for r in got} == dict(enumerate(urls))
-    records = [warc.warc_record(r, k, None) + warc.TAIL.encode() for k, r in enumerate(warc.parse_arc(warc.arc_header(1) + b"".join(warc.arc_record(1, u, b"body") for u in urls)))]
+    records = [warc.warc_record(r, k, None) + warc.TAIL for k, r in enumerate(warc.parse_arc(warc.arc_header(1) + b"".join(warc.arc_record(1, u, b"body") for u in urls)))]
     (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
     assert {r.page_id: r.url for r in warc.read_archives(spark, str(tmp_path)).collect()} == dict(enumerate(urls))
 
 
+def test_archive_files_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    import gzip
+
+    files = warc._Files(1000)
+    made = [f for n in (300, 300, 300, 5000, 10) for f in files.add(bytes(n))] + list(files.end())
+    assert len(made) == 3
+    pages = spark.createDataFrame([(k, f"http://h/{k}", f"{k}" + "é" * 700_000) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "out"))
+    found = [f for f in (tmp_path / "out").glob("part-*")]
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in found]
+    assert len(found) >= 2 and max(sizes) <= warc.FILE_BYTES + (1 << 16)
+    heads = [h for f in found for h, _ in warc.parse_warc(gzip.decompress(f.read_bytes()))]
+    assert sum(h["warc-type"] == "warcinfo" for h in heads) == len(found) and sum(h["warc-type"] == "response" for h in heads) == 60
+
+
+def test_arc_files_are_converted(spark, tmp_path):
+    import gzip
+
+    head = warc.http_head({"Content-Type": "text/html"})
+    one = warc.arc_header(1) + b"".join(warc.arc_record(1, f"http://h/{k}", head + b"x" * k) for k in range(5)) + warc.arc_record(1, "dns:h", b"1.2.3.4")
+    two = warc.arc_header(2) + b"".join(warc.arc_record(2, f"http://g/{k}", head + b"HTTP/y" * k) for k in range(4))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.arc").write_bytes(one)
+    (tmp_path / "in" / "b.arc.gz").write_bytes(gzip.compress(two))
+    warc.convert_archives(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = warc.read_archives(spark, str(tmp_path / "out")).collect()
+    want = [(f"http://h/{k}", "response", b"x" * k) for k in range(5)] + [("dns:h", "resource", b"1.2.3.4")] + [(f"http://g/{k}", "response", b"HTTP/y" * k) for k in range(4)]
+    assert Counter((r.url, r.record_type, r.payload_digest) for r in got) == Counter((u, t, hashlib.sha256(p).hexdigest()) for u, t, p in want)
+    assert len({r.record_id for r in got}) == 10 and all(r.date == "2000-01-01T00:00:00Z" for r in got)
+
+
 def test_empty_tables(spark, none):
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     labels = spark.createDataFrame([], "doc_id long, quality int")

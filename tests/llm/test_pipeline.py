@@ -1,13 +1,15 @@
 """The pipeline's stages, each against a brute-force version on its own input."""
 
+import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
 from loomspan.llm import mixing, packing, quality
-from tests.llm.test_operators import DOCS, fold, near_truth, prose
+from tests.llm.test_operators import DOCS, WORD, fold, near_truth, prose, public_tokenizers
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +66,63 @@ def test_stages(spark, folder):
     assert Counter((r.doc_id, r.start, r.length) for r in packed) == want
 
 
+def brute_force(rows, keep):
+    """run() by loops over all rows: the classifier's decisions are given, all else is done anew. (doc_id, start, length, ids_crc32, doc_tokens) of the pieces."""
+    from tokenizers import Tokenizer
+
+    texts = defaultdict(list)
+    for r in rows:
+        if r in keep:
+            texts[fold(r[1])].append(r)
+    unique = [max(g, key=lambda r: -1 if r[0] is None else r[0]) for g in texts.values()]
+    near = [r for r, (i, _, name) in zip(unique, near_truth(unique)) if i == name]
+    size = {r: len(WORD.findall(r[1] or "")) for r in near}
+    source = defaultdict(list)
+    for r in near:
+        source[r[3]].append(r)
+    total = {s: sum(size[r] for r in own) for s, own in source.items()}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(total, key=lambda s: (s is None, s)))}
+    target, free, left = {}, set(total), 1.5 * sum(total.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * total[s]}
+        for s in over or free:
+            target[s] = 2.0 * total[s] if over else level * weight[s]
+        if not over:
+            break
+        free, left = free - over, left - sum(2 * total[s] for s in over)
+    own = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    out = Counter()
+    for s, docs in source.items():
+        ratio = target[s] / total[s] if total[s] else 0.0
+        certain = int(ratio + 1e-12)
+        rest, wanted, mean = max(ratio - certain, 0.0), max(target[s] - certain * total[s], 0.0), total[s] / len(docs)
+
+        def odds(r):
+            p = min(max(rest * (0.9 + 0.1 * (2.0 / (1.0 + size[r] / max(mean, 1.0)))), 1e-9), 1 - 1e-9)
+            u = (int(hashlib.md5(f"7:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+            return (u / (1 - u)) / (p / (1 - p))
+
+        before = 0
+        for r in sorted(docs, key=odds):
+            copies = min(2, certain + (size[r] > 0 and wanted > 0 and before + size[r] / 2 <= wanted))
+            before += size[r]
+            ids = own.encode(r[1] or "", add_special_tokens=False).ids + [0]
+            for start, length in packing.pieces(len(ids), 1024):
+                out[r[0], start, length, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[start : start + length])), len(ids)] += copies
+    return +out
+
+
 def test_run(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    keep = {tuple(r) for r in quality.good_documents(docs, spark.read.parquet(f"{folder}/labels.parquet")).collect()}
     got = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == brute_force([tuple(r) for r in docs.collect()], keep)
     assert got and sorted(r.sequence_id for r in got) == list(range(len(got))) and all(r.length & (r.length - 1) == 0 for r in got)
     assert len({n for n, _ in corpus_pipeline.STAGES}) == 5
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
