@@ -24,6 +24,8 @@ BANDS = REGISTERS // ROWS
 TINY = 8
 #: Passes, at most, in which each bucket's members are held against one of them; what is then still open is compared by blocks.
 PASSES = 4
+#: Bands of the first pass.
+FIRST = 8
 #: Members that are held against a hub in one task, and shingles: a hub with more is copied.
 MEMBERS, SHINGLES = 2048, 1 << 20
 #: Documents of a block; two blocks are compared in a task.
@@ -146,8 +148,8 @@ def _with_hub(pairs: DataFrame, nodes: DataFrame, columns: list[str], weight: st
     """
     sized = pairs.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(weight) / SHINGLES), F.lit(1)).cast("int").alias("salts"))
     hubs = nodes.join(sized.withColumnRenamed("hub", "node"), "node").select(F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *columns)
-    # the salts of heavy hubs only: each has more than MEMBERS rows or SHINGLES shingles, so Spark sees a small table
-    heavy = sized.where("salts > 1").withColumnRenamed("hub", "__hub")
+    # heavy hubs only, each of more than MEMBERS rows or SHINGLES shingles; written, so Spark knows that it is small, and splits the join if it isn't
+    heavy = written(sized.where("salts > 1").withColumnRenamed("hub", "__hub"))
     members = pairs.select("hub", "node").join(nodes.select(*columns), "node").alias("m").join(heavy, F.col("m.hub") == F.col("__hub"), "left")
     members = members.select("hub", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), *columns)
     return members.unionByName(hubs)
@@ -246,14 +248,8 @@ def tiny_links(nodes: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def _labelled(links: DataFrame) -> DataFrame:
-    """(node, label): nodes of the same label are connected by ``links``; those of one component may still have several.
-
-    The label is the least linked node, or the least one linked to that.
-    """
-    parent = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("up")).groupBy("node").agg(F.min("up").alias("up"))
-    # the few parents that have a parent: Spark broadcasts them if they are as few as they should be
-    above = parent.select("up").distinct().join(parent.select(F.col("node").alias("up"), F.col("up").alias("top")), "up")
-    return written(parent.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("label")))
+    """(node, label) of the nodes in ``links``: the components so far."""
+    return written(components(links).select("node", F.col("component").alias("label")))
 
 
 def _nodes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -264,27 +260,27 @@ def _nodes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     nodes = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts"))
     nodes = written(nodes)
     links = written(tiny_links(nodes, percent))
-    band = F.explode(F.array(*(F.struct(F.lit(b).alias("no"), F.xxhash64(F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS)).alias("band")) for b in range(BANDS))))
-    bands = nodes.select("node", band.alias("b")).select("b.no", "b.band", "node")
-    shared = bands.groupBy("no", "band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("no", "band")
-    members = written(bands.join(shared, ["no", "band"]).withColumn("covered", F.lit(0)))
+    rows = table.join(nodes.select("node", "least_id"), "node", "left")
+    bucket = ["no", "band"]
+    alone = _banded(nodes, 0, BANDS).groupBy(*bucket).agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    lonely = alone.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") == BANDS)
+    sketched = written(nodes.join(lonely, "node", "left_anti").select("node", "sketch", "n", "least_id"))
 
     # one row of documents for each node that has candidates, found by id and then by its digest
-    wanted = members.select("node").distinct().join(nodes.select("node", "least_id"), "node").select("node", F.col("least_id").alias("id")).alias("w")
+    wanted = sketched.select("node", F.col("least_id").alias("id")).alias("w")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d")
     texts = own.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.id"))).select("node", "text")
     sets = texts.mapInArrow(_checked, "node binary, shingles binary")
     sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     labels = _labelled(links)
-    rows = table.join(nodes.select("node", "least_id"), "node", "left")
-    sketched = nodes.select("node", "sketch", "n")
-    for _ in range(PASSES):
-        now = members.drop("label").join(labels, "node", "left").select("no", "band", "node", "covered", F.coalesce("label", "node").alias("label"))
+    members = _banded(sketched, 0, FIRST).withColumn("covered", F.lit(0))
+    for k in range(PASSES):
+        now = members.join(labels, "node", "left").select(*bucket, "node", "covered", F.coalesce("label", "node").alias("label"))
         first = F.min(F.struct("covered", "node", "label")).alias("first")
-        buckets = now.groupBy("no", "band").agg(first, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("no", "band", F.col("first.node").alias("hub"), F.col("first.label").alias("hub_label"))
+        buckets = now.groupBy(*bucket).agg(first, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*bucket, F.col("first.node").alias("hub"), F.col("first.label").alias("hub_label"))
         # a bucket's hub leaves it: all its pairs are dealt with in this pass
-        pending = written(now.join(buckets, ["no", "band"]).where("node <> hub"))
+        pending = written(now.join(buckets, bucket).where("node <> hub"))
         pairs = pending.where("label <> hub_label").select("hub", "node").distinct()
         near = _with_hub(pairs.withColumn("n", F.lit(0)), sketched, ["node", "sketch", "n"], "n")
         near = written(near.groupBy("hub", "salt").applyInArrow(_near_hub(percent), "hub binary, node binary, n long"))
@@ -294,14 +290,25 @@ def _nodes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("new_hub_label"))
         pending = pending.drop("label").join(labels, "node", "left").join(hub, "hub", "left")
         mine = F.coalesce("label", "node") == F.coalesce("new_hub_label", "hub")
-        members = written(pending.select("no", "band", "node", F.when(mine, 1).otherwise(F.col("covered")).alias("covered"), F.coalesce("label", "node").alias("label")))
-        open_ = _open_buckets(members)
+        members = pending.select(*bucket, "node", F.when(mine, 1).otherwise(F.col("covered")).alias("covered"))
+        if k == 0:  # most copies are joined by now, so most of their buckets in the other bands are closed
+            members = members.unionByName(_banded(sketched, FIRST, BANDS).withColumn("covered", F.lit(0)))
+            continue
+        members = written(members)
+        labelled = members.join(labels, "node", "left").select(*bucket, "node", F.coalesce("label", "node").alias("label"))
+        open_ = _open_buckets(labelled)
         widest = open_.agg(F.max("minors")).first()[0]
         if widest is None:
             return rows, written(components(links))
         if widest <= 1:  # each task of the blocks then has one block of the smaller components
             break
-    return rows, written(components(links.unionByName(_across(members, open_, sketched, sets, percent))))
+    return rows, written(components(links.unionByName(_across(labelled, open_, sketched, sets, percent))))
+
+
+def _banded(nodes: DataFrame, first: int, end: int) -> DataFrame:
+    """(no, band, node): the nodes' values of the bands from ``first`` on, before ``end``."""
+    band = F.explode(F.array(*(F.struct(F.lit(b).alias("no"), F.xxhash64(F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS)).alias("band")) for b in range(first, end))))
+    return nodes.select("node", band.alias("b")).select("b.no", "b.band", "node")
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -323,7 +330,7 @@ def _across(members: DataFrame, buckets: DataFrame, sketched: DataFrame, sets: D
     placed = members.join(buckets, ["no", "band"]).select("no", "band", "node", "label", "majors", "minors", major.alias("major"), (here + F.when(major, F.col("minors")).otherwise(0)).alias("block"))
     met = F.when(F.col("major"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1))
     dealt = placed.select("no", "band", "node", "label", "block", F.explode(met).alias("with"))
-    dealt = dealt.select("no", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "label", "node").join(sketched, "node")
+    dealt = dealt.select("no", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "label", "node").join(sketched.select("node", "sketch", "n"), "node")
     key = ["no", "band", "i", "j"]
     near = written(dealt.groupBy(*key).applyInArrow(_cross(percent), "no int, band long, i int, j int, block int, label binary, node binary"))
     return near.join(sets, "node").groupBy(*key).applyInArrow(_verified(percent), "a binary, b binary")
@@ -334,7 +341,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     1. One pass gives every document a SetSketch of its shingle set; equal sets become one node.
     2. Pairs with a set of at most ``TINY`` shingles are linked by digests of their common part, exactly (:func:`tiny_links`).
-    3. Nodes that share a band of registers meet in a bucket. In a pass one member of a bucket is its hub, and
+    3. Nodes that share a band of registers meet in a bucket, first in ``FIRST`` bands, then in all. In a pass one member of a bucket is its hub, and
        all others of another component are held against it: those whose jointly estimated similarity is near the threshold
        are verified by their full sets. A large group of copies is so joined by about as many comparisons as it has members.
        Passes go on, ``PASSES`` at most, while a bucket has more than ``BLOCK`` members outside its largest component.
