@@ -37,9 +37,9 @@ def safe_name(x: Column, longest: int = 120) -> Column:
 
 def tokenize(x: Column) -> Column:
     """Lower-case tokens of three or more letters or digits without stopwords, in order, repeats kept (STR04)."""
-    words = F.split(F.regexp_replace(F.lower(normalize_space(x)), "-", " "), " ")
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
-    return F.filter(bare, lambda w: (F.char_length(w) >= 3) & ~w.isin(STOPWORDS))
+    # one pass over the whole text: what isn't a letter, a digit or a blank goes
+    bare = F.regexp_replace(F.translate(F.lower(normalize_space(x)), "-", " "), r"[^\p{L}\p{N} ]", "")
+    return F.filter(F.split(bare, " "), lambda w: (F.char_length(w) >= 3) & ~w.isin(STOPWORDS))
 
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:

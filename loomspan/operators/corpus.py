@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.functions import values as V
+from loomspan.operators.lineage import cut
 
 
 def skip_reason(text: Column, role: Column, day: Column, roles: list[str] | None = None, cutoff: str | None = None, need_date: bool = False) -> Column:
@@ -56,15 +57,22 @@ def last_wins(df: DataFrame, key: str, seq: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*(c for c in df.columns if c != key)), seq).alias("row")).select(key, "row.*")
 
 
-def flatten_tree(df: DataFrame, node: str, parent: str, depth: int = 8) -> DataFrame:
-    """(node, root, level) of an adjacency list by joins, at most ``depth`` levels (SRC06)."""
-    nodes = df.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    level = nodes.where("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("level"))
-    out = level
-    for k in range(1, depth):
-        level = nodes.alias("n").join(level.alias("l"), F.col("n.parent") == F.col("l.node")).select("n.node", "l.root", F.lit(k).alias("level"))
-        out = out.unionByName(level)
-    return out
+def flatten_tree(df: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, root, level) of an adjacency list of any depth (SRC06); a node that no root leads to is left out.
+
+    Each round doubles the distance that a node has climbed, so it takes as many joins as the depth has binary digits;
+    each is checkpointed. A cycle raises ``ValueError``.
+    """
+    own = df.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
+    now = cut(own.select("node", F.coalesce("parent", "node").alias("top"), F.col("parent").isNotNull().cast("int").alias("level"), F.col("parent").isNotNull().alias("open")))
+    rounds = 2 + max(1, now.count()).bit_length()
+    for _ in range(rounds):
+        if now.where("open").isEmpty():
+            return now.select("node", F.col("top").alias("root"), "level")
+        up = now.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("level").alias("more"), F.col("open").alias("still"))
+        climbed = now.where("open").join(up, "top").select("node", F.col("next").alias("top"), (F.col("level") + F.col("more")).alias("level"), F.col("still").alias("open"))
+        now = cut(now.where("not open").unionByName(climbed))
+    raise ValueError("the tree has a cycle")
 
 
 def support(assignments: DataFrame, docs: DataFrame, declared: DataFrame | None = None) -> DataFrame:

@@ -87,15 +87,6 @@ def proper_names(docs: DataFrame, cues: tuple[str, ...] = ("propose", "introduce
     return docs.select("doc_id", "text").mapInPandas(find, "doc_id long, name string, position long")
 
 
-TYPE_CUES = {"data_source": ("dataset", "corpus", "data"), "evaluation_protocol": ("benchmark", "evaluation", "metric"), "infrastructure_tooling": ("tool", "platform", "library"), "method": ("",)}
-
-
-def entity_type(context: Column) -> Column:
-    """The first type with a cue in the context (STR12)."""
-    low = F.lower(context)
-    return F.coalesce(*(F.when(F.exists(F.array(*(F.lit(c) for c in cues)), lambda c: F.contains(low, c)), kind) for kind, cues in TYPE_CUES.items()))
-
-
 def variant_reason(source: Column, target: Column) -> Column:
     """Why two labels are variants of one (FIL07), empty if they aren't."""
     a, b = F.transform(T.tokenize(source), T.label_singular), F.transform(T.tokenize(target), T.label_singular)
@@ -144,6 +135,31 @@ def successor_candidates(entities: DataFrame, scope: str, per_target: int = 6) -
     return best.select("source", "target", "days", "score", "rank"), judged.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def quoting_documents(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id): documents that hold a quote, whole or by four fifths of its tokens (STR19).
+
+    ``quotes``: item_id, quote. A text with four fifths of n tokens has one of the first n - 0.8 n + 1 in any order; long tokens come first, as they
+    are rare. A quote inside a text shares its words but the first and last, so it meets at the longest of these. Only quotes without any
+    such word are looked for in every text, in blocks; they are broadcast as far as Spark finds them small.
+    """
+    own, low = F.array_distinct("qt"), F.lower(T.normalize_space(F.col("quote")))
+    q = quotes.select("item_id", low.alias("q"), T.tokenize(F.col("quote")).alias("qt")).where("q <> ''").withColumn("own", own)
+    long = lambda c: F.transform(F.array_sort(F.transform(c, lambda t: F.struct((-F.char_length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    words = F.split("q", " ")
+    inner = F.array_distinct(T.tokenize(F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), " ")))
+    loose = F.size("qt") >= 4
+    first = F.when(loose, F.slice(long(F.col("own")), F.lit(1), F.size("own") - F.ceil(0.8 * F.size("own")).cast("int") + 1)).otherwise(F.array().cast("array<string>"))
+    keys = q.withColumn("inner", F.slice(long(inner), 1, 1)).withColumn("keys", F.array_union(first, F.col("inner")))
+    texts = docs.select("doc_id", F.lower(T.normalize_space(F.col("text"))).alias("low"), F.array_distinct(T.tokenize(F.col("text"))).alias("tokens"))
+    at = keys.select("item_id", F.explode("keys").alias("token"))
+    met = texts.select("doc_id", F.explode("tokens").alias("token")).join(at, "token").select("doc_id", "item_id").distinct()
+    held = F.contains("low", F.col("q")) | (loose & (F.size(F.array_intersect("own", F.col("tokens"))) >= 0.8 * F.size("own")))
+    near = met.join(q, "item_id").join(texts, "doc_id").where(held).select("item_id", "doc_id")
+    rest = keys.where(F.size("inner") == 0).select("item_id", "q")
+    whole = texts.select("doc_id", "low").join(rest, F.contains("low", F.col("q"))).select("item_id", "doc_id")
+    return near.unionByName(whole).distinct()
+
+
 def path_windows(paths: DataFrame, assigned: DataFrame) -> DataFrame:
     """Windows that a path's edges fall into (JOI17): ``path_id, edges`` (array) with ``edge_id, window_id``."""
     steps = paths.select("path_id", F.explode("edges").alias("edge_id"))

@@ -39,6 +39,18 @@ def entity_pairs(entities: DataFrame, node: str = "node_id", most: int = 40) ->
     return a.join(b, node).where("a.entity_id <> b.entity_id and a.first_seen <= b.first_seen").select(node, F.col("a.entity_id").alias("source"), F.col("b.entity_id").alias("target"))
 
 
+def first_pairs(rows: DataFrame, group: list[str], day: str, key: str, k: int = 3) -> DataFrame:
+    """The first ``k`` pairs of each group of a row and a later or equally dated other, by target, then source (JOI05).
+
+    The targets of the first k pairs are among the group's first k + 1 rows by (day, key), as the n-th of them has n - 1 sources,
+    and so are their sources; only these rows are paired, so a large group gives no more than (k + 1) ** 2 pairs.
+    """
+    first = top_per_group(rows, group, [F.col(day).asc_nulls_last(), key], k + 1)
+    s, t = (first.select(*group, F.col(key).alias(name), F.col(day).alias(d)) for name, d in (("source", "sd"), ("target", "td")))
+    pairs = s.join(t, group).where("sd <= td and source <> target")
+    return top_per_group(pairs, group, ["td", "target", "sd", "source"], k).select(*group, "source", "target", "rank")
+
+
 def base_confidence(edge_type: Column, has_cue: Column, shared_node: Column, delta: Column) -> Column:
     """Confidence before any audit (SCO01)."""
 
@@ -126,6 +138,62 @@ def beam_paths(edges: DataFrame, depth: int = 4, beam: int = 6, fan_out: int = 6
     return reduce(DataFrame.unionByName, found)
 
 
+def step_scores(edges: DataFrame, depth: int) -> Column:
+    """Score of an edge as the step of a trajectory at ``depth`` (SCO05); ``edges`` has confidence, time_delta_days, and local and schema_fit if known."""
+    local = F.when(F.col("local"), 1.0).otherwise(0.6) if "local" in edges.columns else F.lit(1.0)
+    fit = V.clamp01(F.col("schema_fit")) if "schema_fit" in edges.columns else F.lit(0.75)
+    return step_score(F.col("confidence"), temporal_score(F.col("time_delta_days")), F.lit(1.0), fit, local, depth)
+
+
+def trajectories(edges: DataFrame, depth: int = 4, beam: int = 6, fan_out: int = 6, strong: list[str] | None = None) -> DataFrame:
+    """Trajectories by a beam search over the verified, strong, not backward edges (GRF02): a path's score is the mean of its steps' scores.
+
+    ``edges``: edge_id, source, target, edge_type, verified, confidence, time_delta_days. Of paths over the same entities the best
+    stays. Returns ``entity_path, edge_path`` (arrays)``, trajectory_score, path_length, mean_edge_confidence, temporal_coherence, quote_grounding, branching_factor``.
+    """
+    temporal = temporal_score(F.col("time_delta_days"))
+    good = edges.where(F.col("edge_type").isin(STRONG if strong is None else strong) & F.col("verified") & (F.col("confidence") > 0) & (temporal > 0))
+    rows = good.select(F.col("edge_id").cast("string").alias("edge_id"), "source", "target", "confidence", temporal.alias("temporal"), *(step_scores(edges, k).alias(f"s{k}") for k in range(depth)))
+    degree = rows.groupBy("source").agg(F.count("*").alias("degree"))
+    out = top_per_group(rows, ["source"], [F.desc("s0"), "target", "edge_id"], fan_out).drop("rank")
+    level, found = None, []
+    for k in range(depth):
+        if level is None:
+            level = out.select(F.col("source").alias("start"), F.array("source", "target").alias("path"), F.array("edge_id").alias("steps"), F.col("target").alias("tip"), F.col("s0").alias("total"), F.col("confidence").alias("sure"), F.col("temporal").alias("time")).where("start <> tip")
+        else:
+            joined = level.join(out, level["tip"] == out["source"]).where(~F.array_contains("path", F.col("target")))
+            level = joined.select("start", F.concat("path", F.array("target")).alias("path"), F.concat("steps", F.array("edge_id")).alias("steps"), F.col("target").alias("tip"), (F.col("total") + F.col(f"s{k}")).alias("total"), (F.col("sure") + F.col("confidence")).alias("sure"), (F.col("time") + F.col("temporal")).alias("time"))
+        ranked = level.withColumn("score", F.round(F.col("total") / (k + 1), 3))
+        level = top_per_group(ranked, ["start"], [F.desc("score"), "path", "steps"], beam).drop("rank")
+        found.append(level.select("path", "steps", "score", F.lit(k + 1).alias("length"), F.round(F.col("sure") / (k + 1), 3).alias("sure"), F.round(F.col("time") / (k + 1), 3).alias("time")))
+    best = top_per_group(reduce(DataFrame.unionByName, found), ["path"], [F.desc("score"), "steps"], 1).drop("rank")
+    branching = best.select("path", F.explode("path").alias("source")).join(degree, "source").groupBy("path").agg(F.max("degree").alias("branching_factor"))
+    return best.join(branching, "path").select(
+        F.col("path").alias("entity_path"), F.col("steps").alias("edge_path"), F.col("score").alias("trajectory_score"), F.col("length").alias("path_length"), F.col("sure").alias("mean_edge_confidence"),
+        F.col("time").alias("temporal_coherence"), F.lit(1.0).alias("quote_grounding"), "branching_factor",
+    )
+
+
+def schema_fit(edge_type: Column, schema: dict[str, dict], strong: list[str]) -> Column:
+    """How well a relation type is described (SCO02): unknown 0.25, else 0.55 and more for a strong type, slots and a definition."""
+    fits = {name: min(1.0, 0.55 + 0.2 * (name in strong) + 0.15 * bool(spec.get("evidence_slots")) + 0.1 * bool(spec.get("definition"))) for name, spec in schema.items()}
+    return F.coalesce(*(F.when(edge_type == name, F.lit(value)) for name, value in fits.items()), F.lit(0.25))
+
+
+def slot_completeness(edge_type: Column, filled: Column, schema: dict[str, dict], required: list[str]) -> Column:
+    """Share of the slots that a relation type calls for, else of the required ones, that are filled; 0.8 if none is called for (SCO02). ``filled``: array of slots."""
+
+    def share(slots: list[str]) -> Column:
+        return F.size(F.array_intersect(F.array(*(F.lit(s) for s in slots)), filled)) / len(slots) if slots else F.lit(0.8)
+
+    return F.coalesce(*(F.when(edge_type == name, share(list(spec.get("evidence_slots") or required))) for name, spec in schema.items()), share(required))
+
+
+def quote_grounding(verified: Column, verified_quotes: Column, has_quote: Column) -> Column:
+    """1 for a verified edge, 0.75 with a verified quote, 0.45 with any quote, else 0.1 (SCO02)."""
+    return F.when(verified, 1.0).when(F.coalesce(verified_quotes, F.lit(0)) > 0, 0.75).when(F.coalesce(has_quote, F.lit(False)), 0.45).otherwise(0.1)
+
+
 def successor_paths(edges: DataFrame, depth: int = 4, fan_out: int = 4) -> DataFrame:
     """Strict successor paths (GRF04), unique by their edges: ``edge_path, path, score`` (mean confidence), ``depth``.
 

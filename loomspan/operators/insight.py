@@ -97,12 +97,16 @@ def pre_score(shared: Column, overlap: Column, mentioned: Column, years: Column,
 
 def older_sources(entities: DataFrame, scope: str, years: int = 18, k: int = 120) -> DataFrame:
     """Possible predecessors of each entity in its scope (JOI13): first seen up to ``years`` years earlier, the best ``k`` by pre-score."""
-    a = entities.select(scope, F.col("entity_id").alias("source"), F.col("first_seen").alias("sf"), F.col("tokens").alias("st"), F.col("nodes").alias("sn"), F.col("n_docs").alias("support"))
-    b = entities.select(scope, F.col("entity_id").alias("target"), F.col("first_seen").alias("tf"), F.col("tokens").alias("tt"), F.col("nodes").alias("tn"))
+    # entities meet at a shared token or node only; the shared ones are summed before anything is ranked
+    shared = lambda c, kind: F.transform(F.array_distinct(c), lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("item")))
+    items = entities.select(scope, "entity_id", "first_seen", "n_docs", F.explode(F.concat(shared(F.col("tokens"), "t"), shared(F.col("nodes"), "n"))).alias("x")).select(scope, "entity_id", "first_seen", "n_docs", "x.kind", "x.item")
+    a = items.select(scope, "kind", "item", F.col("entity_id").alias("source"), F.col("first_seen").alias("sf"), F.col("n_docs").alias("support"))
+    b = items.select(scope, "kind", "item", F.col("entity_id").alias("target"), F.col("first_seen").alias("tf"))
     days = F.datediff("tf", "sf")
-    pairs = a.join(b, scope).where((days > 0) & (days <= 365 * years) & ((F.size(F.array_intersect("st", "tt")) > 0) | (F.size(F.array_intersect("sn", "tn")) > 0)))
-    score = pre_score(F.size(F.array_intersect("sn", "tn")), F.size(F.array_intersect("st", "tt")), F.lit(0), days / 365.25, F.col("support"))
-    return top_per_group(pairs.withColumn("score", score), ["target"], [F.desc("score"), "source"], k).select("source", "target", days.alias("days"), "score", "rank")
+    met = a.join(b, [scope, "kind", "item"]).where((days > 0) & (days <= 365 * years))
+    pairs = met.groupBy("source", "target", days.alias("days"), "support").agg(F.count_if(F.col("kind") == "n").alias("shared"), F.count_if(F.col("kind") == "t").alias("overlap"))
+    score = pre_score(F.col("shared"), F.col("overlap"), F.lit(0), F.col("days") / 365.25, F.col("support"))
+    return top_per_group(pairs.withColumn("score", score), ["target"], [F.desc("score"), "source"], k).select("source", "target", "days", "score", "rank")
 
 
 DISPLAY_RULES = ("raw_rejected", "relation_type_not_for_display", "low_confidence", "missing_time_delta", "too_near_in_time", "same_source_and_target_document")
@@ -167,6 +171,13 @@ def hook_score(evidence: Column, verified: Column, length: Column, is_open: Colu
     return F.round(V.clamp01(F.lit(0.28) * evidence + F.lit(0.22) * verified + F.lit(0.18) * F.least(F.lit(1.0), length / 4) + F.lit(0.14) * is_open + F.lit(0.12) * maturity - F.lit(0.06) * risk), 3)
 
 
+def trajectory_metrics(paths: DataFrame) -> DataFrame:
+    """(metric, value) of trajectories (AGG23)."""
+    mean = lambda c: F.round(F.avg(c), 6)
+    one = paths.agg(F.count("*").cast("double").alias("trajectories"), mean("trajectory_score").alias("mean_score"), mean("path_length").alias("mean_length"), F.max("path_length").cast("double").alias("longest"), mean("mean_edge_confidence").alias("mean_confidence"), mean("temporal_coherence").alias("mean_temporal"))
+    return one.select(F.expr(f"stack({len(one.columns)}, {', '.join(f"'{c}', {c}" for c in one.columns)}) AS (metric, value)"))
+
+
 def token_profiles(docs: DataFrame, group: str, k: int = 20) -> DataFrame:
     """The commonest tokens of each group (AGG28)."""
     counts = docs.select(F.col(group).alias("grp"), F.explode(T.tokenize(F.col("text"))).alias("token")).groupBy("grp", "token").agg(F.count("*").alias("n"))
@@ -181,7 +192,8 @@ def heterogeneity(docs: DataFrame, group: str, size: int = 120) -> DataFrame:
     w = Window.partitionBy(group)
     n, nth = F.count("*").over(w), F.row_number().over(w.orderBy("doc_id")) - 1
     step = F.greatest(F.lit(1.0), F.col("n") / size)
-    spread = docs.withColumn("n", n).withColumn("nth", nth).where(F.floor(F.floor((F.col("nth") + step - 1e-9) / step) * step) == F.col("nth"))
+    ids = docs.select(group, "doc_id").withColumn("n", n).withColumn("nth", nth).where(F.floor(F.floor((F.col("nth") + step - 1e-9) / step) * step) == F.col("nth"))
+    spread = docs.join(F.broadcast(ids.select(group, "doc_id")), [group, "doc_id"], "left_semi")  # at most ``size`` ids a group
     own = spread.select(group, "doc_id", F.array_distinct(T.tokenize(F.col("text"))).alias("t"))
     a, b = own.alias("a"), own.alias("b")
     pairs = a.join(b, group).where("a.doc_id < b.doc_id").select(group, T.jaccard(F.col("a.t"), F.col("b.t")).alias("j"))

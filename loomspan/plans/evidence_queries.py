@@ -27,7 +27,7 @@ def _(spark, d):
 def _(spark, d):
     turns = tb.table(spark, d, "conversations")
     docs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    e = docs.select(F.col("doc_id").alias("edge_id"), F.col("doc_id").alias("source_document"), (F.col("doc_id") + 1).alias("target_document"), F.element_at(T.sentences(F.col("text")), 1).alias("quote"), F.element_at(F.split(T.normalize_space(F.col("text")), " "), 1).alias("source_name"), F.lit("the que").alias("target_name"))
+    e = docs.select(F.col("doc_id").alias("edge_id"), F.col("doc_id").alias("source_document"), (F.col("doc_id") + 1).alias("target_document"), F.col("text").alias("quote"), F.element_at(F.split(T.normalize_space(F.col("text")), " "), 1).alias("source_name"), F.lit("the que").alias("target_name"))
     return evidence.audit_quotes(e, docs, ["th", "e"]).select("edge_id", "verified")
 
 
@@ -36,11 +36,6 @@ def _(spark, d):
     return evidence.proper_names(tb.table(spark, d, "documents"), ("th", "en"))
 
 
-@query("str12_entity_type", "SELECT doc_id, CASE WHEN contains(lower(text), 'dataset') OR contains(lower(text), 'corpus') OR contains(lower(text), 'data') THEN 'data_source' WHEN contains(lower(text), 'benchmark') OR contains(lower(text), 'evaluation') OR contains(lower(text), 'metric') THEN 'evaluation_protocol' WHEN contains(lower(text), 'tool') OR contains(lower(text), 'platform') OR contains(lower(text), 'library') THEN 'infrastructure_tooling' ELSE 'method' END AS kind FROM documents")
-def _(spark, d):
-    return tb.table(spark, d, "documents").select("doc_id", evidence.entity_type(F.col("text")).alias("kind"))
-
-
 @query("sco11_evidence_slots", "SELECT doc_id, CASE WHEN contains(lower(text), 'problem') OR contains(lower(text), 'issue') OR contains(lower(text), 'limitation') OR contains(lower(text), 'bottleneck') OR contains(lower(text), 'challenge') OR contains(lower(text), 'lack of') THEN md5(text) ELSE md5('') END AS bottleneck FROM documents")
 def _(spark, d):
     slots = evidence.evidence_slots(F.col("text"), ["bottleneck", "mechanism", "tradeoff"])
@@ -62,7 +57,7 @@ def _(spark, d):
 
 
 @query("joi03_fuzzy_assignment", f"""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS low, list_distinct({tok('text')}) AS t FROM documents), n(node_id, label) AS (VALUES ('n1', 'public license version'), ('n2', 'released under license'), ('n3', 'the que'))
-SELECT node_id, count(*) AS docs FROM (SELECT doc_id, node_id FROM assignment UNION SELECT doc_id, node_id FROM t, n WHERE len(list_intersect(list_distinct({tok('label')}), t)) > 0 AND (contains(low, label) OR len(list_intersect(list_distinct({tok('label')}), t)) >= 0.67 * len(list_distinct({tok('label')})))) GROUP BY 1""", tb.ASSIGNMENTS)
+SELECT node_id, count(*) AS docs FROM (SELECT doc_id, node_id FROM assignment UNION SELECT doc_id, node_id FROM t, n WHERE (contains(low, label) OR len(list_intersect(list_distinct({tok('label')}), t)) >= 0.67 * len(list_distinct({tok('label')})))) GROUP BY 1""", tb.ASSIGNMENTS)
 def _(spark, d):
     nodes = spark.createDataFrame([("n1", "p", "public license version"), ("n2", "p", "released under license"), ("n3", "p", "the que"), ("n4", None, "the")], "node_id string, parent_id string, label string")
     return evidence.fuzzy_assign(tb.table(spark, d, "documents"), nodes, tb.assignments(spark, d)).groupBy("node_id").agg(F.count("*").alias("docs"))
@@ -108,15 +103,11 @@ def _(spark, d):
     return cards.select("entity_id", joined("documents", "doc_id").alias("documents"), joined("out_edges", "entity").alias("out_edges"))
 
 
-@query("grf06_agg32_hooks", """WITH b AS (SELECT source, count(DISTINCT target) AS n FROM edge WHERE verified AND edge_type IN ('extends', 'improves') GROUP BY 1 HAVING count(DISTINCT target) >= 2), c AS (SELECT source, count(*) AS n FROM edge WHERE NOT verified AND edge_type = 'background' GROUP BY 1)
-SELECT 'branch' AS kind, source AS key, least(1.0::DOUBLE, n / 8.0::DOUBLE) AS weight FROM b UNION ALL SELECT 'bottleneck', source, least(1.0::DOUBLE, n / 8.0::DOUBLE) FROM c""", tb.EDGES)
-def _(spark, d):
-    e = tb.edges(spark, d)
-    hooks = evidence.forecast_hooks(graph.beam_paths(_weights(spark, d), 1, 1, 1), graph.branch_points(e), e.where("not verified and edge_type = 'background'"))
-    return hooks.where("kind <> 'chain'")
+_HOOKS = """WITH b AS (SELECT source, count(DISTINCT target) AS n FROM edge WHERE verified AND edge_type IN ('extends', 'improves') GROUP BY 1 HAVING count(DISTINCT target) >= 2), c AS (SELECT source, count(*) AS n FROM edge WHERE NOT verified AND edge_type = 'background' GROUP BY 1)
+SELECT 'branch' AS kind, source AS key, least(1.0::DOUBLE, n / 8.0::DOUBLE) AS weight FROM b UNION ALL SELECT 'bottleneck', source, least(1.0::DOUBLE, n / 8.0::DOUBLE) FROM c"""
 
 
-@query("grf06_agg32_all_hooks", f"SELECT kind, key, weight FROM ({registry.SQL['grf06_agg32_hooks']}) UNION ALL SELECT 'chain', path, score FROM ({registry.SQL['grf01_chains']})")
+@query("grf06_agg32_all_hooks", f"SELECT kind, key, weight FROM (WITH {tb.EDGES}, {_HOOKS[5:]}) UNION ALL SELECT 'chain', path, score FROM ({registry.SQL['grf01_chains']})")
 def _(spark, d):
     e = tb.edges(spark, d)
     return evidence.forecast_hooks(graph.beam_paths(_weights(spark, d), 4, 5, 5), graph.branch_points(e), e.where("not verified and edge_type = 'background'"))

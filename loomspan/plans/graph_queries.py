@@ -18,7 +18,7 @@ def _(spark, d):
     rows = tb.table(spark, d, "region").select(name("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
     rows = rows.unionByName(tb.table(spark, d, "nation").select(name("n", "n_nationkey").alias("node"), name("r", "n_regionkey").alias("parent")))
     rows = rows.unionByName(tb.table(spark, d, "supplier").select(name("s", "s_suppkey").alias("node"), name("n", "s_nationkey").alias("parent")))
-    return corpus.flatten_tree(rows, "node", "parent", 3)
+    return corpus.flatten_tree(rows, "node", "parent")
 
 
 @query("src07_set01_assignments", "SELECT node_id, count(*) AS n FROM (SELECT doc_id, node_id FROM assignment UNION SELECT doc_id, lang FROM documents) GROUP BY 1", tb.ASSIGNMENTS)
@@ -174,9 +174,7 @@ def _(spark, d):
   FROM o s JOIN o t ON s.o_custkey = t.o_custkey AND s.day <= t.day AND s.o_orderkey <> t.o_orderkey) SELECT * FROM p WHERE rank <= 3""")
 def _(spark, d):
     o = tb.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
-    s, t = o.select("o_custkey", F.col("o_orderkey").alias("source"), F.col("day").alias("sd")), o.select("o_custkey", F.col("o_orderkey").alias("target"), F.col("day").alias("td"))
-    pairs = s.join(t, "o_custkey").where("sd <= td and source <> target")
-    return graph.top_per_group(pairs, ["o_custkey"], ["td", "target", "sd", "source"], 3).select("o_custkey", "source", "target", "rank")
+    return graph.first_pairs(o, ["o_custkey"], "day", "o_orderkey", 3)
 
 
 @query("joi06_mention_flags", """WITH m AS (SELECT DISTINCT entity_id, doc_id FROM mention) SELECT edge_id, a.doc_id IS NOT NULL AS source_in_target, b.doc_id IS NOT NULL AS target_in_source
@@ -301,22 +299,31 @@ def _(spark, d):
     return graph.beam_paths(_weights(spark, d), 4, 5, 5)
 
 
-@query("grf02_trajectories", _beam_sql(3, 6, 6), tb.EDGES)
+@query("grf02_beam_of_4", _beam_sql(4, 6, 6), tb.EDGES)
 def _(spark, d):
-    return graph.beam_paths(_weights(spark, d), 3, 6, 6)
+    return graph.beam_paths(_weights(spark, d), 4, 6, 6)
 
 
-@query("grf02_trajectories_of_4", _beam_sql(4, 6, 6), tb.EDGES)
-def _(spark, d):
-    return graph.beam_paths(_weights(spark, d), 4, 6, 6)
+def _trajectory_sql(depth: int, beam: int, fan: int) -> str:
+    temporal = "(CASE WHEN time_delta_days IS NULL THEN 0.6 WHEN time_delta_days < 0 THEN 0.0 WHEN time_delta_days = 0 THEN 0.8 ELSE 1.0 END)::DOUBLE"
+    step = lambda k: f"round((0.34::DOUBLE * confidence + 0.24::DOUBLE * temporal + 0.18::DOUBLE * 1.0::DOUBLE + 0.14::DOUBLE * 0.75::DOUBLE + 0.10::DOUBLE * 1.0::DOUBLE) * {max(0.75, 1 - 0.04 * k)}::DOUBLE, 3) AS s{k}"
+    ctes = [f"g AS (SELECT edge_id::VARCHAR AS edge_id, source, target, confidence, {temporal} AS temporal FROM edge WHERE verified AND confidence > 0 AND time_delta_days >= 0 AND edge_type IN ('extends', 'improves', 'replaces', 'adapts')), w AS (SELECT *, {', '.join(map(step, range(depth)))} FROM g)"]
+    ctes.append(f"deg AS (SELECT source, count(*) AS degree FROM w GROUP BY 1), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s0 DESC, target, edge_id) AS r FROM w) WHERE r <= {fan})")
+    for k in range(depth):
+        if k == 0:
+            ctes.append("c0 AS (SELECT source AS start, [source, target] AS path, [edge_id] AS steps, target AS tip, s0 AS total, confidence AS sure, temporal AS time FROM o WHERE source <> target)")
+        else:
+            ctes.append(f"c{k} AS (SELECT start, list_append(path, o.target) AS path, list_append(steps, o.edge_id) AS steps, o.target AS tip, total + o.s{k} AS total, sure + o.confidence AS sure, time + o.temporal AS time FROM b{k - 1} b JOIN o ON b.tip = o.source WHERE NOT list_contains(path, o.target))")
+        ctes.append(f"b{k} AS (SELECT * FROM (SELECT *, round(total / {k + 1}, 3) AS score, {k + 1} AS length, row_number() OVER (PARTITION BY start ORDER BY round(total / {k + 1}, 3) DESC, path, steps) AS r FROM c{k}) WHERE r <= {beam})")
+    every = " UNION ALL ".join(f"SELECT path, steps, score, length, round(sure / length, 3) AS sure, round(time / length, 3) AS time FROM b{k}" for k in range(depth))
+    ctes.append(f"u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, steps) AS r FROM ({every})) WHERE r = 1)")
+    ctes.append("x AS (SELECT path, max(degree) AS branching FROM (SELECT path, unnest(path) AS source FROM u) y JOIN deg ON y.source = deg.source GROUP BY 1)")
+    return f"WITH {', '.join(ctes)} SELECT array_to_string(u.path, '>') AS entity_path, array_to_string(steps, '>') AS edge_path, score AS trajectory_score, length::INTEGER AS path_length, sure AS mean_edge_confidence, time AS temporal_coherence, 1.0::DOUBLE AS quote_grounding, branching AS branching_factor FROM u JOIN x ON u.path = x.path"
 
 
-@query("grf04_successor_paths", """WITH w AS (SELECT source, target, max(confidence) AS weight FROM edge WHERE verified AND source_type = target_type AND source < target GROUP BY 1, 2), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS r FROM w) WHERE r <= 4),
-p2 AS (SELECT a.source AS s, a.target AS m, b.target AS t FROM o a JOIN o b ON a.target = b.source WHERE b.target <> a.source)
-SELECT source || '>' || target AS path, 1 AS depth FROM o UNION ALL SELECT s || '>' || m || '>' || t, 2 FROM p2 UNION ALL SELECT s || '>' || m || '>' || p2.t || '>' || o.target, 3 FROM p2 JOIN o ON p2.t = o.source WHERE o.target NOT IN (s, m)""", tb.EDGES)
+@query("grf02_trajectories", _trajectory_sql(4, 6, 6), tb.EDGES)
 def _(spark, d):
-    e = tb.edges(spark, d).where("verified and source_type = target_type and source < target").groupBy("source", "target").agg(F.max("confidence").alias("weight"))
-    return graph.beam_paths(e, 3, 10**6, 4).select("path", "depth")
+    return graph.trajectories(tb.edges(spark, d), 4, 6, 6).withColumn("entity_path", F.array_join("entity_path", ">")).withColumn("edge_path", F.array_join("edge_path", ">"))
 
 
 @query("grf04_successor_edge_paths", f"""WITH RECURSIVE {tb.EDGES}, e AS (SELECT edge_id, source, target, confidence, time_delta_days AS days FROM edge WHERE verified AND source_type = target_type AND source < target),
@@ -491,11 +498,13 @@ def _(spark, d):
     return graph.upper_median(tb.edges(spark, d), "edge_type", "time_delta_days")
 
 
-@query("agg23_trajectory_metrics", None)
+_T = registry.SQL["grf02_trajectories"]
+
+
+@query("agg23_trajectory_metrics", f"""WITH t AS ({_T}), o AS (SELECT count(*)::DOUBLE AS trajectories, round(avg(trajectory_score), 6)::DOUBLE AS mean_score, round(avg(path_length), 6)::DOUBLE AS mean_length, max(path_length)::DOUBLE AS longest, round(avg(mean_edge_confidence), 6)::DOUBLE AS mean_confidence, round(avg(temporal_coherence), 6)::DOUBLE AS mean_temporal FROM t)
+SELECT unnest(['trajectories', 'mean_score', 'mean_length', 'longest', 'mean_confidence', 'mean_temporal']) AS metric, unnest([trajectories, mean_score, mean_length, longest, mean_confidence, mean_temporal]) AS value FROM o""")
 def _(spark, d):
-    paths = graph.beam_paths(_weights(spark, d), 4, 6, 6)
-    one = paths.agg(F.count("*").cast("double").alias("trajectories"), F.round(F.avg("score"), 6).alias("mean_score"), F.avg("depth").alias("mean_depth"), F.count_distinct("start").cast("double").alias("starts"))
-    return one.select(F.expr("stack(4, 'trajectories', trajectories, 'mean_score', mean_score, 'mean_depth', mean_depth, 'starts', starts) AS (metric, value)"))
+    return insight.trajectory_metrics(graph.trajectories(tb.edges(spark, d), 4, 6, 6))
 
 
 @query("agg24_sco06_hooks", """SELECT source, round(greatest(0.0, least(1.0, 0.28 * avg(confidence) + 0.22 * avg(verified::INTEGER) + 0.18 * least(1.0, count(*)::DOUBLE / 4) + 0.14 * 1.0 + 0.12 * 0.5 - 0.06 * 0.25)), 3)::DOUBLE AS score FROM edge GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""", tb.EDGES)
@@ -527,13 +536,7 @@ def _(spark, d):
 @query("joi13_sco04_older_sources", f"""WITH e AS (SELECT entity_id, entity_type, min(published_at) AS first_seen, count(DISTINCT doc_id) AS n_docs, list_sort(list(DISTINCT node_id)) AS nodes, list_distinct({tok('any_value(canonical_name)')}) AS tokens FROM mention GROUP BY 1, 2),
 p AS (SELECT a.entity_id AS source, b.entity_id AS target, datediff('day', a.first_seen, b.first_seen)::INTEGER AS days, round(2 * len(list_intersect(a.nodes, b.nodes)) + 1.5::DOUBLE * len(list_intersect(a.tokens, b.tokens)) + 1 / (1 + datediff('day', a.first_seen, b.first_seen) / 365.25::DOUBLE) + least(2.0::DOUBLE, 0.25::DOUBLE * ln(1 + a.n_docs)), 6) AS score
  FROM e a JOIN e b ON a.entity_type = b.entity_type WHERE datediff('day', a.first_seen, b.first_seen) BETWEEN 1 AND 365 * 18 AND (len(list_intersect(a.nodes, b.nodes)) > 0 OR len(list_intersect(a.tokens, b.tokens)) > 0)),
-r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, source)::INTEGER AS rank FROM p) SELECT source, target, days, score, rank FROM r WHERE rank <= 6""", tb.MENTIONS)
-def _(spark, d):
-    e = corpus.build_entities(tb.mentions(spark, d)).withColumn("tokens", F.array_distinct(T.tokenize(F.col("canonical_name"))))
-    return insight.older_sources(e, "entity_type", 18, 6)
-
-
-@query("joi13_sco04_top_120", registry.SQL["joi13_sco04_older_sources"].replace("rank <= 6", "rank <= 120"))
+r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, source)::INTEGER AS rank FROM p) SELECT source, target, days, score, rank FROM r WHERE rank <= 120""", tb.MENTIONS)
 def _(spark, d):
     e = corpus.build_entities(tb.mentions(spark, d)).withColumn("tokens", F.array_distinct(T.tokenize(F.col("canonical_name"))))
     return insight.older_sources(e, "entity_type", 18, 120)
@@ -578,11 +581,6 @@ def _(spark, d):
     return tb.table(spark, d, "part").select(kind.alias("kind")).groupBy("kind", insight.schema_group(F.col("kind")).alias("grp")).agg(F.count("*").alias("n"))
 
 
-@query("hlp18_cue_concentration", "SELECT lang, round(avg(regexp_matches(lower(text), 'the|que')::INTEGER), 6) AS share FROM documents GROUP BY 1")
-def _(spark, d):
-    return tb.table(spark, d, "documents").groupBy("lang").agg(F.round(F.avg(F.lower("text").rlike("the|que").cast("int")), 6).alias("share"))
-
-
 def flagship(spark, d):
     """Documents to phrase assignments by month, with the novelty of their node."""
     docs = tb.documents(spark, d)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.operators import graph, insight, relations, reports
+from loomspan.operators import graph, induction, insight, relations, reports
 from loomspan.operators.graph import EDGE_CUES
 from loomspan.plans import tables as tb
 from loomspan.plans.registry import query
-from loomspan.plans.text_queries import norm, sent
+from loomspan.plans.text_queries import norm, sent, tok
 
 
 def _list(words) -> str:
@@ -298,3 +298,148 @@ def _(spark, d):
     every = spark.range(1990, 2031).select(F.col("id").cast("int").alias("year"))
     return reports.gap_years(every.join(n, "year", "left").na.fill(0, ["n"]), "n")
 
+
+
+@query("hlp18_cue_shares", f"SELECT lang, round(avg(({_HAS('lower(text)', induction.BOTTLENECK_CUES)})::INTEGER), 6)::DOUBLE AS bottleneck, round(avg(({_HAS('lower(text)', induction.EVALUATION_CUES)})::INTEGER), 6)::DOUBLE AS evaluation FROM documents GROUP BY 1")
+def _(spark, d):
+    share = lambda cues, name: F.round(induction.cue_share(F.col("text"), cues), 6).alias(name)
+    return tb.table(spark, d, "documents").groupBy("lang").agg(share(induction.BOTTLENECK_CUES, "bottleneck"), share(induction.EVALUATION_CUES, "evaluation"))
+
+
+_EXPAND = f"""sig AS (SELECT lang AS node_id, round(least(1.0, count(*) / 400.0), 3)::DOUBLE AS score, CASE WHEN lang < 'en' THEN 'depth_expansion' ELSE 'width_expansion' END AS action FROM documents WHERE lang IS NOT NULL GROUP BY 1),
+tk AS (SELECT lang, {tok('text')} AS t FROM documents), gr AS (SELECT lang, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS phrase FROM tk), cn AS (SELECT lang, phrase, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, phrase) AS r FROM gr GROUP BY 1, 2),
+ca AS (SELECT CASE WHEN action = 'depth_expansion' THEN 'depth' ELSE 'width' END || '__' || node_id || '__' || trim(regexp_replace(phrase, '[^a-z0-9]+', '_', 'g'), '_') AS candidate_id, CASE WHEN action = 'depth_expansion' THEN node_id END AS parent_node_id, phrase AS label, node_id AS trigger_node_id, score AS trigger_score FROM sig JOIN cn ON lang = node_id AND r <= 3 WHERE score >= 0.3)"""
+
+
+def _expansions(spark, d):
+    docs = tb.table(spark, d, "documents").where("lang is not null")
+    sig = docs.groupBy(F.col("lang").alias("node_id")).agg(F.round(F.least(F.lit(1.0), F.count("*") / 400.0), 3).alias("score")).withColumn("action", F.when(F.col("node_id") < "en", "depth_expansion").otherwise("width_expansion"))
+    return induction.propose_expansions(sig, docs.select(F.col("lang").alias("node_id"), "text"), tb.nodes(spark, d), 0.3, 3, 50)
+
+
+@query("grf08_expansions", "SELECT * FROM ca", _EXPAND)
+def _(spark, d):
+    return _expansions(spark, d).drop("candidate_type")
+
+
+@query("joi21_judged", "SELECT candidate_id, round(CASE WHEN trigger_node_id = 'en' THEN 0.2 ELSE trigger_score END, 3)::DOUBLE AS confidence, CASE WHEN trigger_node_id = 'en' THEN 'new name' ELSE label END AS label, CASE WHEN trigger_node_id = 'en' THEN false WHEN trigger_node_id = 'fr' THEN false ELSE trigger_score >= 0.5 END AS accepted FROM ca", _EXPAND)
+def _(spark, d):
+    c = _expansions(spark, d)
+    j = c.where("trigger_node_id in ('en', 'fr')").select("candidate_id", (F.col("trigger_node_id") == "en").alias("accept"), F.when(F.col("trigger_node_id") == "en", 0.2).alias("confidence"), F.when(F.col("trigger_node_id") == "en", " new name ").alias("suggested_label"))
+    return induction.judged(c, j, 0.5).select("candidate_id", "confidence", "label", "accepted")
+
+
+_VALID = f"len(w) BETWEEN 2 AND 5 AND len(list_distinct(w)) = len(w) AND len(list_filter(w, lambda x: regexp_matches(x, '^[0-9]+$'))) = 0 AND len(list_filter(w, lambda x: NOT list_contains({_list(induction.GENERIC_TOKENS)}, x))) > 0 AND w[1] NOT IN ('this', 'that', 'these', 'those', 'which') AND NOT list_contains({_list(induction.GENERIC_PHRASES)}, phrase)"
+
+
+def _grams(x: str, n: int) -> str:
+    parts = " || ' ' || ".join(f"{x}[i + {k}]" for k in range(n))
+    return f"list_transform(range(1, len({x}) - {n} + 2), lambda i: {parts})"
+
+
+_TERMS = f"""tt AS (SELECT doc_id, {tok('title')} AS a, {tok('substr(text, 1, 3000)')} AS b, list_slice({tok("replace(replace(coalesce(source, ''), '_', ' '), '/', ' ') || ' social web'")}, 1, 5) AS c FROM document),
+gg AS (SELECT doc_id, array_to_string(c, ' ') AS phrase, 'keyword' AS source FROM tt UNION SELECT doc_id, unnest(list_concat(list_concat({_grams('a', 2)}, {_grams('a', 3)}), {_grams('a', 4)})), 'title_phrase' FROM tt UNION SELECT doc_id, unnest(list_concat({_grams('b', 2)}, {_grams('b', 3)})), 'abstract_phrase' FROM tt),
+ph AS (SELECT doc_id, phrase, source FROM (SELECT *, string_split(phrase, ' ') AS w FROM gg) WHERE {_VALID})"""
+
+
+def _phrases(spark, d):
+    docs = tb.documents(spark, d).withColumn("keywords", F.array(F.concat(F.coalesce("source", F.lit("")), F.lit(" (x) social web")))).withColumn("concepts", F.lit(None).cast("array<string>"))
+    return induction.corpus_phrases(docs)
+
+
+@query("hlp14_str26_phrases", "SELECT source, count(*) AS n, count(DISTINCT phrase) AS phrases FROM ph GROUP BY 1", tb.DOCUMENTS, _TERMS)
+def _(spark, d):
+    return _phrases(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("phrase").alias("phrases"))
+
+
+@query("agg29_corpus_terms", """WITH k AS (SELECT phrase, count(DISTINCT doc_id) AS support, max((source = 'keyword')::INTEGER) AS kw, max((source = 'title_phrase')::INTEGER) AS ti, max((source = 'abstract_phrase')::INTEGER) AS ab FROM ph GROUP BY 1)
+SELECT phrase, support, round(support * (1.0 + 0.35 * kw + 0.25 * ti + 0.1 * ab) + least(4, len(string_split(phrase, ' '))) * 0.2, 6)::DOUBLE AS score FROM k WHERE support BETWEEN 8 AND 620""", tb.DOCUMENTS, _TERMS)
+def _(spark, d):
+    return induction.corpus_terms(_phrases(spark, d), 1000)
+
+
+@query("hlp15_boundary_cases", """WITH a AS (SELECT doc_id, lang AS node_id FROM documents WHERE doc_id % 3 > 0 UNION SELECT doc_id, source FROM documents WHERE doc_id % 3 = 1 UNION SELECT doc_id, 'x' FROM documents WHERE doc_id % 12 = 1), n AS (SELECT d.doc_id, count(DISTINCT node_id) AS n FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id GROUP BY 1),
+k AS (SELECT CASE WHEN n = 0 THEN 'unassigned' WHEN n >= 3 THEN 'overlap_heavy' END AS kind, doc_id, n FROM n) SELECT kind, doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, doc_id) AS r FROM k WHERE kind IS NOT NULL) WHERE r <= 20""")
+def _(spark, d):
+    docs = tb.table(spark, d, "documents")
+    pick = lambda rule, node: docs.where(rule).select("doc_id", node.alias("node_id"))
+    a = pick("doc_id % 3 > 0", F.col("lang")).unionByName(pick("doc_id % 3 = 1", F.col("source"))).unionByName(pick("doc_id % 12 = 1", F.lit("x")))
+    return induction.boundary_cases(docs, a.where("node_id is not null"))
+
+
+@query("str25_method_role", f"""SELECT doc_id, CASE WHEN {_HAS('lower(text)', ['annotat', 'coding', 'classif', 'detect', 'measurement', 'sentiment', 'stance'])} THEN 'measurement_or_annotation' WHEN {_HAS('lower(text)', ['model', 'simulation', 'predict', 'infer', 'estimate'])} THEN 'modeling_or_inference'
+WHEN {_HAS('lower(text)', ['api', 'dashboard', 'software', 'platform'])} THEN 'tooling_or_platform' ELSE 'analytic_method' END AS role, coalesce({" ".join(f"CASE WHEN list_has_any({tok('text')}, {_list(w)}) THEN '{n}' END," for n, w in induction.CONTEXTS.items())} array_to_string({tok('text')}[1:4], ' ')) AS context FROM documents""")
+def _(spark, d):
+    return tb.table(spark, d, "documents").select("doc_id", induction.method_role(F.lit("method"), F.col("text")).alias("role"), induction.context_phrase(T.tokenize(F.col("text"))).alias("context"))
+
+
+@query("hlp13_names", f"""SELECT doc_id, md5(CASE WHEN length(b) - length(replace(b, '[', '')) > length(b) - length(replace(b, ']', '')) THEN b || ']' ELSE b END) AS repaired, md5(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[()\\s]+', ' ', 'g'), ' '), lambda w: lower(regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g'))), lambda w: regexp_matches(w, '^\\p{{L}}{{2,8}}$')))), ',')) AS short
+FROM (SELECT doc_id, text, CASE WHEN length(t) - length(replace(t, '(', '')) > length(t) - length(replace(t, ')', '')) THEN t || ')' ELSE t END AS b FROM (SELECT doc_id, text, {norm('text')} AS t FROM documents))""")
+def _(spark, d):
+    return tb.table(spark, d, "documents").select("doc_id", F.md5(induction.repaired_name(F.col("text"))).alias("repaired"), F.md5(F.array_join(induction.abbreviations(F.col("text")), ",")).alias("short"))
+
+
+@query("hlp19_first_slot", "SELECT l_orderkey AS path_id, coalesce(arg_min(slot, pos), '') AS slot FROM (SELECT l_orderkey, CASE WHEN l_tax > 0.05 THEN 'slow ' || l_partkey END AS slot, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pos FROM lineitem) GROUP BY 1")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    line = tb.table(spark, d, "lineitem").withColumn("edge_id", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")) + F.col("l_orderkey") * 1000)
+    paths = line.groupBy(F.col("l_orderkey").alias("path_id")).agg(F.array_sort(F.collect_list("edge_id")).alias("edges"))
+    return induction.first_slot(line.select("edge_id", F.when(F.col("l_tax") > 0.05, F.concat(F.lit("slow "), F.col("l_partkey").cast("string"))).otherwise("").alias("slot")), paths, "slot")
+
+
+@query("hlp20_assignment_rows", "SELECT doc_id, array_to_string(list_sort(list(DISTINCT node_id)), ',') AS nodes FROM assignment WHERE node_id IS NOT NULL GROUP BY 1", tb.ASSIGNMENTS)
+def _(spark, d):
+    return induction.assignment_rows(tb.assignments(spark, d)).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query("src13_work_reasons", f"""SELECT coalesce(CASE WHEN {norm('p_name')} = '' OR p_size = 1 THEN 'missing_title_or_abstract' WHEN p_size % 7 = 0 THEN 'missing_publication_date' WHEN 1990 + p_size < 2000 THEN 'outside_date_range' WHEN p_size % 11 = 0 THEN 'missing_id' WHEN p_name LIKE '%blue%' THEN 'low_relevance' END, 'kept') AS reason, count(*) AS n FROM part GROUP BY 1""")
+def _(spark, d):
+    size = F.col("p_size")
+    year = F.when(size % 7 != 0, 1990 + size)
+    reason = induction.work_reason(F.col("p_name"), F.when(size == 1, " ").otherwise("x"), F.lit(""), year, F.when(size % 11 != 0, F.col("p_brand")), ~F.contains("p_name", F.lit("blue")), "2000-01-01", "2100-01-01")
+    return tb.table(spark, d, "part").groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("hlp16_compact_names", "SELECT doc_id, len(v) AS n, md5(array_to_string(v, '|')) AS names FROM (SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')[1:20] AS v FROM documents WHERE text IS NOT NULL)")
+def _(spark, d):
+    v = induction.compact(F.split("text", ","))
+    return tb.table(spark, d, "documents").where("text is not null").select("doc_id", F.size(v).cast("long").alias("n"), F.md5(F.array_join(v, "|")).alias("names"))
+
+
+_AUDIT = f"""au AS (SELECT edge_type, {_STATUS} AS status, year % 3 AS quotes, confidence FROM edge), rj AS (SELECT edge_type, CASE WHEN time_delta_days < 0 THEN 'backwards' ELSE 'unverified' END AS reason FROM edge WHERE NOT verified)"""
+
+
+@query("agg31_relation_revisions", """SELECT 'relation_observation__' || edge_type AS candidate_id, 'update_observed_stats' AS revision_type, edge_type, count(*) AS support, round(least(0.95, 0.45 + 0.08 * count(*) + 0.25 * avg((quotes > 0)::INTEGER) + 0.15 * avg(confidence)), 3)::DOUBLE AS confidence FROM au GROUP BY edge_type HAVING count(*) >= 5
+UNION ALL SELECT 'relation_review__' || edge_type, 'mark_needs_review', edge_type, count(*), round(least(0.9, 0.45 + 0.08 * count(*)), 3)::DOUBLE FROM au WHERE status = 'candidate' GROUP BY edge_type HAVING count(*) >= 5
+UNION ALL SELECT 'relation_negative_prior__' || reason, 'update_negative_prior', 'background', count(*), round(least(0.92, 0.42 + 0.05 * count(*)), 3)::DOUBLE FROM rj GROUP BY reason HAVING count(*) >= 5
+UNION ALL SELECT 'relation_counterexamples__' || edge_type, 'add_counterexamples', edge_type, count(*), round(least(0.9, 0.4 + 0.04 * count(*)), 3)::DOUBLE FROM rj GROUP BY edge_type HAVING count(*) >= 5""", tb.EDGES, _AUDIT)
+def _(spark, d):
+    e = tb.edges(spark, d)
+    audit = e.select("edge_type", graph.stratum(F.col("edge_type"), F.col("confidence"), F.col("verified")).alias("status"), (F.col("year") % 3).alias("verified_quote_count"), "confidence")
+    rejected = e.where("not verified").select("edge_type", F.when(F.col("time_delta_days") < 0, "backwards").otherwise("unverified").alias("reason"))
+    return induction.relation_revisions(audit, rejected, ["extends", "improves", "uses_component", "background"])
+
+
+@query("grf11_promotions", """WITH c AS (SELECT 'c' || p_partkey AS candidate_id, round(p_size / 50.0::DOUBLE, 3) AS confidence, p_partkey FROM part), v AS (SELECT candidate_id, round(CASE WHEN p_partkey % 5 = 0 THEN 0.99 ELSE confidence END, 3)::DOUBLE AS confidence, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 10 = 0 ELSE confidence >= 0.6 END AS good FROM c),
+b AS (SELECT candidate_id FROM v WHERE good ORDER BY confidence DESC, candidate_id LIMIT 10) SELECT candidate_id, confidence, CASE WHEN candidate_id IN (SELECT candidate_id FROM b) THEN 'promoted' WHEN good THEN 'held' ELSE 'rejected' END AS status FROM v""")
+def _(spark, d):
+    p = tb.table(spark, d, "part")
+    c = p.select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("candidate_id"), F.round(F.col("p_size") / 50.0, 3).alias("confidence"), "p_partkey")
+    j = c.where("p_partkey % 5 = 0").select("candidate_id", (F.col("p_partkey") % 10 == 0).alias("accept"), F.lit(0.99).alias("confidence"))
+    return induction.promote(c.drop("p_partkey"), j)
+
+
+_SCHEMA = {"extends": {"evidence_slots": ["mechanism", "tradeoff"], "definition": "d"}, "improves": {"definition": "d"}, "uses_component": {"evidence_slots": ["bottleneck"]}}
+
+
+@query("sco02_components", """WITH s AS (SELECT edge_id, edge_type, confidence, CASE WHEN verified THEN 1.0 WHEN year % 3 = 1 THEN 0.75 WHEN year % 3 = 2 THEN 0.45 ELSE 0.1 END::DOUBLE AS quote, CASE WHEN time_delta_days < 0 THEN 0.0 WHEN time_delta_days = 0 THEN 0.8 ELSE 1.0 END::DOUBLE AS temporal, CASE edge_type WHEN 'extends' THEN 1.0 WHEN 'improves' THEN 0.85 WHEN 'uses_component' THEN 0.7 ELSE 0.25 END::DOUBLE AS fit,
+CASE edge_type WHEN 'extends' THEN 0.5 WHEN 'uses_component' THEN 0.0 ELSE 1.0 END::DOUBLE AS slots FROM edge)
+SELECT edge_id, quote, fit, slots, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.30::DOUBLE * confidence + 0.22::DOUBLE * quote + 0.16::DOUBLE * temporal + 0.12::DOUBLE * 1.0::DOUBLE + 0.12::DOUBLE * fit + 0.08::DOUBLE * slots)), 3) AS score FROM s""", tb.EDGES)
+def _(spark, d):
+    e = tb.edges(spark, d)
+    kind = F.col("edge_type")
+    quote = graph.quote_grounding(F.col("verified"), F.when(F.col("year") % 3 == 1, 2).otherwise(0), F.col("year") % 3 == 2)
+    fit, slots = graph.schema_fit(kind, _SCHEMA, graph.STRONG), graph.slot_completeness(kind, F.array(F.lit("mechanism"), F.lit("other")), _SCHEMA, ["mechanism"])
+    score = graph.edge_score(F.col("confidence"), quote, graph.temporal_score(F.col("time_delta_days")), F.lit(1.0), fit, slots)
+    return e.select("edge_id", quote.alias("quote"), fit.alias("fit"), slots.cast("double").alias("slots"), score.alias("score"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.functions import values as V
-from loomspan.operators import corpus
+from loomspan.operators import corpus, evidence
 from loomspan.plans import tables as tb
 from loomspan.plans.registry import query
 
@@ -89,12 +89,6 @@ def _(spark, d):
     return docs.where(T.phrase_match(F.col("text"), F.col("phrase"))).groupBy("phrase").agg(F.count("*").alias("docs"))
 
 
-@query("str10_entity_name", rf"""WITH s AS (SELECT doc_id, regexp_replace({norm('substr(text, 1, 40)')}, '^[ .,:;()\[\]{{}}]+|[ .,:;()\[\]{{}}]+$', '', 'g') AS b FROM documents)
-SELECT doc_id, CASE WHEN len(string_split(b, ' ')) > 6 OR lower(b) IN ('the', 'this', 'that', 'these', 'those', 'our', 'we') THEN '' ELSE b END AS name FROM s""")
-def _(spark, d):
-    return tb.table(spark, d, "documents").select("doc_id", T.entity_name(F.substring("text", 1, 40)).alias("name"))
-
-
 @query("str10_whole_names", rf"""WITH n AS (SELECT 'part' AS kind, p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name FROM customer UNION ALL SELECT 'text', doc_id, text FROM documents),
 s AS (SELECT kind, id, regexp_replace({norm('name')}, '^[ .,:;()\[\]{{}}]+|[ .,:;()\[\]{{}}]+$', '', 'g') AS b FROM n)
 SELECT kind, id, CASE WHEN len(string_split(b, ' ')) > 6 OR lower(b) IN ('the', 'this', 'that', 'these', 'those', 'our', 'we') THEN '' ELSE b END AS name FROM s""")
@@ -128,10 +122,10 @@ def _(spark, d):
     return tb.table(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.transform(T.tokenize(F.col("text")), T.label_singular), " ")).alias("label"))
 
 
-@query("str16_token_sets", f"""SELECT doc_id, len(list_distinct(list_filter({tok('text')}, lambda t: length(t) >= 4))) AS content_tokens, substr(array_to_string(list_transform({tok('title')}, lambda t: substr(t, 1, 1)), ''), 1, 40) AS acronym FROM document""", tb.DOCUMENTS)
+@query("str16_token_sets", f"""SELECT doc_id, len(list_distinct(list_filter({tok('text')}, lambda t: length(t) >= 4))) AS content_tokens, md5(array_to_string(list_transform({tok('text')}, lambda t: substr(t, 1, 1)), '')) AS acronym FROM document""", tb.DOCUMENTS)
 def _(spark, d):
     own = F.array_distinct(F.filter(T.tokenize(F.col("text")), lambda t: F.char_length(t) >= 4))
-    return tb.documents(spark, d).select("doc_id", F.size(own).cast("long").alias("content_tokens"), F.substring(T.acronym(T.tokenize(F.col("title"))), 1, 40).alias("acronym"))
+    return tb.documents(spark, d).select("doc_id", F.size(own).cast("long").alias("content_tokens"), F.md5(T.acronym(T.tokenize(F.col("text")))).alias("acronym"))
 
 
 @query("str17_jaccard", f"""WITH t AS (SELECT conv_id, turn, list_distinct({tok('text')}) AS t FROM conversations)
@@ -147,16 +141,7 @@ def _(spark, d):
 x AS (SELECT doc_id, lower({norm('text')}) AS low, list_distinct({tok('text')}) AS t FROM documents)
 SELECT item_id, count(*) AS docs FROM q, x WHERE q.low <> '' AND (contains(x.low, q.low) OR (len(q.t) >= 4 AND len(list_intersect(q.own, x.t)) >= 0.8 * len(q.own))) GROUP BY 1""")
 def _(spark, d):
-    # the benchmark is the small, fixed side: blocks of it meet each document's tokens by an equi-join, then the quote is verified
-    quotes = tb.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), T.tokenize(F.col("text")).alias("qt")).withColumn("own", F.array_distinct("qt"))
-    low = tb.table(spark, d, "documents").select("doc_id", F.lower(T.normalize_space(F.col("text"))).alias("low"), F.array_distinct(T.tokenize(F.col("text"))).alias("tokens"))
-    common = low.select("doc_id", F.explode("tokens").alias("token")).join(quotes.select("item_id", F.explode("own").alias("token")), "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("common"))
-    # a quote inside a text shares all its tokens but the first and last, which the text may continue
-    hit = common.join(quotes, "item_id")
-    loose = (F.size("qt") >= 4) & (F.col("common") >= 0.8 * F.size("own"))
-    near = hit.where(loose | (F.col("common") >= F.size("own") - 2)).join(low.select("doc_id", "low"), "doc_id")
-    q = F.lower(T.normalize_space(F.col("quote")))
-    return near.where((q != "") & (F.contains(F.col("low"), q) | loose)).groupBy("item_id").agg(F.count("*").alias("docs"))
+    return evidence.quoting_documents(tb.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), tb.table(spark, d, "documents")).groupBy("item_id").agg(F.count("*").alias("docs"))
 
 
 @query("str20_clean_abstract", None)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.functions import values as V
-from loomspan.operators import corpus, evidence, graph, insight, model_calls, windows
-from loomspan.plans import evidence_queries, graph_queries, registry, run, text_queries  # noqa: F401
+from loomspan.operators import corpus, evidence, graph, induction, insight, model_calls, relations, reports, windows
+from loomspan.plans import evidence_queries, graph_queries, registry, relation_queries, run, text_queries  # noqa: F401
 from loomspan.sources import loaders, sinks
 from loomspan.streaming import windows as stream
 
@@ -121,7 +121,7 @@ def test_labels_inside_texts_are_assigned_without_a_shared_token(spark):
     assert {tuple(r) for r in evidence.fuzzy_assign(docs, nodes, known).collect()} == {(1, "ai"), (2, "heur"), (3, "deep"), (4, "k")}
 
 
-NEW_QUERIES = ["grf02_trajectories_of_4", "joi13_sco04_top_120", "str10_whole_names", "grf06_agg32_all_hooks", "joi03_fuzzy_assignment", "grf04_successor_edge_paths"]
+NEW_QUERIES = ["joi13_sco04_older_sources", "str10_whole_names", "grf06_agg32_all_hooks", "joi03_fuzzy_assignment", "grf04_successor_edge_paths", "sco03_candidate_score", "sco08_grf09_revisions", "joi18_pattern_links", "str19_quote_verification"]
 
 
 @pytest.mark.parametrize("name", NEW_QUERIES)
@@ -135,10 +135,78 @@ def test_hooks_have_every_family(spark):
 
 
 def test_registered_parameters_are_whole(spark):
-    paths = registry.QUERIES["grf02_trajectories_of_4"](spark, DATA)
+    paths = registry.QUERIES["grf02_trajectories"](spark, DATA)
     metrics = dict(map(tuple, registry.QUERIES["agg23_trajectory_metrics"](spark, DATA).collect()))
-    assert paths.agg(F.max("depth")).first()[0] == 4 and metrics["trajectories"] == paths.count()
-    assert registry.QUERIES["joi13_sco04_top_120"](spark, DATA).agg(F.max("rank")).first()[0] > 6
+    assert paths.agg(F.max("path_length")).first()[0] == 4 and metrics["trajectories"] == paths.count()
+    assert registry.QUERIES["joi13_sco04_older_sources"](spark, DATA).agg(F.max("rank")).first()[0] > 6
+
+
+def test_trees_of_any_depth(spark):
+    rows = [("n0", None), *((f"n{k}", f"n{k - 1}") for k in range(1, 37)), ("lost", "nowhere"), ("below", "lost")]
+    got = {r.node: (r.root, r.level) for r in corpus.flatten_tree(spark.createDataFrame(rows, "id string, up string"), "id", "up").collect()}
+    assert got == {f"n{k}": ("n0", k) for k in range(37)}
+    with pytest.raises(ValueError):
+        corpus.flatten_tree(spark.createDataFrame([("a", "b"), ("b", "a"), ("r", None)], "id string, up string"), "id", "up")
+    assert corpus.flatten_tree(spark.createDataFrame([], "id string, up string"), "id", "up").count() == 0
+
+
+def test_first_pairs_equal_those_of_all_pairs(spark):
+    import random
+    from datetime import date
+
+    rng = random.Random(5)
+    rows = [(g, date(2024, 1, rng.randrange(1, 9)), k) for g in range(12) for k in range(rng.randrange(0, 9))]
+    want = []
+    for g in range(12):
+        own = [(d, k) for x, d, k in rows if x == g]
+        pairs = sorted((td, t, sd, s) for sd, s in own for td, t in own if sd <= td and s != t)[:3]
+        want += [(g, s, t, n + 1) for n, (_, t, _, s) in enumerate(pairs)]
+    got = graph.first_pairs(spark.createDataFrame(rows, "g long, day date, k long"), ["g"], "day", "k", 3)
+    assert sorted(tuple(r) for r in got.select("g", "source", "target", "rank").collect()) == sorted(want)
+
+
+def test_short_and_embedded_quotes_are_found(spark):
+    quotes = spark.createDataFrame([(1, "AI"), (2, "stem wat"), (3, "alpha beta gamma delta epsilon"), (4, " "), (5, "x of y"), (6, "deep blue river runs")], "item_id long, quote string")
+    docs = spark.createDataFrame([(1, "we use ai here"), (2, "a system water pump"), (3, "Delta, gamma; beta ALPHA"), (4, "max of yes"), (5, "the deep  blue river runs"), (6, None)], "doc_id long, text string")
+    want = {(i, d) for i, q in ((r.item_id, r.quote) for r in quotes.collect()) for d, t in ((r.doc_id, r.text) for r in docs.collect()) if one(spark, T.quote_verified(F.col("q"), F.col("t")), q=q, t=t or "")}
+    assert {tuple(r) for r in evidence.quoting_documents(quotes, docs).select("item_id", "doc_id").collect()} == want and len(want) == 5
+
+
+def test_revisions_are_applied_in_order(spark):
+    nodes = spark.createDataFrame([("a", None, "A"), ("b", "a", "Lake model"), ("c", "a", "C")], "node_id string, parent_id string, label string")
+    rows = [("a", "split_child", "lake Model", 0.9, 3), ("a", "split_child", "sea model", 0.8, 3), ("c", "split_child", "Sea model", 0.7, 3), ("b", "state_annotation", "growing", 0.65, 2), ("c", "cross_link", "", 0.64, 2), ("x", "cross_link", "", 0.63, 2), ("b", "cross_link", "", 0.62, 1), ("b", "cross_link", "", 0.1, 1)]
+    out, report = relations.apply_revisions(nodes, spark.createDataFrame(rows, "node_id string, revision_type string, label string, confidence double, support long"), 0.6, 3)
+    assert [r.status for r in report.collect()] == ["rejected", "applied", "rejected", "applied", "applied", "skipped", "skipped"]
+    found = {r.node_id: (r.parent_id, r.state, r.linked) for r in out.collect()}
+    assert found == {"a": (None, None, False), "b": ("a", "growing", False), "c": ("a", None, True), "a__sea_model": ("a", None, False)}
+
+
+def test_expansions_are_applied_once(spark):
+    nodes = spark.createDataFrame([("topic", None, "Topic"), ("topic__sea", "topic", "Sea"), ("topic__lake", "other", "Lake")], "node_id string, parent_id string, label string")
+    rows = [("c1", "topic", "sea", 0.9, True), ("c2", "topic", "lake", 0.8, True), ("c3", "topic", "Lake", 0.7, True), ("c4", "topic", "pond", 0.6, False), ("c5", None, "pond", 0.5, True), ("c6", None, "rain", 0.4, True)]
+    out, report = induction.apply_expansions(nodes, spark.createDataFrame(rows, "candidate_id string, parent_node_id string, label string, trigger_score double, accepted boolean"), "topic", 2)
+    assert [tuple(r) for r in report.collect()] == [("c1", "deduplicated", ""), ("c2", "applied", "topic__lake_2"), ("c3", "deduplicated", ""), ("c4", "rejected", ""), ("c5", "applied", "topic__pond")]
+    assert out.count() == 5
+
+
+def test_terms_are_chosen_greedily(spark):
+    terms = spark.createDataFrame([("deep river", 9, 9.0), ("deep river flow", 8, 8.0), ("cold lake", 7, 7.0), ("lake cold", 6, 6.0), ("warm sea", 5, 5.0)], "phrase string, support long, score double")
+    assert induction.choose_terms(terms, 14, 2) == ["deep river", "cold lake", "warm sea"] and induction.choose_terms(terms, 2) == ["deep river", "cold lake"]
+
+
+def test_relation_schemas_and_seeds(tmp_path):
+    base = {"background": {"definition": "b"}, "extends": {"definition": "e"}}
+    out, report = induction.relation_schema([{"edge_type": "Merges With", "definition": "m"}, {"name": "empty"}, {}], base, ["extends"], 2)
+    assert list(out) == ["background", "extends"] and [r["reason"] for r in report] == ["", "missing_definition", "missing_edge_type"]
+    assert "merges_with" in induction.relation_schema([{"edge_type": "Merges With", "definition": "m"}], base, ["extends"], 9)[0]
+    (tmp_path / "seed.json").write_text('{"a": {"definition": "x"}}')
+    (tmp_path / "list.json").write_text("[1]")
+    assert induction.load_schema_seed(str(tmp_path / "seed.json")) == {"a": {"definition": "x"}} and induction.load_schema_seed(str(tmp_path / "list.json")) == induction.load_schema_seed(str(tmp_path / "none")) == {}
+
+
+def test_reports_as_markdown(spark):
+    text = reports.markdown(spark.createDataFrame([("a|b", None, 2)], "x string, y string, z long"), "Report")
+    assert text.splitlines() == ["# Report", "", "| x | y | z |", "| --- | --- | --- |", "| a\\|b |  | 2 |"]
 
 
 def test_windows_close_and_stay_open(spark):
@@ -272,16 +340,34 @@ def test_model_calls(spark):
 
 
 def test_streamed_windows_equal_the_batch(spark, tmp_path):
-    events = spark.read.parquet(f"{DATA}/events.parquet").select(F.col("event_type").alias("scope"), "event_id", "ts", F.when(F.col("user_id") % 2 == 0, "document").otherwise("edge").alias("kind"))
-    for k, (lo, hi) in enumerate((("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-03-01"))):
-        events.where(f"ts >= '{lo}' and ts < '{hi}'").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{k}"))
-    source = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream.streaming_windows(source, {"document": 20, "edge": 25}, 1, 4).writeStream.format("memory").queryName("win").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    """Batches in a shuffled order within the watermark; what is far behind it is dropped, what it hasn't passed is held."""
+    import random
+
+    events = spark.read.parquet(f"{DATA}/events.parquet").select(F.col("event_type").alias("scope"), "event_id", "ts", F.when(F.col("event_id") % 2 == 0, "document").otherwise("edge").alias("kind"))
+    days = sorted({r.d for r in events.select(F.to_date("ts").alias("d")).collect()})
+    order = [days[k : k + 3] for k in range(0, len(days), 3)]
+    random.Random(2).shuffle(order[0])
+    shape = "scope string, event_id long, ts timestamp, kind string"
+    for k, some in enumerate(order):
+        events.where(F.to_date("ts").isin(some)).orderBy(F.rand(k)).coalesce(1).select("scope", "event_id", F.col("ts").cast("timestamp").alias("ts"), "kind").write.parquet(str(tmp_path / f"in/{k:03d}"))
+    late = spark.sql("select 'click' as scope, 10000001L as event_id, timestamp '2020-01-01' as ts, 'edge' as kind")
+    last = spark.sql("select 'none' as scope, 10000002L as event_id, timestamp '2031-01-01' as ts, 'edge' as kind")
+
+    def run_with(folder):
+        source = spark.readStream.schema(shape).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        return stream.streaming_windows(source, {"document": 20, "edge": 25}, 1, 4, "5 days").writeStream.format("memory").queryName("win").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+
+    q = run_with(tmp_path / "in")
+    q.processAllAvailable()
+    late.coalesce(1).write.parquet(str(tmp_path / "in/late"))
+    q.processAllAvailable()
+    last.coalesce(1).write.parquet(str(tmp_path / "in/last"))
+    q.processAllAvailable()
     q.processAllAvailable()
     q.stop()
     got = {(r.event_id, r.window_index, r.closed_by) for r in spark.table("win").collect()}
     batch = windows.adaptive_windows(events.withColumn("day", F.to_date("ts")), {"document": 20, "edge": 25}, 1, 4)
-    assert got == {(r.event_id, r.window_index, r.closed_by) for r in batch.collect()} and len(got) == 1000
+    assert got == {(r.event_id, r.window_index, r.closed_by) for r in batch.collect()} and len(got) == events.count()
 
 
 def test_resumed_batches_add_nothing_twice(spark, tmp_path):
