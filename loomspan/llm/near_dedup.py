@@ -148,8 +148,8 @@ def _with_hub(pairs: DataFrame, nodes: DataFrame, columns: list[str], weight: st
     """
     sized = pairs.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(weight) / SHINGLES), F.lit(1)).cast("int").alias("salts"))
     hubs = nodes.join(sized.withColumnRenamed("hub", "node"), "node").select(F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *columns)
-    # heavy hubs only, each of more than MEMBERS rows or SHINGLES shingles; written, so Spark knows that it is small, and splits the join if it isn't
-    heavy = written(sized.where("salts > 1").withColumnRenamed("hub", "__hub"))
+    # heavy hubs only, each of more than MEMBERS rows or SHINGLES shingles: Spark broadcasts the few, and splits the join if they aren't
+    heavy = sized.where("salts > 1").withColumnRenamed("hub", "__hub")
     members = pairs.select("hub", "node").join(nodes.select(*columns), "node").alias("m").join(heavy, F.col("m.hub") == F.col("__hub"), "left")
     members = members.select("hub", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), *columns)
     return members.unionByName(hubs)
@@ -248,8 +248,14 @@ def tiny_links(nodes: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def _labelled(links: DataFrame) -> DataFrame:
-    """(node, label) of the nodes in ``links``: the components so far."""
-    return written(components(links).select("node", F.col("component").alias("label")))
+    """(node, label): nodes of the same label are connected by ``links``; those of one component may still have several.
+
+    The label is the least linked node, or the least one linked to that.
+    """
+    parent = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("up")).groupBy("node").agg(F.min("up").alias("up"))
+    # the few parents that have a parent: Spark broadcasts them if they are as few as they should be
+    above = parent.select("up").distinct().join(parent.select(F.col("node").alias("up"), F.col("up").alias("top")), "up")
+    return written(parent.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("label")))
 
 
 def _nodes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -262,9 +268,11 @@ def _nodes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     links = written(tiny_links(nodes, percent))
     rows = table.join(nodes.select("node", "least_id"), "node", "left")
     bucket = ["no", "band"]
-    alone = _banded(nodes, 0, BANDS).groupBy(*bucket).agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
-    lonely = alone.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") == BANDS)
-    sketched = written(nodes.join(lonely, "node", "left_anti").select("node", "sketch", "n", "least_id"))
+    # a node alone in all its buckets has no candidate; a collision of these hashes only makes a node count as not lonely
+    marked = _banded(nodes.select(F.xxhash64("node").alias("node"), "sketch"), 0, BANDS)
+    alone = marked.groupBy(*bucket).agg(F.max("node").alias("mark"), F.count("*").alias("c")).where("c = 1")
+    lonely = alone.groupBy("mark").agg(F.count("*").alias("c")).where(F.col("c") == BANDS)
+    sketched = written(nodes.withColumn("mark", F.xxhash64("node")).join(lonely, "mark", "left_anti").select("node", "sketch", "n", "least_id"))
 
     # one row of documents for each node that has candidates, found by id and then by its digest
     wanted = sketched.select("node", F.col("least_id").alias("id")).alias("w")
@@ -281,8 +289,8 @@ def _nodes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         buckets = now.groupBy(*bucket).agg(first, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*bucket, F.col("first.node").alias("hub"), F.col("first.label").alias("hub_label"))
         # a bucket's hub leaves it: all its pairs are dealt with in this pass
         pending = written(now.join(buckets, bucket).where("node <> hub"))
-        pairs = pending.where("label <> hub_label").select("hub", "node").distinct()
-        near = _with_hub(pairs.withColumn("n", F.lit(0)), sketched, ["node", "sketch", "n"], "n")
+        pairs = written(pending.where("label <> hub_label").select("hub", "node", F.lit(0).alias("n")).distinct())
+        near = _with_hub(pairs, sketched, ["node", "sketch", "n"], "n")
         near = written(near.groupBy("hub", "salt").applyInArrow(_near_hub(percent), "hub binary, node binary, n long"))
         near = _with_hub(near, sets, ["node", "shingles"], "n")
         links = written(links.unionByName(near.groupBy("hub", "salt").applyInArrow(_linked_to_hub(percent), "a binary, b binary")))
