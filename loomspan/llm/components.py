@@ -22,10 +22,15 @@ def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     return edges.join(big, "a").select("a", "b", "m").unionByName(edges.join(big, "a", "left_anti").join(small, "a").select("a", "b", "m"))
 
 
-def _is_star(edges: DataFrame) -> bool:
-    """Whether every node has one lesser neighbour, which has none itself; an edge leads from the greater to the lesser node."""
+def _open_and_total(edges: DataFrame) -> tuple[bool, int]:
+    """Whether some node has several lesser neighbours, or one that has one itself, and the number of edges.
+
+    An edge leads from the greater to the lesser node; without an open node, every edge leads to the least of its component.
+    """
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty()
+    seen = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    found = seen.agg(F.max(F.expr("out > 1 or (out = 1 and into = 1)")).alias("open"), F.sum("out").alias("total")).first()
+    return bool(found["open"]), found["total"] or 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,8 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
     is written to the shared folder. Self loops and null ends are left out.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while not _is_star(now):
-        total = now.count()
+    while True:
+        open_, total = _open_and_total(now)
+        if not open_:
+            break
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         # large star: greater neighbours go to the least neighbour

@@ -26,10 +26,10 @@ TINY = 8
 PASSES = 4
 #: Bands of the first pass.
 FIRST = 8
-#: Members that are held against a hub in one task, and shingles: a hub with more is copied.
-MEMBERS, SHINGLES = 2048, 1 << 20
 #: Documents of a block; two blocks are compared in a task.
 BLOCK = 512
+#: Passes go on while a bucket has more blocks of members outside its largest component.
+BLOCKS = 4
 #: Pairs whose estimate lies under the threshold by this much (over 5 standard errors) are not verified.
 SLACK = 0.2
 #: Columns of the matrices whose product counts common shingles.
@@ -108,51 +108,37 @@ def _estimated(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, p
     return likelier((x > y).sum(1), (x < y).sum(1), (x == y).sum(1), n_x, n_y, percent / 100 - SLACK)
 
 
-def _near_hub(percent: int):
-    """Of each group's rows (hub, node, sketch, n) those whose estimate is near enough to the hub's, which is among them."""
-
-    def near(table: pa.Table) -> pa.Table:
-        node, registers, n = _arrays(table)
-        hub = table.column("hub")[0].as_py()
-        own = node.index(hub)
-        good = _estimated(registers, registers[own : own + 1], n, n[own : own + 1], percent)
-        good[own] = False
-        hit = np.flatnonzero(good)
-        return pa.table({"hub": pa.array([hub] * len(hit), pa.binary()), "node": pa.array([node[k] for k in hit], pa.binary()), "n": pa.array(n[hit], pa.int64())})
-
-    return near
-
-
-def _linked_to_hub(percent: int):
-    """Links of the members of a group to its hub, by their full sets."""
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of the pairs (hub, node, sketch, n, hub_sketch, hub_n) those whose estimate is near enough."""
+    for batch in batches:
+        if len(batch):
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sketch", "hub_sketch"))
+            good = _estimated(x, y, batch.column("n").to_numpy(), batch.column("hub_n").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("hub", "node")], ["hub", "node"])
 
-    def linked(table: pa.Table) -> pa.Table:
-        node, hub = table.column("node").to_pylist(), table.column("hub")[0].as_py()
-        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles")]
-        out = []
-        if hub in node:
-            own = sets[node.index(hub)]
-            for name, other in zip(node, sets, strict=True):
-                common = np.intersect1d(own, other, assume_unique=True).size
-                if name != hub and 100 * common >= percent * (len(own) + len(other) - common):
-                    out.append(name)
-        return pa.table({"a": pa.array(out, pa.binary()), "b": pa.array([hub] * len(out), pa.binary())})
 
-    return linked
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The links among the pairs (hub, node, shingles, hub_shingles), by their full sets."""
+    for batch in batches:
+        good = []
+        for x, y in zip(batch.column("shingles"), batch.column("hub_shingles"), strict=True):
+            own, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            common = np.intersect1d(own, other, assume_unique=True).size
+            good.append(100 * common >= percent * (len(own) + len(other) - common))
+        hit = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(hit) for c in ("node", "hub")], ["a", "b"])
 
 
-def _with_hub(pairs: DataFrame, nodes: DataFrame, columns: list[str], weight: str) -> DataFrame:
-    """Rows of the members of each ``hub`` and, beside them, of the hub itself, by groups ``hub, salt`` of bounded size.
+def _held(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links among ``pairs`` (hub, node), by sketches first, then by full sets.
 
-    A hub with many members, or with many shingles among them, is copied to as many groups as needed.
+    Each is a join of its own rows, so Spark can split a hub with many members; a set is held one pair at a time.
     """
-    sized = pairs.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum(weight) / SHINGLES), F.lit(1)).cast("int").alias("salts"))
-    hubs = nodes.join(sized.withColumnRenamed("hub", "node"), "node").select(F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *columns)
-    # heavy hubs only, each of more than MEMBERS rows or SHINGLES shingles: Spark broadcasts the few, and splits the join if they aren't
-    heavy = sized.where("salts > 1").withColumnRenamed("hub", "__hub")
-    members = pairs.select("hub", "node").join(nodes.select(*columns), "node").alias("m").join(heavy, F.col("m.hub") == F.col("__hub"), "left")
-    members = members.select("hub", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), *columns)
-    return members.unionByName(hubs)
+    hubs = sketched.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("n").alias("hub_n"))
+    sized = pairs.join(sketched.select("node", "sketch", "n"), "node").join(hubs, "hub").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    near = sized.mapInArrow(lambda batches: _near(batches, percent), "hub binary, node binary")
+    full = near.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
+    return full.mapInArrow(lambda batches: _linked(batches, percent), "a binary, b binary")
 
 
 def _cross(percent: int):
@@ -237,14 +223,14 @@ def tiny_links(nodes: DataFrame, percent: int = 75) -> DataFrame:
     of one shingle more than the part are similar to each other, so they are linked to the least of them. No other
     pair of at most ``TINY`` shingles is similar. Both are joins with one row a key; no pairs are formed.
     """
-    parts = nodes.select("node", F.explode("parts").alias("p")).select("node", "p.part", "p.extra", F.col("node").alias("b"))
-    whole = parts.where("extra = 0").select("part", "b")
-    inside = parts.where("extra > 0").select(F.col("node").alias("a"), "part").join(whole, "part").select("a", "b")
+    parts = nodes.where(F.size("parts") > 0).select("node", "n", F.explode("parts").alias("p")).select("node", "n", "p.part", "p.extra")
     # c common and one more each: 100 * c >= percent * (c + 2)
-    n = nodes.select("node", "n")
-    one = parts.where("extra = 1").join(n, "node").where(100 * (F.col("n") - 1) >= percent * (F.col("n") + 1)).select("node", "part")
-    least = one.groupBy("part").agg(F.min("node").alias("b"), F.max("node").alias("other")).where("b <> other").select("part", "b")
-    return inside.unionByName(one.join(least, "part").where("node <> b").select(F.col("node").alias("a"), "b"))
+    one = (F.col("extra") == 1) & (100 * (F.col("n") - 1) >= percent * (F.col("n") + 1))
+    met = parts.groupBy("part").agg(F.max(F.when(F.col("extra") == 0, F.col("node"))).alias("whole"), F.min(F.when(one, F.col("node"))).alias("least"), F.count("*").alias("c"))
+    near = parts.where("extra > 0").join(met.where("c > 1"), "part")
+    inside = F.when(F.col("whole").isNotNull(), F.struct(F.col("node").alias("a"), F.col("whole").alias("b")))
+    beside = F.when(one & (F.col("least") != F.col("node")), F.struct(F.col("node").alias("a"), F.col("least").alias("b")))
+    return near.select(F.explode(F.array(inside, beside)).alias("l")).where("l is not null").select("l.a", "l.b")
 
 
 def _labelled(links: DataFrame) -> DataFrame:
@@ -281,36 +267,32 @@ def _nodes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     sets = texts.mapInArrow(_checked, "node binary, shingles binary")
     sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
-    labels = _labelled(links)
-    members = _banded(sketched, 0, FIRST).withColumn("covered", F.lit(0))
+    members = _banded(sketched, 0, FIRST)
+    now = members.select(*bucket, "node", F.lit(0).alias("covered"), F.col("node").alias("label"))
     for k in range(PASSES):
-        now = members.join(labels, "node", "left").select(*bucket, "node", "covered", F.coalesce("label", "node").alias("label"))
         first = F.min(F.struct("covered", "node", "label")).alias("first")
         buckets = now.groupBy(*bucket).agg(first, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*bucket, F.col("first.node").alias("hub"), F.col("first.label").alias("hub_label"))
         # a bucket's hub leaves it: all its pairs are dealt with in this pass
         pending = written(now.join(buckets, bucket).where("node <> hub"))
-        pairs = written(pending.where("label <> hub_label").select("hub", "node", F.lit(0).alias("n")).distinct())
-        near = _with_hub(pairs, sketched, ["node", "sketch", "n"], "n")
-        near = written(near.groupBy("hub", "salt").applyInArrow(_near_hub(percent), "hub binary, node binary, n long"))
-        near = _with_hub(near, sets, ["node", "shingles"], "n")
-        links = written(links.unionByName(near.groupBy("hub", "salt").applyInArrow(_linked_to_hub(percent), "a binary, b binary")))
+        pairs = pending.where("label <> hub_label").select("hub", "node").distinct()
+        links = written(links.unionByName(_held(pairs, sketched, sets, percent)))
         labels = _labelled(links)
         hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("new_hub_label"))
         pending = pending.drop("label").join(labels, "node", "left").join(hub, "hub", "left")
         mine = F.coalesce("label", "node") == F.coalesce("new_hub_label", "hub")
-        members = pending.select(*bucket, "node", F.when(mine, 1).otherwise(F.col("covered")).alias("covered"))
+        now = pending.select(*bucket, "node", F.when(mine, 1).otherwise(F.col("covered")).alias("covered"), F.coalesce("label", "node").alias("label"))
         if k == 0:  # most copies are joined by now, so most of their buckets in the other bands are closed
-            members = members.unionByName(_banded(sketched, FIRST, BANDS).withColumn("covered", F.lit(0)))
+            rest = _banded(sketched, FIRST, BANDS).join(labels, "node", "left")
+            now = now.unionByName(rest.select(*bucket, "node", F.lit(0).alias("covered"), F.coalesce("label", "node").alias("label")))
             continue
-        members = written(members)
-        labelled = members.join(labels, "node", "left").select(*bucket, "node", F.coalesce("label", "node").alias("label"))
-        open_ = _open_buckets(labelled)
+        now = written(now)
+        open_ = _open_buckets(now)
         widest = open_.agg(F.max("minors")).first()[0]
         if widest is None:
             return rows, written(components(links))
-        if widest <= 1:  # each task of the blocks then has one block of the smaller components
+        if widest <= BLOCKS:  # each block then meets few others
             break
-    return rows, written(components(links.unionByName(_across(labelled, open_, sketched, sets, percent))))
+    return rows, written(components(links.unionByName(_across(now.drop("covered"), open_, sketched, sets, percent))))
 
 
 def _banded(nodes: DataFrame, first: int, end: int) -> DataFrame:
@@ -352,7 +334,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     3. Nodes that share a band of registers meet in a bucket, first in ``FIRST`` bands, then in all. In a pass one member of a bucket is its hub, and
        all others of another component are held against it: those whose jointly estimated similarity is near the threshold
        are verified by their full sets. A large group of copies is so joined by about as many comparisons as it has members.
-       Passes go on, ``PASSES`` at most, while a bucket has more than ``BLOCK`` members outside its largest component.
+       Passes go on, ``PASSES`` at most, while a bucket has more than ``BLOCKS`` blocks of members outside its largest component.
     4. Pairs of a bucket that aren't in one component by then, nor compared, are compared in blocks (:func:`_across`); a
        pair that shares several bands only at the first of them.
     5. The components of the verified links; each is named by its least doc_id.

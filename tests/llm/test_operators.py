@@ -125,7 +125,7 @@ def test_rows_that_share_an_id_keep_their_own_fate(spark):
 def test_buckets_of_two_large_groups_and_strangers(spark, monkeypatch):
     """Groups that share bands but aren't linked, over several blocks and passes; every link is found."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "MEMBERS", 16)
+    monkeypatch.setattr(near_dedup, "BLOCKS", 1)
     rng = random.Random(21)
     common = prose(rng, 60).split()
     bases = [common + prose(rng, 18).split() + [f"b{k}"] for k in range(6)]
