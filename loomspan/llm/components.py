@@ -49,12 +49,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         # large star: greater neighbours go to the least neighbour
-        large = _with_least(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = written(_with_least(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
         # small star: lesser neighbours, and the node itself, go to the least one
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = _with_least(large, low, total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = written(small.where("a <> b").distinct())
         drop_written(now)
+        drop_written(large)
         now = new
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

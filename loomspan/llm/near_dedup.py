@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import written
@@ -30,6 +30,10 @@ FIRST = 8
 BLOCK = 512
 #: Passes go on while a bucket has more blocks of members outside its largest component.
 BLOCKS = 4
+#: Members of open buckets that one call compares, about, and shingles of their sets; the members of two blocks of a bucket stay together.
+CRATE, CRATE_SHINGLES = 1024, 1 << 22
+#: Pairs of sketches that are compared at once.
+PAIRS = 1 << 13
 #: Pairs whose estimate lies under the threshold by this much (over 5 standard errors) are not verified.
 SLACK = 0.2
 #: Columns of the matrices whose product counts common shingles.
@@ -97,10 +101,8 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found, size = [], 0
 
 
-def _arrays(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(nodes, registers, sizes) of rows."""
-    registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
-    return table.column("node").to_pylist(), registers, table.column("n").to_numpy()
+def _registers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
 
 
 def _estimated(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
@@ -112,7 +114,7 @@ def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     """Of the pairs (hub, node, sketch, n, hub_sketch, hub_n) those whose estimate is near enough."""
     for batch in batches:
         if len(batch):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sketch", "hub_sketch"))
+            x, y = _registers(batch.column("sketch")), _registers(batch.column("hub_sketch"))
             good = _estimated(x, y, batch.column("n").to_numpy(), batch.column("hub_n").to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("hub", "node")], ["hub", "node"])
 
@@ -141,57 +143,77 @@ def _held(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int)
     return full.mapInArrow(lambda batches: _linked(batches, percent), "a binary, b binary")
 
 
+def _buckets(table: pa.Table) -> Iterator[pa.Table]:
+    """The rows of each bucket, one bucket after the other."""
+    no, band = table.column("no").to_numpy(), table.column("band").to_numpy()
+    order = np.lexsort((band, no))
+    no, band, table = no[order], band[order], table.take(pa.array(order)).combine_chunks()
+    edge = np.flatnonzero((no[1:] != no[:-1]) | (band[1:] != band[:-1])) + 1
+    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(order)], strict=True):
+        yield table.slice(lo, hi - lo)
+
+
+def _numbered(label: pa.ChunkedArray) -> np.ndarray:
+    return label.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
 def _cross(percent: int):
     """Nodes of two blocks of a bucket that have a partner of another component whose estimate is near enough.
 
     Pairs inside one component are known; a pair that shares an earlier band belongs to that band's bucket.
     """
 
-    def cross(table: pa.Table) -> pa.Table:
+    def near(table: pa.Table) -> pa.Table:
         i, j, no = (table.column(c)[0].as_py() for c in ("i", "j", "no"))
-        first = table.slice(0, 1)
-        block, label = table.column("block").to_numpy(), np.array(table.column("label").to_pylist(), object)
-        node, registers, n = _arrays(table)
+        block, label = table.column("block").to_numpy(), _numbered(table.column("label"))
+        registers, n = _registers(table.column("sketch")), table.column("n").to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        keep = np.zeros(len(node), bool)
-        for p in left:
-            others = right[right > p] if i == j else right
-            others = others[label[others] != label[p]]
-            others = others[np.minimum(n[others], n[p]) * 100 >= percent * np.maximum(n[others], n[p])]
-            if len(others):
-                same = (registers[others] == registers[p]).reshape(len(others), BANDS, ROWS).all(2)
-                others = others[same.argmax(1) == no]
-            if len(others):
-                others = others[_estimated(registers[others], registers[p : p + 1], n[others], n[p : p + 1], percent)]
-                keep[others] = True
-                keep[p] |= len(others) > 0
-        hit = np.flatnonzero(keep)
-        same = {c: pa.array([first.column(c)[0].as_py()] * len(hit), first.column(c).type) for c in ("no", "band", "i", "j")}
-        return pa.table({**same, "block": pa.array(block[hit], pa.int32()), "label": pa.array(label[hit].tolist(), pa.binary()), "node": pa.array([node[k] for k in hit], pa.binary())})
+        keep = np.zeros(len(block), bool)
+        step = max(1, PAIRS // max(1, len(right)))
+        for lo in range(0, len(left), step):
+            some = left[lo : lo + step]
+            p, q = np.repeat(some, len(right)), np.tile(right, len(some))
+            good = (label[p] != label[q]) & (np.minimum(n[p], n[q]) * 100 >= percent * np.maximum(n[p], n[q]))
+            p, q = (x[good & (p < q) if i == j else good] for x in (p, q))
+            if len(p):
+                same = (registers[p] == registers[q]).reshape(len(p), BANDS, ROWS).all(2)
+                p, q = (x[same.argmax(1) == no] for x in (p, q))
+            if len(p):
+                good = _estimated(registers[p], registers[q], n[p], n[q], percent)
+                keep[p[good]] = keep[q[good]] = True
+        return table.filter(pa.array(keep))
+
+    def cross(table: pa.Table) -> pa.Table:
+        return pa.concat_tables([near(t) for t in _buckets(table)]).drop(["crate", "sketch"])
 
     return cross
 
 
 def _verified(percent: int):
-    """A spanning forest of the links between different components among the rows of two blocks."""
+    """A spanning forest of the links between different components among the rows of two blocks of a bucket."""
 
-    def links(table: pa.Table) -> pa.Table:
+    def forest(table: pa.Table, shingles: list[pa.Scalar]) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block, label = table.column("block").to_numpy(), np.array(table.column("label").to_pylist(), object)
-        node = table.column("node").to_pylist()
-        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles")]
+        block, label = table.column("block").to_numpy(), _numbered(table.column("label"))
+        sets = [np.frombuffer(shingles[k].as_buffer(), np.uint64) for k in table.column("row").to_pylist()]
         pairs = _similar(sets, percent) & (label[:, None] != label[None, :])
         pairs &= (block[:, None] == i) & (block[None, :] == j)
         pairs |= pairs.T
-        root = np.arange(len(node))
+        root = np.arange(len(sets))
         while True:  # the least index that each can reach, so as many links leave as join the parts, not all pairs
-            lower = np.minimum(root, np.where(pairs, root[None, :], len(node)).min(1))
+            lower = np.minimum(root, np.where(pairs, root[None, :], len(root)).min(1))
             lower = np.minimum(lower, lower[lower])
             if (lower == root).all():
                 break
             root = lower
-        hit = np.flatnonzero(root != np.arange(len(node)))
-        return pa.table({"a": pa.array([node[k] for k in hit], pa.binary()), "b": pa.array([node[root[k]] for k in hit], pa.binary())})
+        hit = np.flatnonzero(root != np.arange(len(root)))
+        node = table.column("node")
+        return pa.table({"a": node.take(pa.array(hit)), "b": node.take(pa.array(root[hit]))})
+
+    def links(table: pa.Table) -> pa.Table:
+        shingles = list(table.column("shingles"))
+        rows = table.drop(["shingles"]).append_column("row", pa.array(range(len(table)), pa.int64()))
+        return pa.concat_tables([forest(t, shingles) for t in _buckets(rows)])
 
     return links
 
@@ -287,12 +309,12 @@ def _nodes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             continue
         now = written(now)
         open_ = _open_buckets(now)
-        widest = open_.agg(F.max("minors")).first()[0]
+        widest, held = open_.agg(F.max("minors"), F.sum("all")).first()
         if widest is None:
             return rows, written(components(links))
         if widest <= BLOCKS:  # each block then meets few others
             break
-    return rows, written(components(links.unionByName(_across(now.drop("covered"), open_, sketched, sets, percent))))
+    return rows, written(components(links.unionByName(_across(now.drop("covered"), open_, -(-held // CRATE), sketched, sets, percent))))
 
 
 def _banded(nodes: DataFrame, first: int, end: int) -> DataFrame:
@@ -302,28 +324,35 @@ def _banded(nodes: DataFrame, first: int, end: int) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
-    """Of each bucket with several labels the commonest one, and the number of blocks of its members and of the others."""
+    """Of each bucket with several labels the commonest one, the number of blocks of its members and of the others, and that of all rows."""
     counted = members.groupBy("no", "band", "label").agg(F.count("*").alias("c"))
     buckets = counted.groupBy("no", "band").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).where("all > top.c")
-    return written(buckets.select("no", "band", F.col("top.label").alias("major"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("minors")))
+    return written(buckets.select("no", "band", F.col("top.label").alias("major"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("minors"), "all"))
 
 
-def _across(members: DataFrame, buckets: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, buckets: DataFrame, crates: int, sketched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different labels inside the open buckets of ``members`` (no, band, node, label): each pair in blocks, none left out.
 
     The members of a bucket's commonest label need not meet each other: they are dealt into blocks of their own,
     and those of the others meet all. Sketches are moved first, full sets only for nodes with a near enough partner.
+    Buckets are dealt into ``crates``, as most have a few rows and a call for each costs more than its work.
     """
     major = F.col("label") == F.col("major")
     here = F.pmod(F.xxhash64("node"), F.when(major, F.col("majors")).otherwise(F.col("minors"))).cast("int")
     # blocks of the others are numbered first, those of the largest component behind them
-    placed = members.join(buckets, ["no", "band"]).select("no", "band", "node", "label", "majors", "minors", major.alias("major"), (here + F.when(major, F.col("minors")).otherwise(0)).alias("block"))
+    placed = members.join(buckets.drop("all"), ["no", "band"]).select("no", "band", "node", "label", "majors", "minors", major.alias("major"), (here + F.when(major, F.col("minors")).otherwise(0)).alias("block"))
     met = F.when(F.col("major"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1))
     dealt = placed.select("no", "band", "node", "label", "block", F.explode(met).alias("with"))
-    dealt = dealt.select("no", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "label", "node").join(sketched.select("node", "sketch", "n"), "node")
-    key = ["no", "band", "i", "j"]
-    near = written(dealt.groupBy(*key).applyInArrow(_cross(percent), "no int, band long, i int, j int, block int, label binary, node binary"))
-    return near.join(sets, "node").groupBy(*key).applyInArrow(_verified(percent), "a binary, b binary")
+    dealt = dealt.select("no", "band", _crate(crates), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "label", "node").join(sketched.select("node", "sketch", "n"), "node")
+    key = ["crate", "i", "j"]
+    near = written(dealt.groupBy(*key).applyInArrow(_cross(percent), "no int, band long, i int, j int, block int, label binary, node binary, n long"))
+    rows, shingles = near.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    crates = max(1, -(-rows // CRATE), -(-shingles // CRATE_SHINGLES))
+    return near.withColumn("crate", _crate(crates)).join(sets, "node").groupBy(*key).applyInArrow(_verified(percent), "a binary, b binary")
+
+
+def _crate(crates: int) -> Column:
+    return F.pmod(F.xxhash64("no", "band"), F.lit(crates)).alias("crate")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
