@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomspan.llm import repair
 from loomspan.llm.license_scan import CONTAINED, K, TEMPLATES, template_shingles, window
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -82,5 +83,63 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 FROM m"""
 
 
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text of code points below 2048, bit by bit: its reversed polynomial is 0xEDB88320."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1)))"
+    byte = "flatten(list_transform(string_split(%s, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [192 + (unicode(ch) >> 6)::BIGINT, 128 + (unicode(ch) & 63)::BIGINT] END))" % text
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: {bits}), 4294967295::BIGINT)"
+
+
+# a layer holds the cheapest (cost, audit) of each state (0: none yet, 1: s, 2: u, 3: a); turns are inserted, then the next row is edited
+OP11 = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE h WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE h <> 0),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS nth FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{_WORD}') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) > 1 THEN 'd'
+                     WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS mark, lag(role) OVER (PARTITION BY conv_id ORDER BY nth) AS before FROM o),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(mark = 'b')::BIGINT AS blank, count_if(mark = 'd')::BIGINT AS duplicate, count_if(mark = 't')::BIGINT AS truncated,
+             count_if(before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(nth) AS rows FROM f GROUP BY conv_id),
+ins(origin, too, price, edits, turns) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (0, 2, 3, 'I', ['user:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 3, 'I', ['user:']), (1, 3, 6, 'II', ['user:', 'assistant:']),
+  (2, 2, 0, '', []), (2, 3, 3, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 3, 'I', ['user:'])),
+move(origin, edit, initial, too, price) AS (VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0), (0, 'R', NULL, 2, {repair.REROLE}), (1, 'R', NULL, 2, {repair.REROLE}), (2, 'R', NULL, 3, {repair.REROLE}), (3, 'R', NULL, 2, {repair.REROLE}),
+  (0, 'D', NULL, 0, {repair.DELETE}), (1, 'D', NULL, 1, {repair.DELETE}), (2, 'D', NULL, 2, {repair.DELETE}), (3, 'D', NULL, 3, {repair.DELETE})),
+layer AS (
+  SELECT conv_id, 0::BIGINT AS nth, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS turns FROM n
+  UNION ALL
+  SELECT conv_id, nth, state, min(cost), arg_min(audit, (cost, audit)), arg_min(turns, (cost, audit)) FROM (
+    SELECT l.conv_id, f.nth, m.too AS state, l.cost + i.price + m.price + CASE WHEN f.mark = 't' AND m.edit <> 'D' THEN {repair.TRUNCATED} ELSE 0 END AS cost, l.audit || i.edits || m.edit AS audit,
+           l.turns || i.turns || CASE m.edit WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE m.too WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] END AS turns
+    FROM layer l JOIN f ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND f.nth = l.nth + 1 JOIN ins i ON i.origin = l.state JOIN move m ON m.origin = i.too
+    WHERE (m.edit <> 'K' OR m.initial = left(f.role, 1)) AND (m.edit = 'D' OR f.mark NOT IN ('b', 'd'))) GROUP BY conv_id, nth, state),
+done AS (SELECT conv_id, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(turns, (cost, audit)) AS turns FROM (
+  SELECT l.conv_id, l.cost + i.price AS cost, l.audit || i.edits AS audit, l.turns || i.turns AS turns FROM layer l JOIN n ON l.conv_id IS NOT DISTINCT FROM n.conv_id AND l.nth = n.rows JOIN ins i ON i.origin = l.state AND i.too IN (0, 3)) GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN done ON a.conv_id IS NOT DISTINCT FROM done.conv_id"""
+
+# words one edit apart have a variant without one code point in common, or are one another's; they are verified by their distance
+OP12 = f"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n FROM t GROUP BY doc_id, run),
+h AS (SELECT run, n, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM u),
+r AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM r WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+v AS (SELECT word, n, unnest(list_distinct(list_prepend(word, list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1))))) AS less FROM w),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM v a JOIN v b ON a.less = b.less AND a.word <> b.word),
+q AS (SELECT word, n, other, other_n, length(word) AS x, length(other) AS y, length(word) - len(list_filter(range(1, length(word) + 1), lambda i: left(word, i) <> left(other, i))) AS front FROM p),
+e AS (SELECT * FROM q WHERE (x = y AND substr(word, front + 2) = substr(other, front + 2)) OR (x + 1 = y AND substr(word, front + 1) = substr(other, front + 2)) OR (x = y + 1 AND substr(word, front + 2) = substr(other, front + 1))),
+b AS (SELECT word, any_value(n) AS n, count(*) AS n_near, max(other_n) AS form_n, arg_min(other, (-other_n, other)) AS form FROM e GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n FROM w LEFT JOIN b USING (word)),
+chain AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT c.word, f.form, steps + 1 FROM chain c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) USING (word)"""
+
+_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+OP13 = f"""
+WITH r(verdict, domain, start) AS (VALUES {', '.join(str(r) for r in _RULES)}),
+p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS k FROM pages),
+m AS (SELECT k, arg_max(domain || start, (length(domain), length(start))) AS rule, arg_max(verdict, (length(domain), length(start))) AS verdict FROM p JOIN r ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1(), "op2_exact_dedup": OP2, "op3_ann": OP3, "op4_mixing": OP4, "op6_near_dedup": OP6, "op10_warc": OP10}
+    return {"op1_license_scan": op1(), "op2_exact_dedup": OP2, "op3_ann": OP3, "op4_mixing": OP4, "op6_near_dedup": OP6, "op10_warc": OP10, "op11_structure_repair": OP11, "op12_spelling_variants": OP12, "op13_url_filter": OP13}

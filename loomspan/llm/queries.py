@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import ann, chat, exact_dedup, license_scan, mixing, near_dedup, packing, quality, sharding, warc
+from loomspan.llm import ann, chat, exact_dedup, license_scan, mixing, near_dedup, packing, quality, repair, sharding, spelling, url_filter, warc
 from loomspan.llm.oracles import oracle_sql
 
 
@@ -56,8 +56,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+#: The entries of op13; the others' verdict is to allow.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.rule(*entry) for entry in URL_RULES]
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 def queries() -> dict:
-    found = (op1_license_scan, op2_exact_dedup, op3_ann, op4_mixing, op5_sharding, op6_near_dedup, op7_chat, op8_packing, op9_quality, op10_warc)
+    found = (op1_license_scan, op2_exact_dedup, op3_ann, op4_mixing, op5_sharding, op6_near_dedup, op7_chat, op8_packing, op9_quality, op10_warc, op11_structure_repair, op12_spelling_variants, op13_url_filter)
     return {f.__name__: f for f in found}
 
 
