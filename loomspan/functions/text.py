@@ -114,13 +114,13 @@ def stem(token: Column) -> Column:
 
 
 def label_singular(token: Column) -> Column:
-    """Singular of a label's token: ``ss``, ``us`` and ``is`` stay; ``ches shes xes zes`` lose ``es`` (STR15)."""
+    """Singular of a label's token: ``ss``, ``us`` and ``is`` stay; ``ches shes xes zes`` of more than five characters lose ``es``, other words of more than four the ``s`` (STR15)."""
     n = F.char_length(token)
     return (
         F.when((n <= 3) | token.rlike("(ss|us|is)$"), token)
         .when(token.endswith("ies") & (n > 4), F.regexp_replace(token, "ies$", "y"))
-        .when(token.rlike("(ches|shes|xes|zes)$"), F.regexp_replace(token, "es$", ""))
-        .when(token.endswith("s"), F.regexp_replace(token, "s$", ""))
+        .when(token.rlike("(ches|shes|xes|zes)$") & (n > 5), F.regexp_replace(token, "es$", ""))
+        .when(token.endswith("s") & (n > 4), F.regexp_replace(token, "s$", ""))
         .otherwise(token)
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.functions import values as V
 from loomspan.operators.lineage import cut
+from loomspan.operators.names import names_in_texts
 
 
 def skip_reason(text: Column, role: Column, day: Column, roles: list[str] | None = None, cutoff: str | None = None, need_date: bool = False) -> Column:
@@ -84,14 +85,13 @@ def support(assignments: DataFrame, docs: DataFrame, declared: DataFrame | None
 
 
 def assign_by_phrase(docs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Documents with a node's alias as a whole word or phrase (JOI02).
+    """Documents with a node's alias as a whole word or phrase, in any case (JOI02); a null or empty alias has none.
 
-    Aliases of one word meet the documents' own words in an equi-join, so no document is held against each
-    alias. Longer aliases meet the document at their first word and are then verified in the text.
+    All aliases are looked for in one pass over each text, which isn't moved (``names.names_in_texts``).
     """
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("word"))
-    first = aliases.select("node_id", "alias", F.element_at(F.filter(F.split(F.lower("alias"), "[^a-z0-9]+"), lambda w: w != ""), 1).alias("word"))
-    return words.join(first, "word").where(T.has_phrase(F.col("text"), F.col("alias"))).select("doc_id", "node_id").distinct()
+    named = aliases.select("node_id", F.lower("alias").alias("name"))
+    found = names_in_texts(docs.select("doc_id", F.lower("text").alias("text")), named, "doc_id", whole=True)
+    return found.join(named.distinct(), "name").select("doc_id", "node_id").distinct()
 
 
 def top_phrases(docs: DataFrame, group: str, k: int = 8) -> DataFrame:

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.operators.corpus import top_phrases
 from loomspan.operators.graph import EDGE_CUES, top_per_group
-from loomspan.operators.insight import older_sources, schema_group
+from loomspan.operators.insight import candidate_score, older_sources, schema_group
+from loomspan.operators.labels import with_generic_predecessor, with_variant_reason
+from loomspan.operators.lineage import cut
+from loomspan.operators.names import names_in_texts
 
 #: Two capitalised words or more, or one with a capital or digit inside.
 PROPER = r"\b(?:[A-Z][\w-]+(?:\s+[A-Z][\w-]+)+|[A-Z]\w*[A-Z0-9]\w*)\b"
@@ -87,15 +90,6 @@ def proper_names(docs: DataFrame, cues: tuple[str, ...] = ("propose", "introduce
     return docs.select("doc_id", "text").mapInPandas(find, "doc_id long, name string, position long")
 
 
-def variant_reason(source: Column, target: Column) -> Column:
-    """Why two labels are variants of one (FIL07), empty if they aren't."""
-    a, b = F.transform(T.tokenize(source), T.label_singular), F.transform(T.tokenize(target), T.label_singular)
-    return (
-        F.when(F.lower(source) == F.lower(target), "same_label").when(F.array_join(a, " ") == F.array_join(b, " "), "inflection").when(F.array_sort(a) == F.array_sort(b), "word_order")
-        .when((T.acronym(a) == F.lower(target)) | (T.acronym(b) == F.lower(source)), "acronym").otherwise("")
-    )
-
-
 def relevance(text: Column, exact: list[str], groups: list[list[str]]) -> Column:
     """An exact phrase, or a word of every group (FIL08)."""
     low = F.lower(text)
@@ -109,30 +103,50 @@ def relevance(text: Column, exact: list[str], groups: list[list[str]]) -> Column
 def fuzzy_assign(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
     """Known pairs and those whose child node's label matches the text by phrase or tokens (JOI03, STR09).
 
-    A label inside a text may share no token with it (``AI``, or a part of a longer word), so the configured labels are
-    broadcast and looked for in each text; a match by tokens has a shared one, so documents meet labels by an equi-join.
+    A label inside a text may share no token with it (``AI``, or a part of a longer word), so labels are looked for in one pass over
+    each text; a match by tokens has a shared one, so documents meet labels by an equi-join.
     """
     children = nodes.where("parent_id is not null").select("node_id", "label")
     low = lambda c: F.lower(T.normalize_space(F.col(c)))
-    held = docs.select("doc_id", low("text").alias("low")).join(F.broadcast(children.select("node_id", low("label").alias("phrase"))), F.contains("low", "phrase")).select("doc_id", "node_id")
+    named = children.select("node_id", low("label").alias("name"))
+    held = names_in_texts(docs.select("doc_id", low("text").alias("text")), named, "doc_id").join(named.distinct(), "name").select("doc_id", "node_id")
     # the row tells apart rows that repeat an id; the text itself isn't moved
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     words = numbered.select("doc_id", "row", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
     own = F.array_distinct(T.tokenize(F.col("label")))
     labels = children.select("node_id", "label", F.size(own).alias("tokens"), F.explode(own).alias("token"))
-    near = words.join(F.broadcast(labels), "token").groupBy("row", "doc_id", "node_id", "label", "tokens").agg(F.count_distinct("token").alias("common"))
+    near = words.join(labels, "token").groupBy("row", "doc_id", "node_id", "label", "tokens").agg(F.count_distinct("token").alias("common"))
     hit = near.where(F.col("common") >= 0.67 * F.col("tokens")).select("doc_id", "node_id")
     return known.select("doc_id", "node_id").unionByName(held).unionByName(hit).distinct()
 
 
-def successor_candidates(entities: DataFrame, scope: str, per_target: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(candidates, reasons): scored predecessors without label variants, the best of each target; how many fell for what (JOI14)."""
-    names = entities.select("entity_id", "canonical_name")
-    pairs = older_sources(entities, scope, 18, 120).drop("rank")
-    named = pairs.join(names.select(F.col("entity_id").alias("source"), F.col("canonical_name").alias("sn")), "source").join(names.select(F.col("entity_id").alias("target"), F.col("canonical_name").alias("tn")), "target")
-    judged = named.withColumn("reason", variant_reason(F.col("sn"), F.col("tn")))
-    best = top_per_group(judged.where("reason = ''"), ["target"], [F.desc("score"), "source"], per_target)
-    return best.select("source", "target", "days", "score", "rank"), judged.groupBy("reason").agg(F.count("*").alias("n"))
+def successor_candidates(entities: DataFrame, scope: str, texts: DataFrame, per_target: int = 6, least: float = 0.25, limit: int = 0, years: float = 18, sources: int = 120) -> tuple[DataFrame, DataFrame]:
+    """(candidates, counters): the best scored predecessors of each target, and how many pairs each step kept or dropped (JOI14, SCO04).
+
+    ``entities`` as in ``insight.older_sources``, ``texts`` (entity_id, text) of the targets' best documents; a target without one has
+    no candidates. Variants of a label and generic predecessors are skipped, then scores below ``least``; ``per_target`` stay by score,
+    nearness in time and id, and of all, if ``limit`` is above 0, so many by score, the target's first date and the ids.
+    """
+    own = entities.select("entity_id", "canonical_name", "entity_type", "first_seen", "n_docs")
+    dated = entities.join(texts.select("entity_id"), "entity_id", "left_semi")
+    pairs = older_sources(entities, scope, years, sources, texts).join(dated.select(F.col("entity_id").alias("target")), "target", "left_semi").drop("rank", "score")
+    named = pairs.join(own.select(F.col("entity_id").alias("source"), F.col("canonical_name").alias("sn"), F.col("entity_type").alias("st")), "source")
+    named = named.join(own.select(F.col("entity_id").alias("target"), F.col("canonical_name").alias("tn"), F.col("entity_type").alias("tt"), F.col("first_seen").alias("target_date"), F.col("n_docs").alias("target_docs")), "target")
+    told = with_generic_predecessor(with_variant_reason(named, "sn", "tn", "variant"), "sn", "st", "generic")
+    judged = told.withColumn("why", F.when(F.col("variant") != "", F.col("variant")).otherwise(F.col("generic"))).drop("variant", "generic")
+    told = judged.join(texts.select(F.col("entity_id").alias("target"), "text"), "target")
+    scored = told.withColumn("c", candidate_score(F.col("shared"), F.col("overlap"), F.col("sn"), F.col("tn"), F.col("text"), F.col("days") / 365.25, F.col("target_docs"))).drop("text")
+    other = F.when(F.col("st") != F.col("tt"), F.array(F.lit("cross_entity_type_within_schema_group"))).otherwise(F.array().cast("array<string>"))
+    fate = F.when(F.col("why") != "", F.concat(F.lit("skipped_"), "why")).when(F.col("c.score") < least, "skipped_below_min_candidate_score").otherwise("retained_before_per_target_cap")
+    # read by the counters and by the rank
+    scored = cut(scored.select("source", "target", "days", "target_date", F.round("c.score", 3).alias("score"), F.concat("c.reasons", other).alias("reasons"), fate.alias("fate")))
+    good = scored.where("fate = 'retained_before_per_target_cap'")
+    best = top_per_group(good, ["target"], [F.desc("score"), "days", "source"], per_target)
+    counters = scored.groupBy(F.col("fate").alias("counter")).agg(F.count("*").alias("n"))
+    total = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
+    out = best.orderBy(F.desc("score"), "target_date", "source", "target").limit(limit) if limit > 0 else best
+    counters = counters.unionByName(total(scored, "source_pairs_considered")).unionByName(total(best, "retained_after_per_target_cap")).unionByName(total(out, "retained_after_global_limit"))
+    return out.select("source", "target", "days", "score", F.array_join("reasons", ",").alias("reasons"), "rank"), counters
 
 
 def quoting_documents(quotes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.functions import values as V
 from loomspan.operators.graph import STRONG, top_per_group
+from loomspan.operators.names import names_in_texts
 
 
 def node_states(facts: DataFrame) -> DataFrame:
@@ -95,18 +96,54 @@ def pre_score(shared: Column, overlap: Column, mentioned: Column, years: Column,
     return F.round(2 * shared + 1.5 * overlap + 4 * mentioned + 1 / (1 + years) + F.least(F.lit(2.0), 0.25 * F.log1p(support)), 6)
 
 
-def older_sources(entities: DataFrame, scope: str, years: int = 18, k: int = 120) -> DataFrame:
-    """Possible predecessors of each entity in its scope (JOI13): first seen up to ``years`` years earlier, the best ``k`` by pre-score."""
+def older_sources(entities: DataFrame, scope: str, years: float = 18, k: int = 120, texts: DataFrame | None = None) -> DataFrame:
+    """Possible predecessors of each entity in its scope (JOI13): first seen up to ``years`` years of 365.25 days earlier, the best ``k``.
+
+    ``entities``: entity_id, canonical_name, first_seen, n_docs, tokens, nodes. A pair shares a node or a name token, or the target's text in ``texts``
+    (entity_id, text) holds the source's name in any case. Ranked by pre-score, then nearness in time, then id. Returns ``source, target, days, shared, overlap, mentioned, score, rank``.
+    """
     # entities meet at a shared token or node only; the shared ones are summed before anything is ranked
     shared = lambda c, kind: F.transform(F.array_distinct(c), lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("item")))
     items = entities.select(scope, "entity_id", "first_seen", "n_docs", F.explode(F.concat(shared(F.col("tokens"), "t"), shared(F.col("nodes"), "n"))).alias("x")).select(scope, "entity_id", "first_seen", "n_docs", "x.kind", "x.item")
     a = items.select(scope, "kind", "item", F.col("entity_id").alias("source"), F.col("first_seen").alias("sf"), F.col("n_docs").alias("support"))
     b = items.select(scope, "kind", "item", F.col("entity_id").alias("target"), F.col("first_seen").alias("tf"))
+    met = a.join(b, [scope, "kind", "item"]).select("source", "target", "sf", "tf", "support", "kind")
+    if texts is not None:
+        named = entities.select(F.col(scope).alias("scope"), F.col("entity_id").alias("source"), F.lower("canonical_name").alias("name"), F.col("first_seen").alias("sf"), F.col("n_docs").alias("support"))
+        found = names_in_texts(texts.select(F.col("entity_id").alias("target"), F.lower("text").alias("text")), named, "target")
+        holder = entities.select(F.col(scope).alias("own"), F.col("entity_id").alias("target"), F.col("first_seen").alias("tf"))
+        held = found.join(named, "name").join(holder, "target").where("scope = own")
+        met = met.unionByName(held.select("source", "target", "sf", "tf", "support", F.lit("m").alias("kind")))
     days = F.datediff("tf", "sf")
-    met = a.join(b, [scope, "kind", "item"]).where((days > 0) & (days <= 365 * years))
-    pairs = met.groupBy("source", "target", days.alias("days"), "support").agg(F.count_if(F.col("kind") == "n").alias("shared"), F.count_if(F.col("kind") == "t").alias("overlap"))
-    score = pre_score(F.col("shared"), F.col("overlap"), F.lit(0), F.col("days") / 365.25, F.col("support"))
-    return top_per_group(pairs.withColumn("score", score), ["target"], [F.desc("score"), "source"], k).select("source", "target", "days", "score", "rank")
+    pairs = met.where((days > 0) & (days <= 365.25 * years)).groupBy("source", "target", days.alias("days"), "support").agg(
+        F.count_if(F.col("kind") == "n").alias("shared"), F.count_if(F.col("kind") == "t").alias("overlap"), F.max(F.col("kind") == "m").alias("mentioned")
+    )
+    score = pre_score(F.col("shared"), F.col("overlap"), F.col("mentioned").cast("int"), F.col("days") / 365.25, F.col("support"))
+    return top_per_group(pairs.withColumn("score", score), ["target"], [F.desc("score"), "days", "source"], k).select("source", "target", "days", "shared", "overlap", "mentioned", "score", "rank")
+
+
+# Cues of an evolution in a text.
+EVOLUTION_CUES = [
+    "adapt", "based on", "benchmark", "build", "extend", "improv", "instead of", "move beyond", "new method", "outperform", "replace", "robust", "scale", "supersed",
+]
+
+
+def candidate_score(shared: Column, overlap: Column, source_name: Column, target_name: Column, text: Column, years: Column, support: Column) -> Column:
+    """Struct (score, reasons) of a possible successor (SCO04): ``text`` is the target's best document, ``support`` its number of documents.
+
+    A source's name in the text counts more with a cue near, and nothing where the target's own name holds it.
+    """
+    low, name = F.lower(text), F.lower(source_name)
+    mentioned, inside = F.contains(low, name), F.contains(F.lower(target_name), name)
+    near = T.cue_near(text, source_name, EVOLUTION_CUES, 160)
+    rules = [
+        (shared > 0, F.least(F.lit(0.28), 0.08 * shared), "shared_taxonomy"), (overlap > 0, F.least(F.lit(0.16), 0.06 * overlap), "name_token_overlap"),
+        (mentioned & inside, F.lit(0.0), "target_label_contains_source_label"), (mentioned & ~inside & near, F.lit(0.24), "target_text_mentions_source_with_evolution_cue"),
+        (mentioned & ~inside & ~near, F.lit(0.12), "target_text_mentions_source"), (reduce(lambda a, b: a | b, (F.contains(low, F.lit(c)) for c in EVOLUTION_CUES)), F.lit(0.08), "target_text_has_evolution_cue"),
+        (years <= 6, F.lit(0.12), "near_temporal_successor"), ((years > 6) & (years <= 12), F.lit(0.06), "medium_temporal_successor"),
+    ]
+    total = reduce(lambda a, b: a + b, (F.when(rule, value).otherwise(0.0) for rule, value, _ in rules)) + F.least(F.lit(0.08), F.log1p(support) * 0.03)
+    return F.struct(F.least(F.lit(1.0), total).alias("score"), F.array_compact(F.array(*(F.when(rule, F.lit(why)) for rule, _, why in rules))).alias("reasons"))
 
 
 DISPLAY_RULES = ("raw_rejected", "relation_type_not_for_display", "low_confidence", "missing_time_delta", "too_near_in_time", "same_source_and_target_document")
@@ -193,7 +230,7 @@ def heterogeneity(docs: DataFrame, group: str, size: int = 120) -> DataFrame:
     n, nth = F.count("*").over(w), F.row_number().over(w.orderBy("doc_id")) - 1
     step = F.greatest(F.lit(1.0), F.col("n") / size)
     ids = docs.select(group, "doc_id").withColumn("n", n).withColumn("nth", nth).where(F.floor(F.floor((F.col("nth") + step - 1e-9) / step) * step) == F.col("nth"))
-    spread = docs.join(F.broadcast(ids.select(group, "doc_id")), [group, "doc_id"], "left_semi")  # at most ``size`` ids a group
+    spread = docs.join(ids.select(group, "doc_id"), [group, "doc_id"], "left_semi")
     own = spread.select(group, "doc_id", F.array_distinct(T.tokenize(F.col("text"))).alias("t"))
     a, b = own.alias("a"), own.alias("b")
     pairs = a.join(b, group).where("a.doc_id < b.doc_id").select(group, T.jaccard(F.col("a.t"), F.col("b.t")).alias("j"))

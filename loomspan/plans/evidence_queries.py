@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.operators import corpus, evidence, graph
+from loomspan.operators import corpus, evidence, graph, insight, labels
 from loomspan.plans import registry
 from loomspan.plans import tables as tb
 from loomspan.plans.graph_queries import _weights
 from loomspan.plans.registry import query
-from loomspan.plans.text_queries import sent, tok
+from loomspan.plans.text_queries import LABEL, sent, tok
 
 _CUES = {"extends": ["tion", "ever"], "improves": ["better", "license"], "replaces": ["instead of"]}
 _TYPE = "coalesce(list_filter(list_transform({s}, lambda s: CASE WHEN contains(s, 'tion') THEN 'extends|tion' WHEN contains(s, 'ever') THEN 'extends|ever' WHEN contains(s, 'better') THEN 'improves|better' WHEN contains(s, 'license') THEN 'improves|license' WHEN contains(s, 'instead of') THEN 'replaces|instead of' END), lambda x: x IS NOT NULL)[1], CASE WHEN len(list_filter({l}, lambda s: contains(s, 'the') AND contains(s, 'que'))) > 0 THEN 'uses_component|co-mention' ELSE 'background|' END)"
@@ -42,13 +42,50 @@ def _(spark, d):
     return tb.table(spark, d, "documents").select("doc_id", F.md5(slots["bottleneck"]).alias("bottleneck"))
 
 
-@query("fil07_variants", """WITH e AS (SELECT DISTINCT canonical_name AS n FROM part_entity), t AS (SELECT a.n AS a, b.n AS b FROM e a JOIN e b ON a.n <= b.n)
-SELECT CASE WHEN a = b THEN 'same_label' WHEN list_sort(string_split(a, ' ')) = list_sort(string_split(b, ' ')) THEN 'word_order' ELSE '' END AS reason, count(*) AS n FROM t GROUP BY 1""", tb.PARTS)
+#: Names of an edge's ends with modifiers, plurals and kinds as the edge's number says.
+_SN = "CASE edge_id % 7 WHEN 0 THEN s WHEN 1 THEN 'improved ' || s WHEN 2 THEN s || ' methods' WHEN 3 THEN s WHEN 4 THEN 'machine learning ' || split_part(s, ' ', 1) WHEN 5 THEN s || ' algorithm' ELSE s || 's' END"
+_TN = "CASE edge_id % 11 WHEN 0 THEN s WHEN 1 THEN s || 's method' WHEN 2 THEN 'novel ' || s || ' systems' WHEN 3 THEN s || ' detection' WHEN 4 THEN split_part(s, ' ', 2) || ' ' || split_part(s, ' ', 1) WHEN 5 THEN s || ' ' || t || ' prediction' ELSE t END"
+_TOKENS = "list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '_'), '_'), lambda w: length(w) >= 2)"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_BARE = f"list_filter({{0}}, lambda w: NOT list_contains({_LIST(labels.STRUCTURE)}, w))"
+_ACRONYM = "CASE WHEN len({0}) >= 2 THEN array_to_string(list_transform({0}, lambda w: w[1]), '') ELSE '' END"
+_MORE = f"len(list_filter({{0}}, lambda w: NOT list_contains({_LIST(labels.MODIFIERS)}, w))) = 0"
+_WIDE = f"len(list_filter({{0}}, lambda w: NOT list_contains({_LIST(labels.MODIFIERS + labels.CONTEXTS)}, w))) = 0"
+_NAMED = f"""ends AS (SELECT edge_id, a.canonical_name AS s, b.canonical_name AS t, source_type FROM edge JOIN (SELECT DISTINCT entity_id, canonical_name FROM part_entity) a ON a.entity_id = source JOIN (SELECT DISTINCT entity_id, canonical_name FROM part_entity) b ON b.entity_id = target),
+named AS (SELECT edge_id, source_type, {_SN} AS sn, {_TN} AS tn FROM ends),
+parts_of AS (SELECT *, {_TOKENS.format('sn')} AS st, {_TOKENS.format('tn')} AS tt FROM named),
+bared AS (SELECT *, {_BARE.format('st')} AS sb, {_BARE.format('tt')} AS tb FROM parts_of),
+short AS (SELECT *, {_ACRONYM.format('sb')} AS sa, {_ACRONYM.format('tb')} AS ta FROM bared),
+cored AS (SELECT *, list_distinct(list_transform(list_filter(sb, lambda w: NOT list_contains(list_filter([sa, ta], lambda x: length(x) >= 2), w)), lambda t: {LABEL})) AS sc,
+    list_distinct(list_transform(list_filter(tb, lambda w: NOT list_contains(list_filter([sa, ta], lambda x: length(x) >= 2), w)), lambda t: {LABEL})) AS tc,
+    list_distinct(list_filter(sb, lambda w: NOT (length(sa) >= 2 AND w = sa))) AS own, ' ' || array_to_string(st, ' ') || ' ' AS sw, ' ' || array_to_string(tt, ' ') || ' ' AS tw FROM short),
+extra AS (SELECT *, list_filter(tc, lambda w: NOT list_contains(sc, w)) AS mt, list_filter(sc, lambda w: NOT list_contains(tc, w)) AS ms, len(list_intersect(sc, tc)) AS both_n, len(sc) > 0 AND len(tc) > 0 AS cores FROM cored)"""
+
+
+def _named_edges(spark, d):
+    names = tb.parts(spark, d).select("entity_id", "canonical_name").distinct()
+    e = tb.edges(spark, d).join(names.toDF("source", "s"), "source").join(names.toDF("target", "t"), "target")
+    n, s, t = F.col("edge_id"), F.col("s"), F.col("t")
+    word = lambda k: F.element_at(F.split(s, " "), k)
+    said = F.when(n % 7 == 1, F.concat(F.lit("improved "), s)).when(n % 7 == 2, F.concat(s, F.lit(" methods"))).when(n % 7 == 4, F.concat(F.lit("machine learning "), word(1))).when(n % 7 == 5, F.concat(s, F.lit(" algorithm"))).when(n % 7 == 6, F.concat(s, F.lit("s"))).otherwise(s)
+    told = F.when(n % 11 == 0, s).when(n % 11 == 1, F.concat(s, F.lit("s method"))).when(n % 11 == 2, F.concat(F.lit("novel "), s, F.lit(" systems"))).when(n % 11 == 3, F.concat(s, F.lit(" detection")))
+    told = told.when(n % 11 == 4, F.concat(word(2), F.lit(" "), word(1))).when(n % 11 == 5, F.concat(s, F.lit(" "), t, F.lit(" prediction"))).otherwise(t)
+    return e.select("edge_id", "source_type", said.alias("sn"), told.alias("tn"))
+
+
+@query("fil07_variants", f"""SELECT edge_id, CASE WHEN st = tt THEN 'duplicate_label' WHEN list_transform(st, lambda t: {LABEL}) = list_transform(tt, lambda t: {LABEL}) THEN 'same_core_label' WHEN cores AND len(ms) = 0 AND len(mt) = 0 THEN 'same_core_label'
+  WHEN cores AND len(ms) = 0 AND {_MORE.format('mt')} THEN 'source_label_with_generic_modifier' WHEN cores AND len(ms) = 0 AND contains(tw, sw) AND {_WIDE.format('mt')} THEN 'source_label_with_context_suffix'
+  WHEN cores AND len(mt) = 0 AND {_MORE.format('ms')} THEN 'target_label_with_generic_modifier' WHEN cores AND len(mt) = 0 AND contains(sw, tw) AND {_WIDE.format('ms')} THEN 'target_label_with_context_suffix'
+  WHEN cores AND both_n >= 0.86 * (len(sc) + len(tc) - both_n) AND (contains(sw, tw) OR contains(tw, sw)) THEN 'near_duplicate_label' ELSE '' END AS reason FROM extra""", tb.EDGES, _NAMED)
 def _(spark, d):
-    # all names of this small dimension are compared once: it has a few dozen distinct names at every size
-    e = tb.parts(spark, d).select(F.col("canonical_name").alias("n")).distinct()
-    a, b = e.select(F.col("n").alias("a")), e.select(F.col("n").alias("b"))
-    return a.join(b, F.col("a") <= F.col("b")).groupBy(evidence.variant_reason(F.col("a"), F.col("b")).alias("reason")).agg(F.count("*").alias("n"))
+    return labels.with_variant_reason(_named_edges(spark, d), "sn", "tn").select("edge_id", "reason")
+
+
+#: Of the rules those that names of this dimension can meet: a broad phrase of learning, a general last word, a lone structure word.
+@query("fil07_generic_predecessors", f"""SELECT edge_id, CASE WHEN (contains(array_to_string(sb, ' '), 'machine learning') AND len(own) <= 3) OR (list_contains(own, 'machine') AND list_contains(own, 'learning') AND len(list_filter(own, lambda w: NOT list_contains({_LIST(labels.LEARNING_MODIFIERS)}, w))) <= 2)
+  OR (list_contains({_LIST(labels.HEADS)}, st[-1]) AND len(own) <= 2) OR (len(own) <= 1 AND list_contains({_LIST(labels.STRUCTURE)}, st[-1])) THEN 'generic_predecessor_source' ELSE '' END AS reason FROM extra""", tb.EDGES, _NAMED)
+def _(spark, d):
+    return labels.with_generic_predecessor(_named_edges(spark, d), "sn", "source_type").select("edge_id", "reason")
 
 
 @query("fil08_relevance", "SELECT doc_id, contains(lower(text), 'mit license') OR ((contains(lower(text), 'the') OR contains(lower(text), 'que')) AND (contains(lower(text), 'license') OR contains(lower(text), 'version'))) AS relevant FROM documents")
@@ -63,17 +100,29 @@ def _(spark, d):
     return evidence.fuzzy_assign(tb.table(spark, d, "documents"), nodes, tb.assignments(spark, d)).groupBy("node_id").agg(F.count("*").alias("docs"))
 
 
-def _typed(spark, d):
-    return corpus.build_entities(tb.mentions(spark, d)).withColumn("tokens", F.array_distinct(T.tokenize(F.col("canonical_name"))))
+_HAS_CUE = " OR ".join(f"contains({{0}}, '{c}')" for c in insight.EVOLUTION_CUES)
+_LOW_TEXT, _AT = "lower(text)", "instr(lower(text), lower(sn))"
+_NEAR = _HAS_CUE.format(f"substr(lower(text), greatest({_AT} - 160, 1), {_AT} + length(sn) + 160 - greatest({_AT} - 160, 1))")
+#: Candidates with their scores and fates; names of this dimension have no variants but those of other word order or plural.
+_SCORED = f"""scored AS (SELECT *, round(least(1.0::DOUBLE, CASE WHEN shared > 0 THEN least(0.28::DOUBLE, 0.08::DOUBLE * shared) ELSE 0 END + CASE WHEN overlap > 0 THEN least(0.16::DOUBLE, 0.06::DOUBLE * overlap) ELSE 0 END
+    + CASE WHEN mentioned AND NOT contains(lower(tn), lower(sn)) THEN CASE WHEN {_NEAR} THEN 0.24::DOUBLE ELSE 0.12::DOUBLE END ELSE 0 END + CASE WHEN {_HAS_CUE.format(_LOW_TEXT)} THEN 0.08::DOUBLE ELSE 0 END
+    + CASE WHEN days / 365.25 <= 6 THEN 0.12::DOUBLE WHEN days / 365.25 <= 12 THEN 0.06::DOUBLE ELSE 0 END + least(0.08::DOUBLE, ln(1 + target_docs) * 0.03::DOUBLE)), 3) AS points FROM ranked WHERE rank <= 120),
+fated AS (SELECT *, CASE WHEN sn = tn THEN 'skipped_duplicate_label' WHEN list_sort(string_split(sn, ' ')) = list_sort(string_split(tn, ' ')) THEN 'skipped_same_core_label' WHEN points < 0.25 THEN 'skipped_below_min_candidate_score' ELSE 'retained_before_per_target_cap' END AS fate FROM scored),
+capped AS (SELECT source, target, days, target_date, points AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY points DESC, days, source)::INTEGER AS r FROM fated WHERE fate = 'retained_before_per_target_cap') WHERE r <= 6),
+kept AS (SELECT * FROM capped ORDER BY score DESC, target_date, source, target LIMIT 240)"""
+
+
+@query("joi14_candidates", "SELECT source, target, days, score, rank FROM kept", tb.DATED_ENTITIES, _SCORED)
+def _(spark, d):
+    entities, texts = tb.dated_entities(spark, d)
+    return evidence.successor_candidates(entities, "entity_type", texts, limit=240)[0].drop("reasons")
 
 
-@query("joi14_candidates", f"""WITH e AS (SELECT entity_id, entity_type, any_value(canonical_name) AS name, min(published_at) AS first_seen, count(DISTINCT doc_id) AS n_docs, list(DISTINCT node_id) AS nodes, list_distinct({tok('any_value(canonical_name)')}) AS tokens FROM mention GROUP BY 1, 2),
-p AS (SELECT a.entity_id AS source, b.entity_id AS target, a.name AS sn, b.name AS tn, datediff('day', a.first_seen, b.first_seen)::INTEGER AS days, round(2 * len(list_intersect(a.nodes, b.nodes)) + 1.5::DOUBLE * len(list_intersect(a.tokens, b.tokens)) + 1 / (1 + datediff('day', a.first_seen, b.first_seen) / 365.25::DOUBLE) + least(2.0::DOUBLE, 0.25::DOUBLE * ln(1 + a.n_docs)), 6) AS score
- FROM e a JOIN e b ON a.entity_type = b.entity_type WHERE datediff('day', a.first_seen, b.first_seen) BETWEEN 1 AND 365 * 18 AND (len(list_intersect(a.nodes, b.nodes)) > 0 OR len(list_intersect(a.tokens, b.tokens)) > 0)),
-q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, source) AS r FROM p) WHERE r <= 120 AND list_sort(string_split(sn, ' ')) <> list_sort(string_split(tn, ' '))),
-r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, source)::INTEGER AS rank FROM q) SELECT source, target, days, score, rank FROM r WHERE rank <= 6""", tb.MENTIONS)
+@query("joi14_counters", """SELECT fate AS counter, count(*) AS n FROM fated GROUP BY 1 UNION ALL SELECT 'source_pairs_considered', count(*) FROM fated UNION ALL SELECT 'retained_after_per_target_cap', count(*) FROM capped
+UNION ALL SELECT 'retained_after_global_limit', count(*) FROM kept""", tb.DATED_ENTITIES, _SCORED)
 def _(spark, d):
-    return evidence.successor_candidates(_typed(spark, d), "entity_type", 6)[0]
+    entities, texts = tb.dated_entities(spark, d)
+    return evidence.successor_candidates(entities, "entity_type", texts, limit=240)[1]
 
 
 @query("joi17_path_windows", "SELECT l_orderkey AS path_id, array_to_string(list_sort(list(DISTINCT strftime(l_shipdate, '%Y'))), ',') AS windows, count(*) AS steps FROM lineitem GROUP BY 1")

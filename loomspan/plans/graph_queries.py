@@ -533,13 +533,10 @@ def _(spark, d):
     return insight.token_profiles(tb.table(spark, d, "documents"), "lang")
 
 
-@query("joi13_sco04_older_sources", f"""WITH e AS (SELECT entity_id, entity_type, min(published_at) AS first_seen, count(DISTINCT doc_id) AS n_docs, list_sort(list(DISTINCT node_id)) AS nodes, list_distinct({tok('any_value(canonical_name)')}) AS tokens FROM mention GROUP BY 1, 2),
-p AS (SELECT a.entity_id AS source, b.entity_id AS target, datediff('day', a.first_seen, b.first_seen)::INTEGER AS days, round(2 * len(list_intersect(a.nodes, b.nodes)) + 1.5::DOUBLE * len(list_intersect(a.tokens, b.tokens)) + 1 / (1 + datediff('day', a.first_seen, b.first_seen) / 365.25::DOUBLE) + least(2.0::DOUBLE, 0.25::DOUBLE * ln(1 + a.n_docs)), 6) AS score
- FROM e a JOIN e b ON a.entity_type = b.entity_type WHERE datediff('day', a.first_seen, b.first_seen) BETWEEN 1 AND 365 * 18 AND (len(list_intersect(a.nodes, b.nodes)) > 0 OR len(list_intersect(a.tokens, b.tokens)) > 0)),
-r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, source)::INTEGER AS rank FROM p) SELECT source, target, days, score, rank FROM r WHERE rank <= 120""", tb.MENTIONS)
+@query("joi13_sco04_older_sources", "SELECT source, target, days, shared, overlap, mentioned, score, rank FROM ranked WHERE rank <= 120", tb.DATED_ENTITIES)
 def _(spark, d):
-    e = corpus.build_entities(tb.mentions(spark, d)).withColumn("tokens", F.array_distinct(T.tokenize(F.col("canonical_name"))))
-    return insight.older_sources(e, "entity_type", 18, 120)
+    entities, texts = tb.dated_entities(spark, d)
+    return insight.older_sources(entities, "entity_type", 18, 120, texts)
 
 
 @query("joi15_screened_corpus", """WITH x AS (SELECT doc_id, arg_max(quality, toxic) AS quality FROM labels GROUP BY 1) SELECT CASE quality WHEN 1 THEN 'core' WHEN 0 THEN 'support' ELSE 'skipped' END AS role, count(*) AS n FROM documents LEFT JOIN x ON documents.doc_id = x.doc_id GROUP BY 1""")

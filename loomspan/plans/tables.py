@@ -64,6 +64,28 @@ MENTIONS = f"""{PARTS}, mention AS (SELECT l_orderkey AS doc_id, l_linenumber AS
   FROM lineitem JOIN part_entity ON l_partkey = partkey JOIN orders ON l_orderkey = o_orderkey)"""
 
 
+def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): an order lists the names of its parts, each behind some words that follow from the line."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    words = F.when(F.col("l_returnflag") == "R", "to replace the ").when(F.col("l_linestatus") == "F", "sold with ").otherwise("next to some ")
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.concat(words, F.initcap("p_name")).alias("said"))))
+    return lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(rows, lambda x: x["said"]), ", ").alias("text"))
+
+
+_SAID = "CASE WHEN l_returnflag = 'R' THEN 'to replace the ' WHEN l_linestatus = 'F' THEN 'sold with ' ELSE 'next to some ' END || array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+ORDER_TEXTS = f"""order_text AS (SELECT l_orderkey AS doc_id, string_agg({_SAID}, ', ' ORDER BY l_linenumber, l_partkey, {_SAID}) AS text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"""
+
+
+def dated_entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, texts): parts as dated entities with nodes and content tokens, and the text of the first order of each."""
+    from loomspan.operators import corpus, labels
+
+    rows = mentions(spark, sf_dir)
+    own = corpus.build_entities(rows).withColumn("tokens", labels.content_tokens(F.col("canonical_name")))
+    first = rows.groupBy("entity_id").agg(F.min(F.struct("published_at", "doc_id")).alias("at")).select("entity_id", F.col("at.doc_id").alias("doc_id"))
+    return own, first.join(order_texts(spark, sf_dir), "doc_id").select("entity_id", "text")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line item and the next one of the same supplier by order leads from part to part."""
     from pyspark.sql import Window
@@ -90,6 +112,16 @@ edge AS (SELECT edge_id, a.entity_id AS source, b.entity_id AS target, CASE WHEN
   FROM nxt JOIN part_entity a ON l_partkey = a.partkey JOIN part_entity b ON to_part = b.partkey WHERE to_part IS NOT NULL)"""
 
 
+CONTENT = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '_'), '_'), lambda w: length(w) >= 4))"
+DATED_ENTITIES = f"""{MENTIONS}, {ORDER_TEXTS}, dated_entity AS (SELECT entity_id, any_value(entity_type) AS entity_type, arg_min(canonical_name, (published_at, doc_id, seq)) AS name, min(published_at) AS first_seen, count(DISTINCT doc_id) AS n_docs,
+    list(DISTINCT node_id) AS nodes, {CONTENT.format("arg_min(canonical_name, (published_at, doc_id, seq))")} AS tokens, arg_min(doc_id, (published_at, doc_id)) AS best FROM mention GROUP BY 1),
+older AS (SELECT a.entity_id AS source, b.entity_id AS target, a.name AS sn, b.name AS tn, b.first_seen AS target_date, b.n_docs AS target_docs, text, datediff('day', a.first_seen, b.first_seen)::INTEGER AS days,
+    len(list_intersect(a.nodes, b.nodes)) AS shared, len(list_intersect(a.tokens, b.tokens)) AS overlap, contains(lower(text), lower(a.name)) AS mentioned, a.n_docs AS support
+  FROM dated_entity a JOIN dated_entity b ON a.entity_type = b.entity_type AND datediff('day', a.first_seen, b.first_seen) > 0 AND datediff('day', a.first_seen, b.first_seen) <= 365.25 * 18 JOIN order_text ON doc_id = b.best),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, days, source)::INTEGER AS rank FROM (
+  SELECT *, round(2 * shared + 1.5::DOUBLE * overlap + 4 * mentioned::INTEGER + 1 / (1 + days / 365.25::DOUBLE) + least(2.0::DOUBLE, 0.25::DOUBLE * ln(1 + support)), 6) AS score FROM older WHERE shared > 0 OR overlap > 0 OR mentioned))"""
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window events: the event type is the scope, the kind follows from the user."""
     kind = F.element_at(F.array(F.lit("document"), F.lit("mention"), F.lit("edge")), (F.col("user_id") % 3 + 1).cast("int"))

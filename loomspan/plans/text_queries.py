@@ -114,10 +114,10 @@ def _(spark, d):
     return tb.table(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.transform(T.tokenize(F.col("text")), T.stem), " ")).alias("stems"))
 
 
-_LABEL = "CASE WHEN length(t) <= 3 OR regexp_matches(t, '(ss|us|is)$') THEN t WHEN t LIKE '%ies' AND length(t) > 4 THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_matches(t, '(ches|shes|xes|zes)$') THEN regexp_replace(t, 'es$', '') WHEN t LIKE '%s' THEN regexp_replace(t, 's$', '') ELSE t END"
+LABEL = "CASE WHEN length(t) <= 3 OR regexp_matches(t, '(ss|us|is)$') THEN t WHEN t LIKE '%ies' AND length(t) > 4 THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_matches(t, '(ches|shes|xes|zes)$') AND length(t) > 5 THEN regexp_replace(t, 'es$', '') WHEN t LIKE '%s' AND length(t) > 4 THEN regexp_replace(t, 's$', '') ELSE t END"
 
 
-@query("str15_label_singular", f"SELECT doc_id, md5(array_to_string(list_transform({tok('text')}, lambda t: {_LABEL}), ' ')) AS label FROM documents")
+@query("str15_label_singular", f"SELECT doc_id, md5(array_to_string(list_transform({tok('text')}, lambda t: {LABEL}), ' ')) AS label FROM documents")
 def _(spark, d):
     return tb.table(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.transform(T.tokenize(F.col("text")), T.label_singular), " ")).alias("label"))
 

@@ -269,11 +269,6 @@ def test_samples_are_fixed_and_bounded(spark):
     assert a == b and len(a) == 30
 
 
-def test_variants(spark):
-    for s, t, want in (("Stance coding", "stance coding", "same_label"), ("graph model", "graph models", "inflection"), ("model graph", "graph model", "word_order"), ("deep river model", "drm", "acronym"), ("a1b c", "other", "")):
-        assert one(spark, evidence.variant_reason(F.lit(s), F.lit(t))) == want
-
-
 def test_json_lines(spark, tmp_path):
     (tmp_path / "good.jsonl").write_text('{"id": "a"}\n\n{"id": "b", "n": 1}\n')
     assert loaders.read_records(spark, str(tmp_path / "good.jsonl")).count() == 2
