@@ -67,6 +67,12 @@ def audit_quotes(edges: DataFrame, docs: DataFrame, cues: list[str], mode: str =
     return both.withColumn("verified", ok).drop("st", "tt")
 
 
+def has_bottleneck(sentence: Column) -> Column:
+    """Whether a sentence tells a bottleneck; null tells none."""
+    low = F.lower(F.coalesce(sentence, F.lit("")))
+    return F.exists(F.array(*(F.lit(c) for c in BOTTLENECKS)), lambda c: F.contains(low, c))
+
+
 def evidence_slots(sentence: Column, names: list[str]) -> Column:
     """Map slot -> quote: every slot empty, ``bottleneck`` filled where the sentence has such a cue (SCO11)."""
     has = F.exists(F.array(*(F.lit(c) for c in BOTTLENECKS)), lambda c: F.contains(F.lower(sentence), c))

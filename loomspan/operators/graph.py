@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import values as V
+from loomspan.operators.lineage import cut
 
 # Cues of each relation, in the order in which they are tried.
 EDGE_CUES = {
@@ -88,10 +89,11 @@ def first_tier(df: DataFrame, status: str = "status") -> DataFrame:
 
 def aggregate_edges(edges: DataFrame) -> DataFrame:
     """Edges by source, target and type (AGG01)."""
-    docs = F.array_distinct(F.flatten(F.collect_set(F.array("source_document", "target_document"))))
-    return edges.groupBy("source", "target", "edge_type").agg(
-        F.count("*").alias("n_edges"), F.size(docs).alias("n_docs"), F.array_sort(F.collect_set("node_id")).alias("nodes"), F.round(F.avg("confidence"), 3).alias("confidence"), F.count_if("verified").alias("verified_count")
-    )
+    key = ["source", "target", "edge_type"]
+    # documents are counted by pairs, so none of an edge's sets of them is gathered
+    docs = edges.select(*key, F.explode(F.array("source_document", "target_document")).alias("doc")).distinct().groupBy(*key).agg(F.count("doc").alias("n_docs"))
+    per = edges.groupBy(*key).agg(F.count("*").alias("n_edges"), F.array_sort(F.collect_set("node_id")).alias("nodes"), F.round(F.avg("confidence"), 3).alias("confidence"), F.count_if("verified").alias("verified_count"))
+    return per.join(docs, key).select(*key, "n_edges", F.col("n_docs").cast("int").alias("n_docs"), "nodes", "confidence", "verified_count")
 
 
 def branch_points(edges: DataFrame, least: int = 2) -> DataFrame:
@@ -121,18 +123,18 @@ def step_score(confidence: Column, temporal: Column, quote: Column, schema: Colu
 def beam_paths(edges: DataFrame, depth: int = 4, beam: int = 6, fan_out: int = 6) -> DataFrame:
     """Simple paths by beam search from every entity (GRF01, GRF02).
 
-    ``edges`` (source, target, weight), one row a pair. The joins are unrolled, one a level; out-edges are capped at ``fan_out``
+    ``edges`` (source, target, weight), one row a pair. One join a level, whose result is written; out-edges are capped at ``fan_out``
     before any join and paths at ``beam`` for each start after it, so a level has at most starts * beam * fan_out rows.
     Every survivor of every level is returned: ``start, path, score`` (mean weight), ``depth``.
     """
-    out = top_per_group(edges, ["source"], [F.desc("weight"), "target"], fan_out).select("source", "target", "weight")
+    out = cut(top_per_group(edges, ["source"], [F.desc("weight"), "target"], fan_out).select("source", "target", "weight"))
     level = out.select(F.col("source").alias("start"), F.array("source", "target").alias("path"), F.col("target").alias("tip"), F.col("weight").alias("total"))
     found = []
     for k in range(1, depth + 1):
         if k > 1:
             level = level.join(out, level["tip"] == out["source"]).where(~F.array_contains("path", F.col("target"))).select("start", F.concat("path", F.array("target")).alias("path"), F.col("target").alias("tip"), (F.col("total") + F.col("weight")).alias("total"))
         ranked = level.withColumn("score", F.round(F.col("total") / k, 6)).withColumn("key", F.array_join("path", ">"))
-        level = top_per_group(ranked, ["start"], [F.desc("score"), "key"], beam).drop("rank")
+        level = cut(top_per_group(ranked, ["start"], [F.desc("score"), "key"], beam).drop("rank"))
         found.append(level.select("start", F.col("key").alias("path"), "score", F.lit(k).alias("depth")))
         level = level.select("start", "path", "tip", "total")
     return reduce(DataFrame.unionByName, found)
@@ -155,7 +157,8 @@ def trajectories(edges: DataFrame, depth: int = 4, beam: int = 6, fan_out: int =
     good = edges.where(F.col("edge_type").isin(STRONG if strong is None else strong) & F.col("verified") & (F.col("confidence") > 0) & (temporal > 0))
     rows = good.select(F.col("edge_id").cast("string").alias("edge_id"), "source", "target", "confidence", temporal.alias("temporal"), *(step_scores(edges, k).alias(f"s{k}") for k in range(depth)))
     degree = rows.groupBy("source").agg(F.count("*").alias("degree"))
-    out = top_per_group(rows, ["source"], [F.desc("s0"), "target", "edge_id"], fan_out).drop("rank")
+    # each level is read by the next and by the result: written once, it isn't planned and run again for every later level
+    out = cut(top_per_group(rows, ["source"], [F.desc("s0"), "target", "edge_id"], fan_out).drop("rank"))
     level, found = None, []
     for k in range(depth):
         if level is None:
@@ -164,7 +167,7 @@ def trajectories(edges: DataFrame, depth: int = 4, beam: int = 6, fan_out: int =
             joined = level.join(out, level["tip"] == out["source"]).where(~F.array_contains("path", F.col("target")))
             level = joined.select("start", F.concat("path", F.array("target")).alias("path"), F.concat("steps", F.array("edge_id")).alias("steps"), F.col("target").alias("tip"), (F.col("total") + F.col(f"s{k}")).alias("total"), (F.col("sure") + F.col("confidence")).alias("sure"), (F.col("time") + F.col("temporal")).alias("time"))
         ranked = level.withColumn("score", F.round(F.col("total") / (k + 1), 3))
-        level = top_per_group(ranked, ["start"], [F.desc("score"), "path", "steps"], beam).drop("rank")
+        level = cut(top_per_group(ranked, ["start"], [F.desc("score"), "path", "steps"], beam).drop("rank"))
         found.append(level.select("path", "steps", "score", F.lit(k + 1).alias("length"), F.round(F.col("sure") / (k + 1), 3).alias("sure"), F.round(F.col("time") / (k + 1), 3).alias("time")))
     best = top_per_group(reduce(DataFrame.unionByName, found), ["path"], [F.desc("score"), "steps"], 1).drop("rank")
     branching = best.select("path", F.explode("path").alias("source")).join(degree, "source").groupBy("path").agg(F.max("degree").alias("branching_factor"))

@@ -34,67 +34,6 @@ def cue_share(text: Column, cues: list[str]) -> Column:
     return F.coalesce(F.avg(F.coalesce(hit, F.lit(False)).cast("int")), F.lit(0.0))
 
 
-def propose_expansions(signals: DataFrame, docs: DataFrame, nodes: DataFrame, least: float = 0.55, each: int = 3, most: int = 50) -> DataFrame:
-    """Candidates from the commonest phrases of the nodes whose score is ``least`` or more (GRF08).
-
-    ``signals``: node_id, score, action; ``docs``: node_id, text, a row for each document of a node; ``nodes``: node_id, parent_id.
-    Signals are taken by score (then node), the first whose phrases give ``most`` candidates; that limit is the operator's own.
-    """
-    strong = signals.where(F.col("score") >= least).orderBy(F.desc("score"), "node_id").limit(-(-most // each))
-    phrases = top_phrases(docs.join(strong.select("node_id"), "node_id", "left_semi"), "node_id", each)
-    depth = F.col("action").isin("depth_expansion", "fragmentation_review")
-    rows = phrases.join(strong, "node_id").join(nodes.select("node_id", "parent_id"), "node_id")
-    kind = F.when(depth, "depth").otherwise("width")
-    return rows.select(
-        F.concat_ws("__", kind, T.slugify(F.col("node_id")), T.slugify(F.col("phrase"))).alias("candidate_id"), kind.alias("candidate_type"), F.when(depth, F.col("node_id")).otherwise(F.col("parent_id")).alias("parent_node_id"),
-        F.col("phrase").alias("label"), F.col("node_id").alias("trigger_node_id"), F.col("score").alias("trigger_score"),
-    )
-
-
-def judged(candidates: DataFrame, judgements: DataFrame, least: float = 0.5) -> DataFrame:
-    """Candidates with a judge's output by candidate id (JOI21): its confidence and label where it has one, ``accepted`` by both.
-
-    ``judgements``: candidate_id, accept, confidence, suggested_label. Without one the trigger's score counts.
-    """
-    j = judgements.select("candidate_id", "accept", F.col("confidence").alias("judged"), "suggested_label")
-    confidence = F.coalesce("judged", "trigger_score", F.lit(0.0))
-    label = F.coalesce(F.when(F.trim("suggested_label") != "", F.trim("suggested_label")), F.trim("label"))
-    rows = candidates.join(j, "candidate_id", "left").withColumn("confidence", F.round(confidence, 3)).withColumn("label", label)
-    return rows.withColumn("accepted", F.coalesce("accept", F.lit(True)) & (confidence >= least)).drop("accept", "judged", "suggested_label")
-
-
-def apply_expansions(nodes: DataFrame, candidates: DataFrame, dimension: str, most: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(nodes, report): judged candidates by trigger score (then id), the first ``most`` that can be applied (GRF08).
-
-    They are as few as :func:`propose_expansions` gives, so they are applied one after the other on the driver: a label that a sibling has is left out, an id that exists gets a number.
-    """
-    spark = nodes.sparkSession
-    rows = candidates.orderBy(F.desc("trigger_score"), "candidate_id").collect()
-    parents = spark.createDataFrame([(r.parent_node_id or "",) for r in rows], "parent string").distinct()
-    own = nodes.select("node_id", F.coalesce("parent_id", F.lit("")).alias("parent"), F.lower("label").alias("low"))
-    taken = {(r.parent, r.low) for r in own.join(F.broadcast(parents), "parent", "left_semi").where(F.col("low").isin([r.label.lower() for r in rows])).collect()}
-    names = {r: f"{_slug(dimension)}__{_slug(r.label)}" for r in rows}
-    stems = sorted(set(names.values()))
-    ids = {r.node_id for r in own.where(F.regexp_replace("node_id", "_[0-9]+$", "").isin(stems) | F.col("node_id").isin(stems)).select("node_id").collect()}
-    report, new = [], []
-    for r in rows:
-        if len(new) >= most:
-            break
-        key = (r.parent_node_id or "", r.label.lower())
-        status = "rejected" if not r.accepted or not r.label else "deduplicated" if key in taken else "applied"
-        name = ""
-        if status == "applied":
-            name, suffix = names[r], 2
-            while name in ids:
-                name, suffix = f"{names[r]}_{suffix}", suffix + 1
-            ids.add(name)
-            taken.add(key)
-            new.append((name, r.parent_node_id, r.label))
-        report.append((r.candidate_id, status, name))
-    grown = nodes.select("node_id", "parent_id", "label").unionByName(spark.createDataFrame(new, "node_id string, parent_id string, label string"))
-    return grown, spark.createDataFrame(report, "candidate_id string, status string, new_node_id string")
-
-
 def _slug(x: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", x.lower()).strip("_")[:80].rstrip("_") or "unknown"
 

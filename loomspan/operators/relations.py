@@ -209,74 +209,6 @@ def state_confidence(successors: Column, strong: Column) -> Column:
     return F.round(F.least(F.lit(0.88), F.lit(0.54) + F.lit(0.05) * successors + F.lit(0.02) * strong), 3)
 
 
-def propose_revisions(edges: DataFrame, feedback: DataFrame, types: DataFrame) -> DataFrame:
-    """Revisions that a node's edges speak for (GRF09, SCO08): ``node_id, revision_type, label, confidence, support``.
-
-    ``edges`` has a row for each (node_id, edge), with source, target, verified; ``feedback`` is that of AGG09; ``types`` says of
-    each (node_id, entity) whether its type fits the node's dimension (column ``fits``). Splits: the three targets of a node with most
-    verified edges. A state needs an edge, a cross link another node of its edges' entities or an entity that doesn't fit.
-    """
-    own = feedback.select("node_id", F.col("edges").alias("edge_count"), F.col("strong").alias("strong_count"), F.col("entities").alias("entity_count"))
-    per = edges.where("verified").groupBy("node_id", "target").agg(F.count_distinct("edge_id").alias("n"))
-    best = top_per_group(per, ["node_id"], [F.desc("n"), "target"], 3).join(types.where("fits").select("node_id", F.col("entity_id").alias("target")), ["node_id", "target"], "left_semi").join(own, "node_id")
-    split = best.select("node_id", F.lit("split_child").alias("revision_type"), T.name_of(F.col("target")).alias("label"), split_confidence(F.col("n"), F.col("entity_count")).alias("confidence"), F.col("n").alias("support"))
-    ends = edges.select("node_id", "edge_id", F.explode(F.array("source", "target")).alias("entity_id"))
-    strange = ends.select("node_id", "entity_id").distinct().join(types.where("not fits").select("node_id", "entity_id"), ["node_id", "entity_id"], "left_semi").groupBy("node_id").agg(F.count("*").alias("strangers"))
-    e = edges.select("node_id", "edge_id").distinct()
-    other = e.join(e.select(F.col("node_id").alias("other"), "edge_id"), "edge_id").where("node_id <> other").groupBy("node_id").agg(F.count_distinct("other").alias("others"))
-    linked = own.join(other, "node_id", "left").join(strange, "node_id", "left").na.fill(0, ["others", "strangers"]).where("others > 0 or strangers > 0")
-    cross = linked.select("node_id", F.lit("cross_link").alias("revision_type"), F.lit("").alias("label"), cross_link_confidence(F.col("others"), F.col("strangers"), F.col("edge_count")).alias("confidence"), F.col("edge_count").alias("support"))
-    after = edges.groupBy("node_id").agg(F.count_distinct(F.when(F.col("verified"), F.col("target"))).alias("successors")).join(own, "node_id")
-    state = after.select("node_id", F.lit("state_annotation").alias("revision_type"), F.when(F.col("successors") >= 2, "fragmenting").otherwise("growing").alias("label"), state_confidence(F.col("successors"), F.col("strong_count")).alias("confidence"), F.col("edge_count").alias("support"))
-    return split.unionByName(cross).unionByName(state)
-
-
-def apply_revisions(nodes: DataFrame, candidates: DataFrame, least: float = 0.6, most: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(nodes, report): candidates in order of confidence (then node, type, label), the first ``most`` that can be applied (GRF09).
-
-    ``most`` is the operator's own limit; only candidates above ``least`` are taken to the driver, and of these no more than the
-    first ``50 * most``, which a total order picks. A split adds a child, unless its label exists among all nodes; its id is made unique by a number. The
-    other types note the node's state (columns ``state``, ``linked``). ``report``: node_id, revision_type, label, status, reason.
-    """
-    spark = nodes.sparkSession
-    order = [F.desc("confidence"), "node_id", "revision_type", "label"]
-    best = candidates.where(F.col("confidence") >= least).orderBy(*order).limit(50 * most)
-    rows = best.collect()
-    wanted = spark.createDataFrame([(_slug(r.label), r.label.lower(), r.node_id) for r in rows] or [("", "", "")], "slug string, low string, node_id string")
-    # of the taxonomy only what the few candidates can meet
-    known = {r.low for r in nodes.select(F.lower("label").alias("low")).join(F.broadcast(wanted.select("low").distinct()), "low", "left_semi").distinct().collect()}
-    ids = {r.node_id for r in nodes.join(F.broadcast(wanted.select("node_id").distinct()), "node_id", "left_semi").select("node_id").distinct().collect()}
-    report, new, notes, applied = [], [], [], 0
-    for r in rows:
-        if applied >= most:
-            status, reason = "skipped", "max_applied_revisions_reached"
-        elif r.node_id not in ids:
-            status, reason = "rejected", "unknown_node"
-        elif r.revision_type == "split_child":
-            status, reason = ("rejected", "label_exists") if r.label.lower() in known else ("applied", "")
-            if status == "applied":
-                known.add(r.label.lower())
-                name = f"{r.node_id}__{_slug(r.label)}"
-                taken = sum(n[0] == name or n[0].startswith(f"{name}_") for n in new)
-                new.append((name if not taken else f"{name}_{taken + 1}", r.node_id, r.label))
-        else:
-            status, reason = "applied", ""
-            notes.append((r.node_id, r.revision_type, r.label))
-        applied += status == "applied"
-        report.append((r.node_id, r.revision_type, r.label, status, reason))
-    noted = spark.createDataFrame(notes or [("", "", "")], "node_id string, revision_type string, note string")
-    noted = noted.groupBy("node_id").agg(F.max(F.when(F.col("revision_type") == "state_annotation", F.col("note"))).alias("state"), F.max(F.col("revision_type") == "cross_link").alias("linked"))
-    grown = nodes.select("node_id", "parent_id", "label").unionByName(spark.createDataFrame(new, "node_id string, parent_id string, label string"))
-    out = grown.join(F.broadcast(noted), "node_id", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    return out, spark.createDataFrame(report, "node_id string, revision_type string, label string, status string, reason string")
-
-
-def _slug(x: str) -> str:
-    import re
-
-    return re.sub(r"[^a-z0-9]+", "_", x.lower()).strip("_")[:80].rstrip("_") or "unknown"
-
-
 def feedback_events(feedback: DataFrame) -> DataFrame:
     """Events that a node's feedback calls for (GRF13): ``event_id, event_type, node_id, confidence``."""
     kinds = (("split_review", "feedback_split__", "fragmentation", 0.7), ("cross_link_review", "feedback_cross_link__", "cross_link", 0.6))

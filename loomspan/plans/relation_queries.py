@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.operators import graph, induction, insight, relations, reports
+from loomspan.operators import coevolution, graph, induction, insight, relations, reports
 from loomspan.operators.graph import EDGE_CUES
 from loomspan.plans import tables as tb
 from loomspan.plans.registry import query
@@ -135,29 +135,78 @@ def _(spark, d):
 
 
 _FEED = """feed AS (SELECT node_id, count(*) AS edges, count(*) FILTER (verified AND edge_type IN ('extends', 'improves')) AS strong, count(DISTINCT CASE WHEN verified AND edge_type IN ('extends', 'improves') THEN target END) AS successors, count(DISTINCT CASE WHEN verified AND edge_type IN ('extends', 'improves') THEN source END) AS sources, count(DISTINCT source) AS entities FROM edge GROUP BY 1)"""
-_REV = f"""{_FEED}, per AS (SELECT node_id, target, count(DISTINCT edge_id) AS n FROM edge WHERE verified GROUP BY 1, 2),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY n DESC, target) AS r FROM per) WHERE r <= 3 AND substr(target, 1, 1) <> 's'),
-cand AS (SELECT best.node_id, 'split_child' AS revision_type, replace(regexp_replace(target, '^.*?__', ''), '_', ' ') AS label, round(least(0.9, 0.55 + 0.08 * n + 0.04 * entities), 3)::DOUBLE AS confidence, n AS support FROM best JOIN feed ON best.node_id = feed.node_id
-UNION ALL SELECT feed.node_id, 'cross_link', '', round(least(0.86, 0.5 + 0.04 * strangers + 0.02 * edges), 3)::DOUBLE, edges FROM feed JOIN (SELECT node_id, count(DISTINCT e) AS strangers FROM (SELECT node_id, source AS e FROM edge UNION ALL SELECT node_id, target FROM edge) WHERE substr(e, 1, 1) = 's' GROUP BY 1) x ON feed.node_id = x.node_id
-UNION ALL SELECT feed.node_id, 'state_annotation', CASE WHEN vs >= 2 THEN 'fragmenting' ELSE 'growing' END, round(least(0.88, 0.54 + 0.05 * vs + 0.02 * strong), 3)::DOUBLE, edges FROM feed JOIN (SELECT node_id, count(DISTINCT CASE WHEN verified THEN target END) AS vs FROM edge GROUP BY 1) y ON feed.node_id = y.node_id)"""
+#: Groups of four orders are nodes: an edge belongs to the groups of both its documents. Some nodes have the labels and ids that revisions would make.
+_REV = """grp AS (SELECT DISTINCT l_orderkey // 4 AS g FROM lineitem), gnode AS (SELECT 'O' || g AS node_id, NULL::VARCHAR AS parent_id, CASE g % 4 WHEN 0 THEN 'economy' WHEN 1 THEN 'standard_frames' WHEN 2 THEN 'mechanisms' ELSE '' END AS dimension,
+    CASE WHEN g % 50 = 0 THEN (SELECT min(p_name) FROM part) ELSE 'order group ' || g END AS label FROM grp
+  UNION ALL SELECT DISTINCT entity_id, NULL, 'x', 'a part ' || entity_id FROM part_entity WHERE entity_id LIKE '%ring'),
+known AS (SELECT DISTINCT entity_id, canonical_name, entity_type FROM part_entity WHERE canonical_name NOT LIKE '%blue%'),
+el AS (SELECT DISTINCT 'O' || g AS node_id, edge_id, source, target, edge_type, verified, source_document, target_document, year % 5 = 0 AS bottleneck FROM (SELECT *, source_document // 4 AS g FROM edge UNION ALL SELECT *, target_document // 4 FROM edge)),
+mem AS (SELECT DISTINCT node_id, e AS entity_id FROM (SELECT node_id, source AS e FROM el UNION ALL SELECT node_id, target FROM el)),
+pe AS (SELECT node_id, count(DISTINCT edge_id) AS edges, count(DISTINCT edge_id) FILTER (verified AND edge_type IN ('extends', 'improves')) AS strong, count(DISTINCT target) FILTER (verified AND edge_type IN ('extends', 'improves')) AS successors, count(DISTINCT source) FILTER (verified AND edge_type IN ('extends', 'improves')) AS sources, bool_or(bottleneck) AS bottleneck FROM el GROUP BY 1),
+fb AS (SELECT n.node_id, dimension, coalesce(edges, 0) AS edges, coalesce(strong, 0) AS strong, coalesce(successors, 0) AS successors, coalesce(sources, 0) AS sources, coalesce(ents, 0) AS entities, coalesce(bottleneck, false) AS bottleneck
+  FROM gnode n LEFT JOIN pe ON n.node_id = pe.node_id LEFT JOIN (SELECT node_id, count(*) AS ents FROM mem GROUP BY 1) m ON n.node_id = m.node_id),
+told AS (SELECT *, successors >= 3 AND sources >= 2 AS split, entities >= 4 AND edges >= 4 AS cross_, bottleneck AND strong > 0 AS mark FROM fb),
+per AS (SELECT el.node_id, target, count(DISTINCT edge_id) AS n FROM el JOIN told ON el.node_id = told.node_id AND split WHERE verified GROUP BY 1, 2),
+best AS (SELECT per.*, coalesce(canonical_name, replace(regexp_replace(target, '^.*?__', ''), '_', ' ')) AS label, entity_type FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY n DESC, target) AS r FROM per) per LEFT JOIN known ON target = entity_id WHERE r <= 3),
+sp AS (SELECT 'revision_split__' || lower(best.node_id) || '__' || replace(label, ' ', '_') AS candidate_id, 'split_child' AS revision_type, best.node_id, dimension, label, '' AS state, round(least(0.9::DOUBLE, 0.55::DOUBLE + 0.08::DOUBLE * n + 0.04::DOUBLE * entities), 3) AS confidence, n AS support, target
+  FROM best JOIN told ON best.node_id = told.node_id WHERE entity_type IS NULL OR dimension = '' OR list_contains(string_split(dimension, '_'), entity_type)),
+oth AS (SELECT a.node_id, count(DISTINCT b.node_id) AS others FROM el a JOIN el b ON a.edge_id = b.edge_id AND a.node_id <> b.node_id GROUP BY 1),
+stra AS (SELECT mem.node_id, count(*) AS strangers FROM mem JOIN known ON mem.entity_id = known.entity_id JOIN gnode ON mem.node_id = gnode.node_id WHERE dimension <> '' AND NOT list_contains(string_split(dimension, '_'), entity_type) GROUP BY 1),
+cr AS (SELECT 'revision_cross_link__' || lower(told.node_id) AS candidate_id, 'cross_link' AS revision_type, told.node_id, dimension, '' AS label, '' AS state, round(least(0.86::DOUBLE, 0.5::DOUBLE + 0.04::DOUBLE * coalesce(others, 0) + 0.04::DOUBLE * coalesce(strangers, 0) + 0.02::DOUBLE * edges), 3) AS confidence, edges AS support
+  FROM told LEFT JOIN oth ON told.node_id = oth.node_id LEFT JOIN stra ON told.node_id = stra.node_id WHERE coalesce(others, 0) > 0 OR coalesce(strangers, 0) > 0),
+st AS (SELECT *, CASE WHEN vs >= 2 THEN 'fragmenting' ELSE 'growing' END AS s FROM told JOIN (SELECT node_id AS id, count(DISTINCT target) FILTER (verified) AS vs FROM el GROUP BY 1) ON node_id = id WHERE split OR mark),
+sa AS (SELECT 'revision_state__' || lower(node_id) || '__' || s AS candidate_id, 'state_annotation' AS revision_type, node_id, dimension, '' AS label, s AS state, round(least(0.88::DOUBLE, 0.54::DOUBLE + 0.05::DOUBLE * vs + 0.02::DOUBLE * strong), 3) AS confidence, edges AS support FROM st),
+every_ AS (SELECT * EXCLUDE (target) FROM sp UNION ALL SELECT * FROM cr UNION ALL SELECT * FROM sa),
+cand AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY confidence DESC, node_id, support DESC) AS r FROM every_) WHERE r = 1),
+flawed AS (SELECT c.*, confidence >= 0.58 AND NOT (revision_type = 'split_child' AND label IN (SELECT lower(label) FROM gnode)) AS fine, revision_type = 'split_child' AND label IN (SELECT lower(label) FROM gnode) AS known FROM cand c),
+firsts AS (SELECT *, CASE WHEN revision_type = 'split_child' THEN row_number() OVER (PARTITION BY revision_type = 'split_child', CASE WHEN revision_type = 'split_child' THEN label ELSE candidate_id END, fine ORDER BY confidence DESC, candidate_id) > 1 AND fine ELSE false END AS dup FROM flawed),
+runs AS (SELECT *, coalesce(sum((fine AND NOT dup)::INTEGER) OVER (ORDER BY confidence DESC, candidate_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM firsts),
+fate AS (SELECT *, CASE WHEN before >= 10 THEN 'max_applied_revisions_reached' WHEN confidence < 0.58 THEN 'below_revision_acceptance_threshold' WHEN known OR dup THEN 'label_already_exists_in_taxonomy' WHEN revision_type = 'split_child' THEN 'created_graph_derived_child' ELSE 'annotated_existing_node' END AS reason FROM runs)"""
 
 
-def _revisions(spark, d):
-    e = tb.edges(spark, d)
-    ends = e.select("node_id", F.explode(F.array("source", "target")).alias("entity_id")).distinct()
-    return relations.propose_revisions(e, insight.feedback(e), ends.withColumn("fits", ~F.col("entity_id").startswith("s")))
+def _groups(spark, d):
+    """(nodes, entities, edges by node, feedback)."""
+    orders = tb.table(spark, d, "lineitem").select(F.expr("l_orderkey div 4").alias("g")).distinct()
+    least = tb.table(spark, d, "part").agg(F.min("p_name").alias("least"))
+    kind = F.when(F.col("g") % 4 == 0, "economy").when(F.col("g") % 4 == 1, "standard_frames").when(F.col("g") % 4 == 2, "mechanisms").otherwise("")
+    label = F.when(F.col("g") % 50 == 0, F.col("least")).otherwise(F.concat(F.lit("order group "), "g"))
+    none = F.lit(None).cast("string").alias("parent_id")
+    nodes = orders.crossJoin(F.broadcast(least)).select(F.concat(F.lit("O"), "g").alias("node_id"), none, kind.alias("dimension"), label.alias("label"))
+    parts = tb.parts(spark, d).select("entity_id", "canonical_name", "entity_type").distinct()
+    nodes = nodes.unionByName(parts.where("entity_id like '%ring'").select(F.col("entity_id").alias("node_id"), none, F.lit("x").alias("dimension"), F.concat(F.lit("a part "), "entity_id").alias("label")))
+    own = F.explode(F.array_distinct(F.array(F.expr("source_document div 4"), F.expr("target_document div 4"))))
+    e = tb.edges(spark, d).select(own.alias("g"), "edge_id", "source", "target", "edge_type", "verified", "source_document", "target_document", (F.col("year") % 5 == 0).alias("bottleneck")).withColumn("node_id", F.concat(F.lit("O"), "g")).drop("g")
+    members = e.select("node_id", F.explode(F.array("source", "target")).alias("entity_id")).distinct()
+    return nodes, parts.where("canonical_name not like '%blue%'"), e, coevolution.node_feedback(nodes, members, e)
+
+
+_ALL = 2**31 - 1
+
+
+@query("agg09_node_feedback", """SELECT node_id, edges, strong, successors, sources, entities, bottleneck, coalesce(nullif(concat_ws(',', CASE WHEN split THEN 'split_review' END, CASE WHEN cross_ THEN 'cross_link_review' END, CASE WHEN mark THEN 'mark_fragmenting_or_growing' END), ''), 'monitor') AS advice FROM told""", tb.EDGES, _REV)
+def _(spark, d):
+    return _groups(spark, d)[3].drop("expansions").withColumn("advice", F.array_join("advice", ","))
 
 
-@query("sco08_grf09_revisions", "SELECT node_id, revision_type, label, confidence, support FROM cand", tb.EDGES, _REV)
+@query("sco08_grf09_revisions", "SELECT candidate_id, revision_type, node_id, label, state, confidence, support FROM cand", tb.EDGES, _REV)
 def _(spark, d):
-    return _revisions(spark, d)
+    return coevolution.propose_revisions(*_groups(spark, d), most=_ALL)[0].select("candidate_id", "revision_type", "node_id", "label", "state", "confidence", "support")
 
 
-@query("grf09_applied_revisions", """SELECT node_id, revision_type, label, CASE WHEN rank <= 4 THEN 'applied' ELSE 'skipped' END AS status FROM
- (SELECT *, row_number() OVER (ORDER BY confidence DESC, node_id, revision_type, label) AS rank FROM cand WHERE revision_type <> 'split_child' AND confidence >= 0.6) WHERE rank <= 200""", tb.EDGES, _REV)
+@query("grf09_revision_documents", """SELECT candidate_id, count(DISTINCT doc_id) AS documents, sum(doc_id)::BIGINT AS total FROM (
+  SELECT DISTINCT candidate_id, doc_id FROM (SELECT candidate_id, unnest([source_document, target_document]) AS doc_id FROM sp JOIN el ON sp.node_id = el.node_id AND sp.target = el.target AND verified
+  UNION ALL SELECT candidate_id, unnest([source_document, target_document]) FROM cand JOIN el ON cand.node_id = el.node_id WHERE revision_type <> 'split_child')) GROUP BY 1""", tb.EDGES, _REV)
 def _(spark, d):
-    nodes = tb.table(spark, d, "part").select(F.col("p_brand").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("p_brand").alias("label")).distinct()
-    return relations.apply_revisions(nodes, _revisions(spark, d).where("revision_type <> 'split_child'"), 0.6, 4)[1].select("node_id", "revision_type", "label", "status")
+    documents = coevolution.propose_revisions(*_groups(spark, d), most=_ALL)[1]
+    return documents.groupBy("candidate_id").agg(F.count("*").alias("documents"), F.sum("doc_id").alias("total"))
+
+
+@query("grf09_applied_revisions", """SELECT candidate_id, revision_type, node_id, reason, CASE WHEN reason IN ('created_graph_derived_child', 'annotated_existing_node') THEN 'applied' WHEN reason = 'label_already_exists_in_taxonomy' THEN 'deduplicated' ELSE 'rejected' END AS status,
+  CASE WHEN reason = 'created_graph_derived_child' THEN b || CASE WHEN b IN (SELECT node_id FROM gnode) THEN '_2' ELSE '' END END AS new_node_id FROM (SELECT *, CASE WHEN dimension = '' THEN 'taxonomy' ELSE dimension END || '__' || replace(label, ' ', '_') AS b FROM fate)""", tb.EDGES, _REV)
+def _(spark, d):
+    nodes, entities, e, feed = _groups(spark, d)
+    candidates, documents = coevolution.propose_revisions(nodes, entities, e, feed, most=_ALL)
+    return coevolution.apply_revisions(nodes, candidates, documents)[2]
 
 
 @query("grf13_feedback_events", """SELECT 'feedback_split__' || node_id AS event_id, 'fragmentation' AS event_type, node_id, 0.7::DOUBLE AS confidence FROM feed WHERE successors >= 3 AND sources >= 2
@@ -308,25 +357,40 @@ def _(spark, d):
 
 _EXPAND = f"""sig AS (SELECT lang AS node_id, round(least(1.0, count(*) / 400.0), 3)::DOUBLE AS score, CASE WHEN lang < 'en' THEN 'depth_expansion' ELSE 'width_expansion' END AS action FROM documents WHERE lang IS NOT NULL GROUP BY 1),
 tk AS (SELECT lang, {tok('text')} AS t FROM documents), gr AS (SELECT lang, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS phrase FROM tk), cn AS (SELECT lang, phrase, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, phrase) AS r FROM gr GROUP BY 1, 2),
-ca AS (SELECT CASE WHEN action = 'depth_expansion' THEN 'depth' ELSE 'width' END || '__' || node_id || '__' || trim(regexp_replace(phrase, '[^a-z0-9]+', '_', 'g'), '_') AS candidate_id, CASE WHEN action = 'depth_expansion' THEN node_id END AS parent_node_id, phrase AS label, node_id AS trigger_node_id, score AS trigger_score FROM sig JOIN cn ON lang = node_id AND r <= 3 WHERE score >= 0.3)"""
+ca AS (SELECT CASE WHEN action = 'depth_expansion' THEN 'depth' ELSE 'width' END || '__' || node_id || '__' || trim(regexp_replace(phrase, '[^a-z0-9]+', '_', 'g'), '_') AS candidate_id, CASE WHEN action = 'depth_expansion' THEN node_id END AS parent_node_id, phrase AS label, node_id AS trigger_node_id, score AS trigger_score FROM sig JOIN cn ON lang = node_id AND r <= 3 WHERE score >= 0.3),
+sup AS (SELECT candidate_id, count(*) AS documents FROM ca JOIN documents ON lang = trigger_node_id AND contains(lower(text), label) GROUP BY 1)"""
 
 
 def _expansions(spark, d):
     docs = tb.table(spark, d, "documents").where("lang is not null")
     sig = docs.groupBy(F.col("lang").alias("node_id")).agg(F.round(F.least(F.lit(1.0), F.count("*") / 400.0), 3).alias("score")).withColumn("action", F.when(F.col("node_id") < "en", "depth_expansion").otherwise("width_expansion"))
-    return induction.propose_expansions(sig, docs.select(F.col("lang").alias("node_id"), "text"), tb.nodes(spark, d), 0.3, 3, 50)
+    nodes = tb.nodes(spark, d).withColumn("dimension", F.lit("lang"))
+    return nodes, *coevolution.propose_expansions(sig, docs.select(F.col("lang").alias("node_id"), "doc_id", "text"), nodes, 0.3, 3, 50)
 
 
-@query("grf08_expansions", "SELECT * FROM ca", _EXPAND)
+@query("grf08_expansions", "SELECT ca.*, coalesce(documents, 0) AS documents FROM ca LEFT JOIN sup ON ca.candidate_id = sup.candidate_id", _EXPAND)
 def _(spark, d):
-    return _expansions(spark, d).drop("candidate_type")
+    _, c, documents = _expansions(spark, d)
+    n = documents.groupBy("candidate_id").agg(F.count("*").alias("documents"))
+    return c.join(n, "candidate_id", "left").na.fill(0, ["documents"]).drop("candidate_type", "dimension", "recommended_action")
 
 
-@query("joi21_judged", "SELECT candidate_id, round(CASE WHEN trigger_node_id = 'en' THEN 0.2 ELSE trigger_score END, 3)::DOUBLE AS confidence, CASE WHEN trigger_node_id = 'en' THEN 'new name' ELSE label END AS label, CASE WHEN trigger_node_id = 'en' THEN false WHEN trigger_node_id = 'fr' THEN false ELSE trigger_score >= 0.5 END AS accepted FROM ca", _EXPAND)
+@query("joi21_judged", "SELECT ca.candidate_id, round(CASE WHEN trigger_node_id = 'en' THEN 0.2 ELSE trigger_score END, 3)::DOUBLE AS confidence, CASE WHEN trigger_node_id = 'en' THEN 'new name' ELSE label END AS label, CASE WHEN trigger_node_id = 'en' THEN false WHEN trigger_node_id = 'fr' THEN false ELSE trigger_score >= 0.5 AND coalesce(documents, 0) > 0 END AS accepted FROM ca LEFT JOIN sup ON ca.candidate_id = sup.candidate_id", _EXPAND)
 def _(spark, d):
-    c = _expansions(spark, d)
+    _, c, documents = _expansions(spark, d)
     j = c.where("trigger_node_id in ('en', 'fr')").select("candidate_id", (F.col("trigger_node_id") == "en").alias("accept"), F.when(F.col("trigger_node_id") == "en", 0.2).alias("confidence"), F.when(F.col("trigger_node_id") == "en", " new name ").alias("suggested_label"))
-    return induction.judged(c, j, 0.5).select("candidate_id", "confidence", "label", "accepted")
+    return coevolution.judged(c, documents, j, 0.5).select("candidate_id", "confidence", "label", "accepted")
+
+
+@query("grf08_applied_expansions", """WITH j AS (SELECT ca.*, trigger_score >= 0.35 AND coalesce(documents, 0) > 0 AS ok, coalesce(documents, 0) AS documents FROM ca LEFT JOIN sup ON ca.candidate_id = sup.candidate_id),
+f AS (SELECT *, ok AND row_number() OVER (PARTITION BY coalesce(parent_node_id, ''), label, ok ORDER BY trigger_score DESC, candidate_id) = 1 AS good FROM j),
+r AS (SELECT *, coalesce(sum(good::INTEGER) OVER (ORDER BY trigger_score DESC, candidate_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
+SELECT candidate_id, CASE WHEN good THEN 'applied' WHEN ok THEN 'deduplicated' ELSE 'rejected' END AS status, CASE WHEN good THEN documents END AS documents FROM r WHERE before < 4""", _EXPAND)
+def _(spark, d):
+    nodes, c, documents = _expansions(spark, d)
+    _, assigned, report = coevolution.apply_expansions(nodes, coevolution.judged(c, documents, None, 0.35), documents, 4)
+    n = assigned.groupBy(F.col("node_id").alias("new_node_id")).agg(F.count("*").alias("documents"))
+    return report.join(n, "new_node_id", "left").select("candidate_id", "status", "documents")
 
 
 _VALID = f"len(w) BETWEEN 2 AND 5 AND len(list_distinct(w)) = len(w) AND len(list_filter(w, lambda x: regexp_matches(x, '^[0-9]+$'))) = 0 AND len(list_filter(w, lambda x: NOT list_contains({_list(induction.GENERIC_TOKENS)}, x))) > 0 AND w[1] NOT IN ('this', 'that', 'these', 'those', 'which') AND NOT list_contains({_list(induction.GENERIC_PHRASES)}, phrase)"

@@ -172,23 +172,6 @@ def test_short_and_embedded_quotes_are_found(spark):
     assert {tuple(r) for r in evidence.quoting_documents(quotes, docs).select("item_id", "doc_id").collect()} == want and len(want) == 5
 
 
-def test_revisions_are_applied_in_order(spark):
-    nodes = spark.createDataFrame([("a", None, "A"), ("b", "a", "Lake model"), ("c", "a", "C")], "node_id string, parent_id string, label string")
-    rows = [("a", "split_child", "lake Model", 0.9, 3), ("a", "split_child", "sea model", 0.8, 3), ("c", "split_child", "Sea model", 0.7, 3), ("b", "state_annotation", "growing", 0.65, 2), ("c", "cross_link", "", 0.64, 2), ("x", "cross_link", "", 0.63, 2), ("b", "cross_link", "", 0.62, 1), ("b", "cross_link", "", 0.1, 1)]
-    out, report = relations.apply_revisions(nodes, spark.createDataFrame(rows, "node_id string, revision_type string, label string, confidence double, support long"), 0.6, 3)
-    assert [r.status for r in report.collect()] == ["rejected", "applied", "rejected", "applied", "applied", "skipped", "skipped"]
-    found = {r.node_id: (r.parent_id, r.state, r.linked) for r in out.collect()}
-    assert found == {"a": (None, None, False), "b": ("a", "growing", False), "c": ("a", None, True), "a__sea_model": ("a", None, False)}
-
-
-def test_expansions_are_applied_once(spark):
-    nodes = spark.createDataFrame([("topic", None, "Topic"), ("topic__sea", "topic", "Sea"), ("topic__lake", "other", "Lake")], "node_id string, parent_id string, label string")
-    rows = [("c1", "topic", "sea", 0.9, True), ("c2", "topic", "lake", 0.8, True), ("c3", "topic", "Lake", 0.7, True), ("c4", "topic", "pond", 0.6, False), ("c5", None, "pond", 0.5, True), ("c6", None, "rain", 0.4, True)]
-    out, report = induction.apply_expansions(nodes, spark.createDataFrame(rows, "candidate_id string, parent_node_id string, label string, trigger_score double, accepted boolean"), "topic", 2)
-    assert [tuple(r) for r in report.collect()] == [("c1", "deduplicated", ""), ("c2", "applied", "topic__lake_2"), ("c3", "deduplicated", ""), ("c4", "rejected", ""), ("c5", "applied", "topic__pond")]
-    assert out.count() == 5
-
-
 def test_terms_are_chosen_greedily(spark):
     terms = spark.createDataFrame([("deep river", 9, 9.0), ("deep river flow", 8, 8.0), ("cold lake", 7, 7.0), ("lake cold", 6, 6.0), ("warm sea", 5, 5.0)], "phrase string, support long, score double")
     assert induction.choose_terms(terms, 14, 2) == ["deep river", "cold lake", "warm sea"] and induction.choose_terms(terms, 2) == ["deep river", "cold lake"]
