@@ -72,13 +72,16 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
             near = (a @ b[part].T).astype(np.float64) * sa[:, None] * sb[None, part]
             slack = (ea[:, None] * nb[part] + na[:, None] * eb[part] + ea[:, None] * eb[part]) * (1 + 1e-9) + 1e-12 * na[:, None] * nb[part]
             same = own[:, None] == ids[None, part]
-            low = np.where(same, -np.inf, near - slack)
+            # bounds that overflow (vectors of numbers near 1e154 and above) tell nothing: such a pair is recomputed
+            known = np.isfinite(near) & np.isfinite(slack)
+            low = np.where(same | ~known, -np.inf, near - slack)
             least = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k]) if low.shape[1] > k else floor
-            q, c = np.nonzero((near + slack >= least[:, None]) & ~same)
+            q, c = np.nonzero(((near + slack >= least[:, None]) | ~known) & ~same)
             score = np.empty(len(q))
             for first in range(0, len(q), max(1, SLICE // width)):
                 some = slice(first, first + max(1, SLICE // width))
                 score[some] = folded(x[q[some]], rows[left + c[some]])
+            score[np.isnan(score)] = -np.inf  # a sum of both infinities is below every number
             order = np.lexsort((c, -score, q))
             begin = np.searchsorted(q, np.arange(len(own) + 1))
             for row in range(len(own)):
@@ -103,7 +106,7 @@ def nearest(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col:
 
     Vectors are dealt by hash into blocks; each pair of a query block and a candidate block is a task,
     which returns at most ``k`` rows a query, and Spark merges them with bounded heaps on both sides of the shuffle. No
-    pair is lost, so the result is exact (recall 1). A vector is copied once for each block of queries, of ``BLOCK`` vectors and
+    pair is lost, so the result is exact (recall 1); a product that overflows both ways counts as minus infinity. A vector is copied once for each block of queries, of ``BLOCK`` vectors and
     ``NUMBERS`` numbers at most. A task holds its two blocks and the products of ``STRIPE`` by ``TILE`` pairs, however many scores are equal.
 
     Returns ``query_id, rank`` (from 1)``, vec_id, score``: nearest first, ties to the smaller id, all candidates if fewer than

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle (a shorter template's shingle is all its words), and the share of a template's shingles that a window must hold.
 K, CONTAINED = 5, 0.75
-#: Characters of a piece of a text, at least. A longer word than LONG isn't a template's; it counts as a word without letters.
+#: Characters of a piece of a text, at least. A word longer than LONG, and than all of the templates, isn't a template's; it counts as a word without letters.
 PIECE, LONG = 16384, 64
 #: Bands of one MinHash value each. A window that holds the share wanted of a template has a Jaccard similarity to it of
 #: at least 0.5 (see :func:`window`), so all bands miss with a probability of at most 0.5 ** 16 = 0.000015.
@@ -95,7 +95,7 @@ def _hashes(band: int) -> Column:
     return F.transform("s", lambda x: F.xxhash64(x, F.lit(band)))
 
 
-def _pieces(docs: DataFrame, need: int, chosen: str, id_col: str, text_col: str) -> DataFrame:
+def _pieces(docs: DataFrame, need: int, longest: int, chosen: str, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, first, own, w): the words of overlapping pieces of each text with an anchor word.
 
     ``first`` is the number of the piece's first word in the text, ``own`` how many words lie before the next piece; ``need`` words (if
@@ -104,16 +104,16 @@ def _pieces(docs: DataFrame, need: int, chosen: str, id_col: str, text_col: str)
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     words = F.concat(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), F.lit(" "))
     rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("t")).where(F.concat(F.lit(" "), F.col("t")).rlike(chosen))
-    short = F.regexp_replace("t", f"[a-z0-9]{{{LONG + 1},}}", "-")
-    # whole words, each with the blank behind it; so a piece's beginning holds a word for each LONG + 1 characters at least
-    size = max(PIECE, 2 * need * (LONG + 1))
+    short = F.regexp_replace("t", f"[a-z0-9]{{{longest + 1},}}", "-")
+    # whole words, each with the blank behind it; so a piece's beginning holds a word for each longest + 1 characters at least
+    size = max(PIECE, 2 * need * (longest + 1))
     # explode(array(x)) keeps x from being written out, and so computed, wherever it is used
     rows = rows.select("doc_id", F.explode(F.array(F.regexp_extract_all(short, F.lit(f"(?s).{{0,{size}}}[^ ]* "), F.lit(0)))).alias("p"))
     counts = F.transform("p", lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))))
     rows = rows.select("doc_id", "p", F.explode(F.array(counts)).alias("n"))
     before = F.aggregate("n", F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
     rows = rows.select("doc_id", "p", "n", F.explode(F.array(before)).alias("before"))
-    more = lambda i: F.substring(F.coalesce(F.get("p", i + 1), F.lit("")), 1, need * (LONG + 1))
+    more = lambda i: F.substring(F.coalesce(F.get("p", i + 1), F.lit("")), 1, need * (longest + 1))
     piece = F.transform("n", lambda n, i: F.struct(F.get("before", i).alias("first"), n.alias("own"), F.concat(F.get("p", i), more(i)).alias("t")))
     rows = rows.select("doc_id", F.explode(piece).alias("x")).select("doc_id", "x.first", "x.own", "x.t").where(F.concat(F.lit(" "), F.col("t")).rlike(chosen))
     # what lies behind the words needed may be a part of a word
@@ -128,7 +128,8 @@ def _scanned(docs: DataFrame, shingles: dict[str, list[str]], k: int, id_col: st
     hashed = spark.range(1).select(*(_literals(values).alias("v"),)).select(F.explode("v").alias("s")).select("s", *(F.xxhash64("s", F.lit(b)).alias(f"b{b}") for b in range(BANDS))).collect()
     minima = {name: [min(r[f"b{b}"] for r in hashed if r["s"] in set(own)) for b in range(BANDS)] for name, own in shingles.items()}
     need = max(window(len(own))[0] for own in shingles.values()) + k
-    rows = _pieces(docs, need, f" (?:{'|'.join(anchors(shingles))}) ", id_col, text_col).where(F.size("w") >= k)
+    longest = max(LONG, *(len(w) for s in values for w in s.split()))
+    rows = _pieces(docs, need, longest, f" (?:{'|'.join(anchors(shingles))}) ", id_col, text_col).where(F.size("w") >= k)
     rows = rows.select("doc_id", "first", "own", F.explode(F.array(F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.array_join(F.slice("w", i + 1, k), " ")))).alias("s"))
     rows = rows.where(F.arrays_overlap("s", _literals(values)))
     rows = rows.select("doc_id", "first", "own", "s", F.explode(F.array(F.array(*(_hashes(b) for b in range(BANDS))))).alias("h"))

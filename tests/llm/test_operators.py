@@ -508,6 +508,25 @@ def test_licences(spark, docs):
     assert Counter((r.doc_id, r.license, r.first_word, r.windows) for r in got) == {(1, "MIT", 3, 1): 1, (1, "own", 2, 1): 1, (2, "MIT", 0, 1): 2}
 
 
+def test_long_words_of_templates_are_found(spark):
+    word = "x" * 70
+    templates = {"long": f"this {word} notice has a very long word in it", "short": "a plain notice"}
+    docs = spark.createDataFrame([(1, f"before {templates['long']} behind"), (2, f"{word} {'y' * 900} a plain notice")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license, r.containment) for r in license_scan.scan(docs, templates).collect()) == [(1, "long", 1.0), (2, "short", 1.0)]
+
+
+def test_products_that_overflow_lose_no_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4))
+    x[::2] *= 1e153
+    x[1::6] *= 1e160
+    found = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), 10).collect()
+    for q in (0, 20, 40):
+        own = {r.vec_id: r.score for r in found if r.query_id == q}
+        full = {k: float(np.nan_to_num(ann.folded(x[q : q + 1], x[k : k + 1])[0], nan=-np.inf, posinf=np.inf, neginf=-np.inf)) for k in range(60) if k != q}
+        assert own == dict(sorted(full.items(), key=lambda y: (-y[1], y[0]))[:10])
+
+
 def test_licences_in_long_texts(spark, monkeypatch):
     """Pieces much shorter than the text, words longer than any of a template: the same windows as in one piece."""
     rng = random.Random(22)
