@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint: its plan is short, and lost executors cost nothing before it.
-
-    The folder is that of ``spark.checkpoint.dir``. Without one only a local master is given a folder of its own.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, set as the session's checkpoint folder. Without one only a local master is given a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if root is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder below it."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/loomspan-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from a reliable checkpoint: its plan is short, and lost executors cost nothing before it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

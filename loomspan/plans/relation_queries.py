@@ -417,9 +417,9 @@ def _(spark, d):
 
 
 @query("agg29_corpus_terms", """WITH k AS (SELECT phrase, count(DISTINCT doc_id) AS support, max((source = 'keyword')::INTEGER) AS kw, max((source = 'title_phrase')::INTEGER) AS ti, max((source = 'abstract_phrase')::INTEGER) AS ab FROM ph GROUP BY 1)
-SELECT phrase, support, round(support * (1.0 + 0.35 * kw + 0.25 * ti + 0.1 * ab) + least(4, len(string_split(phrase, ' '))) * 0.2, 6)::DOUBLE AS score FROM k WHERE support BETWEEN 8 AND 620""", tb.DOCUMENTS, _TERMS)
+SELECT phrase, support, round(support * (1.0 + 0.35 * kw + 0.25 * ti + 0.1 * ab) + least(4, len(string_split(phrase, ' '))) * 0.2, 6)::DOUBLE AS score FROM k, (SELECT count(*) AS docs FROM documents) WHERE support BETWEEN CASE WHEN docs >= 35 THEN least(8, docs // 35) ELSE 1 END AND greatest(2, floor(docs * 0.62))""", tb.DOCUMENTS, _TERMS)
 def _(spark, d):
-    return induction.corpus_terms(_phrases(spark, d), 1000)
+    return induction.corpus_terms(_phrases(spark, d), tb.table(spark, d, "documents").count())
 
 
 @query("hlp15_boundary_cases", """WITH a AS (SELECT doc_id, lang AS node_id FROM documents WHERE doc_id % 3 > 0 UNION SELECT doc_id, source FROM documents WHERE doc_id % 3 = 1 UNION SELECT doc_id, 'x' FROM documents WHERE doc_id % 12 = 1), n AS (SELECT d.doc_id, count(DISTINCT node_id) AS n FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id GROUP BY 1),

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.functions import values as V
 from loomspan.operators import corpus, evidence
+from loomspan.operators import lineage
 from loomspan.plans import tables as tb
 from loomspan.plans.registry import query
+from loomspan.sources import pages
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 
@@ -269,3 +271,13 @@ def _(spark, d):
 def _(spark, d):
     docs = tb.table(spark, d, "documents").where("text is not null")
     return corpus.text_of_index(corpus.inverted_index(docs)).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("src11_paged_works", "SELECT 'W' || (page_id - page_id % 7) AS work_id, (min(page_id) // 40)::INTEGER AS page, arg_min(url, page_id) AS url FROM pages GROUP BY 1")
+def _(spark, d):
+    """The pages table as pages of 40 works, of which seven rows share an id; written as JSON, read through the data source."""
+    rows = tb.table(spark, d, "pages").select(F.expr("cast(page_id div 40 as int)").alias("page"), "page_id", F.concat(F.lit("W"), F.col("page_id") - F.col("page_id") % 7).alias("id"), "url")
+    results = F.transform(F.array_sort(F.collect_list(F.struct("page_id", "id", "url"))), lambda x: F.struct(x["id"].alias("id"), x["url"].alias("url")))
+    root = lineage.folder(spark)
+    rows.groupBy("page").agg(F.to_json(F.struct(results.alias("results"))).alias("value")).write.partitionBy("page").text(root)
+    return pages.read_works(spark, root).select("work_id", "page", F.get_json_object("record", "$.url").alias("url"))

@@ -61,6 +61,7 @@ def resume_into(stream: DataFrame, table: str, key: str, checkpoint: str, work:
         spark = df.sparkSession
         new = df
         if spark.catalog.tableExists(table):
+            spark.catalog.refreshTable(table)  # another session may have appended
             done = spark.read.table(table).where("status <> 'failed'").select(key).distinct()
             new = df.join(done, key, "left_anti")
         work(new).write.mode("append").saveAsTable(table)
