@@ -146,12 +146,12 @@ def candidate_score(shared: Column, overlap: Column, source_name: Column, target
     return F.struct(F.least(F.lit(1.0), total).alias("score"), F.array_compact(F.array(*(F.when(rule, F.lit(why)) for rule, _, why in rules))).alias("reasons"))
 
 
-DISPLAY_RULES = ("raw_rejected", "relation_type_not_for_display", "low_confidence", "missing_time_delta", "too_near_in_time", "same_source_and_target_document")
+DISPLAY_RULES = ("raw_rejected", "relation_type_not_for_display", "low_confidence", "too_near_in_time", "same_source_and_target_document")
 
 
 def display_rejection(accepted: Column, edge_type: Column, confidence: Column, delta: Column, source_doc: Column, target_doc: Column, types: list[str], least: float = 0.84, days: int = 180) -> Column:
-    """The first rule by which an edge isn't shown, empty if it is (FIL06, the rules on its figures)."""
-    rules = (~accepted, ~edge_type.isin(types), confidence < least, delta.isNull(), delta < days, source_doc == target_doc)
+    """The first rule by which an edge isn't shown, empty if it is (FIL06, the rules on its figures; ``display.with_rejection`` has all). No time delta counts as 0."""
+    rules = (~accepted, ~edge_type.isin(types), confidence < least, F.coalesce(delta, F.lit(0)) < days, source_doc == target_doc)
     return F.coalesce(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for rule, name in zip(rules, DISPLAY_RULES, strict=True)), F.lit(""))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.operators import corpus, evidence, graph, insight, labels
+from loomspan.operators import corpus, display, evidence, graph, insight, labels
 from loomspan.plans import registry
 from loomspan.plans import tables as tb
 from loomspan.plans.graph_queries import _weights
@@ -88,6 +88,19 @@ def _(spark, d):
     return labels.with_generic_predecessor(_named_edges(spark, d), "sn", "source_type").select("edge_id", "reason")
 
 
+@query("fil06_all_rules")
+def _(spark, d):
+    """Every edge with the first rule that speaks against it; the orders' texts are its quotes, its cue is a reason."""
+    said = tb.order_texts(spark, d)
+    e = tb.edges(spark, d).withColumnRenamed("verified", "accepted").join(_named_edges(spark, d).select("edge_id", "sn", "tn"), "edge_id")
+    e = e.join(said.toDF("source_document", "source_quote"), "source_document", "left").join(said.toDF("target_document", "target_quote"), "target_document", "left")
+    why = F.when(F.col("edge_id") % 3 == 0, F.array(F.lit("target_text_mentions_source"))).when(F.col("edge_id") % 3 == 1, F.array(F.lit("target_text_mentions_source_with_evolution_cue")))
+    kind = lambda c: F.when(F.col(c) == "promo", "data_source").otherwise("method")
+    rows = e.select("edge_id", "accepted", "edge_type", "confidence", "time_delta_days", "source_document", "target_document", F.col("sn").alias("source_name"), F.col("tn").alias("target_name"), kind("source_type").alias("source_type"), kind("target_type").alias("target_type"),
+                    F.lit("").alias("schema_group"), why.alias("candidate_reasons"), "source_quote", "target_quote", F.lit("").alias("rationale"))
+    return display.with_rejection(rows, ["extends", "improves"], 0.5, 30).select("edge_id", "reason")
+
+
 @query("fil08_relevance", "SELECT doc_id, contains(lower(text), 'mit license') OR ((contains(lower(text), 'the') OR contains(lower(text), 'que')) AND (contains(lower(text), 'license') OR contains(lower(text), 'version'))) AS relevant FROM documents")
 def _(spark, d):
     return tb.table(spark, d, "documents").select("doc_id", evidence.relevance(F.col("text"), ["mit license"], [["the", "que"], ["license", "version"]]).alias("relevant"))

@@ -247,7 +247,7 @@ def _(spark, d):
     return insight.successor_edges(tb.edges(spark, d)).select("edge_id")
 
 
-@query("fil06_display_filter", """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT verified THEN 'raw_rejected' WHEN edge_type NOT IN ('extends', 'improves') THEN 'relation_type_not_for_display' WHEN confidence < 0.6 THEN 'low_confidence' WHEN time_delta_days IS NULL THEN 'missing_time_delta' WHEN time_delta_days < 180 THEN 'too_near_in_time' WHEN source_document = target_document THEN 'same_source_and_target_document' ELSE '' END AS reason FROM edge) GROUP BY 1""", tb.EDGES)
+@query("fil06_display_filter", """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT verified THEN 'raw_rejected' WHEN edge_type NOT IN ('extends', 'improves') THEN 'relation_type_not_for_display' WHEN confidence < 0.6 THEN 'low_confidence' WHEN coalesce(time_delta_days, 0) < 180 THEN 'too_near_in_time' WHEN source_document = target_document THEN 'same_source_and_target_document' ELSE '' END AS reason FROM edge) GROUP BY 1""", tb.EDGES)
 def _(spark, d):
     reason = insight.display_rejection(F.col("verified"), F.col("edge_type"), F.col("confidence"), F.col("time_delta_days"), F.col("source_document"), F.col("target_document"), ["extends", "improves"], 0.6, 180)
     return tb.edges(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
