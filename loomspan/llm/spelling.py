@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -19,6 +20,8 @@ DAMAGED = 97
 Q, LEFT, RIGHT = 3, "##", "$$"
 #: Words of one length share all but so many grams with a word one edit away; a word shorter by one all but one less.
 SLACK = Q
+#: Positions are kept as one character, modulo the number of characters.
+TOP = 0x110000
 #: A cell of more words than this is divided by one more gram that they share.
 CELL = 1024
 
@@ -111,37 +114,42 @@ def one_edit(a: str, b: str) -> bool:
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
+def _holds(postings: list[int], k: int) -> bool:
+    at = bisect_left(postings, k)
+    return at < len(postings) and postings[at] == k
+
+
 def near_pairs(members: list[str], size: int) -> Iterator[tuple[int, int]]:
     """Pairs of positions of words one edit apart, of which one at least has ``size`` code points and the other as many or one less.
 
-    An inverted index has for each gram and position the words that hold it; a word's postings, of its own positions for words of
-    its length and also of the position before for shorter ones, are merged by a heap, and those met size - 1 times are verified.
+    ``members`` come shorter ones first. An inverted index has for each gram with its position the words that hold it, in order; a shorter word is entered
+    at the next position too. A word one edit away is met in size - 1 of a word's postings, so in one at least of the shortest that are left without size - 2 of
+    them: these are merged by a heap, and a word met there is looked up in the longer ones as long as the bound can be reached, then verified.
     """
-    index: dict[tuple[str, int, int], list[int]] = {}
-
-    def grams(word: str) -> list[str]:
-        padded = f"{LEFT}{word}{RIGHT}"
-        return [padded[p : p + Q] for p in range(len(word) + Q - 1)]
-
-    def enter(k: int) -> None:
-        for p, gram in enumerate(grams(members[k])):
-            index.setdefault((gram, p, len(members[k])), []).append(k)
-
+    index: dict[str, list[int]] = {}
+    least = size - 1
     for k, word in enumerate(members):
-        if len(word) == size - 1:
-            enter(k)
-    for k, word in enumerate(members):
-        if len(word) != size:
+        if len(word) < least:
             continue
-        lists = []
-        for p, gram in enumerate(grams(word)):
-            for key in ((gram, p, size), (gram, p, size - 1), (gram, p - 1, size - 1)):
-                if key in index:
-                    lists.append(index[key])
-        for other, met in groupby(heapq.merge(*lists)):
-            if sum(1 for _ in met) >= size - 1 and one_edit(members[other], word):
-                yield other, k
-        enter(k)
+        padded = f"{LEFT}{word}{RIGHT}"
+        keys = [padded[p : p + Q] + chr(p % TOP) for p in range(len(word) + Q - 1)]
+        if len(word) == size:
+            lists = sorted((index[key] for key in keys if key in index), key=len)
+            short = len(lists) - least + 1
+            if short > 0:
+                rest = lists[short:]
+                for other, met in groupby(heapq.merge(*lists[:short])):
+                    lack = least - sum(1 for _ in met)
+                    for n, postings in enumerate(rest):
+                        if lack <= 0 or lack > len(rest) - n:
+                            break
+                        lack -= _holds(postings, other)
+                    if lack <= 0 and one_edit(members[other], word):
+                        yield other, k
+        else:
+            keys += [padded[p : p + Q] + chr((p + 1) % TOP) for p in range(len(word) + Q - 1)]
+        for key in keys:
+            index.setdefault(key, []).append(k)
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +158,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "size", "word", "n")), strict=True))
     for (_, size), own in groupby(rows, key=lambda r: r[:2]):
         held = {word: n for _, _, word, n in own}
-        members = sorted(held)
+        members = sorted(held, key=len)
         for i, j in near_pairs(members, size):
             a, b = sorted((members[i], members[j]))
             out.append((a, held[a], b, held[b]))
