@@ -205,8 +205,10 @@ def gap_years(series: DataFrame, value: str) -> DataFrame:
 
 
 def markdown(df: DataFrame, title: str, most: int = 50) -> str:
-    """A table of the first ``most`` rows of a small report as Markdown (SRC22)."""
+    """A table of the first ``most`` rows of a small report as Markdown (SRC22), and how many rows it leaves out."""
     rows = df.limit(most).collect()
+    more = df.count() - len(rows) if len(rows) == most else 0
     cell = lambda x: str("" if x is None else x).replace("|", "\\|").replace("\n", " ")
     head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join([*head, *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""])
+    left = [f"{more} more rows.", ""] if more > 0 else []
+    return "\n".join([*head, *("| " + " | ".join(map(cell, r)) + " |" for r in rows), "", *left])

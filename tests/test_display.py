@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomspan.operators import display
+from loomspan.operators import display, reports
 
 GOOD = {
     "accepted": True, "edge_type": "extends", "confidence": 0.9, "time_delta_days": 400, "source_document": "d1", "target_document": "d2", "source_name": "topic lexicon coding", "target_name": "stance vector forest", "source_type": "method",
@@ -39,3 +39,9 @@ def test_types_of_the_ends(spark):
     assert [r.t for r in frame.select(display.end_type(F.col("own"), F.col("kind"), F.col("id")).alias("t")).collect()] == ["a", "method", "m", "analytic_method", ""]
     table = spark.createDataFrame([("method", None, None, None, "data_source__x", "y__z"), (None, None, "q", "given", "data_source__x", "plain")], "entity_type string, source_entity_type string, target_entity_type string, schema_group string, source string, target string")
     assert [(r.schema_group, r.source_type, r.target_type) for r in display.resolved(table).collect()] == [("analytic_method", "method", "method"), ("given", "data_source", "q")]
+
+
+def test_a_report_says_what_it_leaves_out(spark):
+    frame = spark.range(7).coalesce(1)
+    assert reports.markdown(frame, "Ids", 5).splitlines()[-1] == "2 more rows."
+    assert "more rows" not in reports.markdown(frame, "Ids", 7)
