@@ -2,6 +2,7 @@
 
 import random
 import re
+import datetime
 from collections import Counter, defaultdict
 
 import pytest
@@ -277,3 +278,39 @@ def test_full_run(spark, tmp_path):
     assert got["forecast_hooks"].count() and got["node_states"].count() == len(ids)
     edges = [r.edge_id for r in got["edges"].collect()]
     assert edges and len(edges) == len(set(edges))
+
+
+def exchanges(df):
+    return str(df.select("*")._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning")  # of a plan that hasn't run
+
+
+def test_edges_are_moved_to_their_nodes_once(spark):
+    nodes, entities, edges = graph_of(3)
+    n, e, g = frames(spark, nodes, entities, edges)
+    told = coevolution.node_feedback(n, None, g)
+    members = g.select("node_id", F.explode(F.array("source", "target")).alias("entity_id"))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(told) == key(coevolution.node_feedback(n, members, g))
+    assert exchanges(told) <= 2  # the distinct nodes, the edges
+    # all nodes of an edge beside it say the same as a join
+    every = g.groupBy("edge_id").agg(F.collect_set("node_id").alias("nodes"))
+    plain, beside = (coevolution.propose_revisions(n, e, x, told, 2**31 - 1) for x in (g, g.join(every, "edge_id")))
+    for a, b in zip(plain, beside):
+        assert key(a) == key(b) and a.count()
+    assert "SinglePartition" not in str(plain[0]._jdf.queryExecution().executedPlan()) and plain[0].inputFiles()
+    assert exchanges(plain[1]) <= 4
+
+
+def test_lines_meet_their_parts_once(spark, tmp_path):
+    from loomspan.plans import tables
+
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    rows = [(k, p, 1, 1, 1.0, 1.0, 0.0, 0.0, "A", "F", datetime.datetime(2020, 1, k)) for k, p in ((1, 7), (2, 8), (3, None), (4, 7), (5, 99), (6, 8), (7, 7))]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, "red ring", "B1", "SMALL"), (8, "old bolt", "B2", "LARGE")], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    e = tables.edges(spark, str(tmp_path))
+    # lines with no part stand between others
+    assert [(r.source_document, r.source, r.target, r.node_id, r.edge_id) for r in e.orderBy("edge_id").collect()] == [
+        (1, "small__red_ring", "large__old_bolt", "B1", 7500001), (6, "large__old_bolt", "small__red_ring", "B2", 7500006),
+    ]
+    assert str(e._jdf.queryExecution().optimizedPlan()).count("Join ") == 1
