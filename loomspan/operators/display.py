@@ -89,6 +89,15 @@ def weak_label(low: Column, tokens: Column, core: Column, kind: Column, position
     return _first(rules)
 
 
+def by_figures(types: list[str] | None = None, least: float = 0.84, days: int = 180) -> Column:
+    """The first of the rules on a relation's figures that applies, empty if none does. They come before all others, so a relation that one speaks against needs no quotes."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return _first([
+        (~F.coalesce("accepted", F.lit(False)), "raw_rejected"), (~text("edge_type").isin(SHOWN if types is None else types), "relation_type_not_for_display"), (F.coalesce("confidence", F.lit(0.0)) < least, "low_confidence"),
+        (F.coalesce("time_delta_days", F.lit(0)) < days, "too_near_in_time"), ((F.coalesce(F.col("source_document").cast("string"), F.lit("")) != "") & (F.col("source_document") == F.col("target_document")), "same_source_and_target_document"),
+    ])
+
+
 def with_rejection(rows: DataFrame, types: list[str] | None = None, least: float = 0.84, days: int = 180, name: str = "reason") -> DataFrame:
     """``rows`` and the first of 15 rules by which a relation isn't shown, empty if it is (FIL06).
 
@@ -125,16 +134,12 @@ def with_rejection(rows: DataFrame, types: list[str] | None = None, least: float
     network = network & (_any(F.lower(text("rationale")), EXTERNAL) | (~told & ((share >= 0.55) | ((share >= 0.45) & (~grounded | ~compared)))))
     cue, s_seen, t_seen = _any(low, EVOLUTION_CUES), meet(sc, ec), meet(tc, ec)
     supported = told | (F.array_contains(why, "target_text_mentions_source") & cue) | (s_seen & t_seen & cue) | (F.col("edge_type").isin("improves", "replaces") & s_seen & _any(low, LINEAGE_CUES + IMPROVED))
-    head = [
-        (~F.coalesce("accepted", F.lit(False)), "raw_rejected"), (~text("edge_type").isin(SHOWN if types is None else types), "relation_type_not_for_display"), (F.coalesce("confidence", F.lit(0.0)) < least, "low_confidence"),
-        (F.coalesce("time_delta_days", F.lit(0)) < days, "too_near_in_time"), ((F.coalesce(F.col("source_document").cast("string"), F.lit("")) != "") & (F.col("source_document") == F.col("target_document")), "same_source_and_target_document"),
-    ]
     tail = [
         ((kind.eqNullSafe("data_source") | other.eqNullSafe("data_source")) & meet(both, _words(NO_DATA)), "misbucketed_data_source_label"), (task, "source_is_task_not_predecessor"), ((F.col("edge_type") == "generalizes") & broad, "broad_generalization_not_display_edge"),
         (network, "generic_ml_architecture_not_css_evolution"), (~F.coalesce(supported, F.lit(False)), "weak_lineage_evidence"),
     ]
     filled = lambda c: F.when(F.col(c) != "", F.col(c))
-    figures, evidence = _first(head), _first(tail)
+    figures, evidence = by_figures(types, least, days), _first(tail)
     reason = F.coalesce(F.when(figures != "", figures), F.when(F.col("__variant") != "", F.concat(F.lit("label_variant:"), "__variant")), filled("__generic"), filled("__ws"), filled("__wt"), evidence)
     return steps.select(*own, reason.alias(name))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.operators import corpus, display, evidence, graph, insight, labels
+from loomspan.operators import corpus, display, evidence, graph, insight, labels, lineage
 from loomspan.plans import registry
 from loomspan.plans import tables as tb
 from loomspan.plans.graph_queries import _weights
@@ -62,15 +62,15 @@ cored AS (SELECT *, list_distinct(list_transform(list_filter(sb, lambda w: NOT l
 extra AS (SELECT *, list_filter(tc, lambda w: NOT list_contains(sc, w)) AS mt, list_filter(sc, lambda w: NOT list_contains(tc, w)) AS ms, len(list_intersect(sc, tc)) AS both_n, len(sc) > 0 AND len(tc) > 0 AS cores FROM cored)"""
 
 
-def _named_edges(spark, d):
+def _named_edges(spark, d, edges=None, *more):
     names = tb.parts(spark, d).select("entity_id", "canonical_name").distinct()
-    e = tb.edges(spark, d).join(names.toDF("source", "s"), "source").join(names.toDF("target", "t"), "target")
+    e = (tb.edges(spark, d) if edges is None else edges).join(names.toDF("source", "s"), "source").join(names.toDF("target", "t"), "target")
     n, s, t = F.col("edge_id"), F.col("s"), F.col("t")
     word = lambda k: F.element_at(F.split(s, " "), k)
     said = F.when(n % 7 == 1, F.concat(F.lit("improved "), s)).when(n % 7 == 2, F.concat(s, F.lit(" methods"))).when(n % 7 == 4, F.concat(F.lit("machine learning "), word(1))).when(n % 7 == 5, F.concat(s, F.lit(" algorithm"))).when(n % 7 == 6, F.concat(s, F.lit("s"))).otherwise(s)
     told = F.when(n % 11 == 0, s).when(n % 11 == 1, F.concat(s, F.lit("s method"))).when(n % 11 == 2, F.concat(F.lit("novel "), s, F.lit(" systems"))).when(n % 11 == 3, F.concat(s, F.lit(" detection")))
     told = told.when(n % 11 == 4, F.concat(word(2), F.lit(" "), word(1))).when(n % 11 == 5, F.concat(s, F.lit(" "), t, F.lit(" prediction"))).otherwise(t)
-    return e.select("edge_id", "source_type", said.alias("sn"), told.alias("tn"))
+    return e.select("edge_id", "source_type", said.alias("sn"), told.alias("tn"), *more)
 
 
 @query("fil07_variants", f"""SELECT edge_id, CASE WHEN st = tt THEN 'duplicate_label' WHEN list_transform(st, lambda t: {LABEL}) = list_transform(tt, lambda t: {LABEL}) THEN 'same_core_label' WHEN cores AND len(ms) = 0 AND len(mt) = 0 THEN 'same_core_label'
@@ -92,13 +92,19 @@ def _(spark, d):
 def _(spark, d):
     """Every edge with the first rule that speaks against it; the orders' texts are its quotes, its cue is a reason."""
     said = tb.order_texts(spark, d)
-    e = tb.edges(spark, d).withColumnRenamed("verified", "accepted").join(_named_edges(spark, d).select("edge_id", "sn", "tn"), "edge_id")
-    e = e.join(said.toDF("source_document", "source_quote"), "source_document", "left").join(said.toDF("target_document", "target_quote"), "target_document", "left")
+    limits = (["extends", "improves"], 0.5, 30)
+    e = tb.edges(spark, d).select("edge_id", "source", "target", F.col("verified").alias("accepted"), "edge_type", "confidence", "time_delta_days", "source_document", "target_document", "source_type", "target_type")
+    # the figures speak first: only the edges that they let through, the fewer ones, need names and quotes
+    e = lineage.written(e.withColumn("figures", display.by_figures(*limits)))
+    kept = e.where("figures = ''").drop("figures", "source_type")
+    kept = _named_edges(spark, d, e.where("figures = ''"), *(c for c in kept.columns if c not in ("edge_id", "source", "target")))
+    kept = kept.join(said.toDF("source_document", "source_quote"), "source_document", "left").join(said.toDF("target_document", "target_quote"), "target_document", "left")
     why = F.when(F.col("edge_id") % 3 == 0, F.array(F.lit("target_text_mentions_source"))).when(F.col("edge_id") % 3 == 1, F.array(F.lit("target_text_mentions_source_with_evolution_cue")))
     kind = lambda c: F.when(F.col(c) == "promo", "data_source").otherwise("method")
-    rows = e.select("edge_id", "accepted", "edge_type", "confidence", "time_delta_days", "source_document", "target_document", F.col("sn").alias("source_name"), F.col("tn").alias("target_name"), kind("source_type").alias("source_type"), kind("target_type").alias("target_type"),
-                    F.lit("").alias("schema_group"), why.alias("candidate_reasons"), "source_quote", "target_quote", F.lit("").alias("rationale"))
-    return display.with_rejection(rows, ["extends", "improves"], 0.5, 30).select("edge_id", "reason")
+    rows = kept.select("edge_id", "accepted", "edge_type", "confidence", "time_delta_days", "source_document", "target_document", F.col("sn").alias("source_name"), F.col("tn").alias("target_name"), kind("source_type").alias("source_type"), kind("target_type").alias("target_type"),
+                       F.lit("").alias("schema_group"), why.alias("candidate_reasons"), "source_quote", "target_quote", F.lit("").alias("rationale"))
+    told = display.with_rejection(rows, *limits).select("edge_id", "reason")
+    return told.unionByName(e.where("figures <> ''").select("edge_id", F.col("figures").alias("reason")))
 
 
 @query("fil08_relevance", "SELECT doc_id, contains(lower(text), 'mit license') OR ((contains(lower(text), 'the') OR contains(lower(text), 'que')) AND (contains(lower(text), 'license') OR contains(lower(text), 'version'))) AS relevant FROM documents")
